@@ -23,23 +23,46 @@ FIVE_TIERS = ("Diamante", "Platino", "Oro", "Plata", "Bronce")
 SCORES = ["r_score", "m_score", "f_score"]
 
 
-def quantile_score(df: DataFrame, col: str, q: int = 5, reverse: bool = False, drop_duplicates: bool = False, alias: str | None = None) -> DataFrame:
-    """Score 1..q by interpolated quantile edges; a value on an edge falls in the lower bin.
+def quantile_edges(df: DataFrame, cols: Sequence[str], q: int = 5) -> Column:
+    """Interpolated quantile edges of several columns as one map, a scalar subquery of a single pass.
 
-    Repeated edges raise unless ``drop_duplicates``; then the bins merge. ``reverse`` gives the
-    lowest bin score ``q``. The edges are one row, read as a scalar subquery.
+    The values are unpivoted and ranked per column name, so the frame is not read once per column.
     """
-    q_edges = quantiles(df, col, [i / q for i in range(q + 1)])
-    unique = F.array_distinct("q")
-    if not drop_duplicates:
-        clash = F.raise_error(F.lit(f"quantile edges of {col} are not unique"))
-        unique = F.when(F.size(unique) < q + 1, clash).otherwise(unique)
-    edges = q_edges.select(unique).scalar()
-    value = F.col(col).cast("double")
-    # Edge 0 is the minimum and the last one the maximum, which no value exceeds; missing edges count as not exceeded.
-    above = sum((F.when(value > F.get(F.col("_edges"), F.lit(i)), 1).otherwise(0) for i in range(1, q)), F.lit(0))
-    score = F.lit(q) - above if reverse else above + 1
-    return df.withColumn("_edges", edges).withColumn(alias or f"{col}_score", F.when(value.isNotNull(), score)).drop("_edges")
+    entries = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])
+    long = df.select(F.explode(entries).alias("e")).select("e.name", "e.v")
+    edges = quantiles(long, "v", [i / q for i in range(q + 1)], ["name"])
+    # One entry per scored column.
+    return edges.agg(F.map_from_entries(F.collect_list(F.struct("name", "q")))).scalar()
+
+
+def quantile_scores(
+    df: DataFrame, cols: Sequence[str], q: int = 5, reverse: Sequence[str] = (), drop_duplicates: bool = False,
+    names: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Scores 1..q by interpolated quantile edges; a value on an edge falls in the lower bin.
+
+    Repeated edges raise unless ``drop_duplicates``; then the bins merge. A ``reverse`` column gives its lowest
+    bin score ``q``.
+    """
+    names = names or {}
+    out = df.withColumn("_edges", quantile_edges(df, cols, q))
+    scores = {}
+    for c in cols:
+        value, edges = F.col(c).cast("double"), F.array_distinct(F.col("_edges")[c])
+        if not drop_duplicates:
+            clash = F.raise_error(F.lit(f"quantile edges of {c} are not unique"))
+            edges = F.when(F.size(edges) < q + 1, clash).otherwise(edges)
+        # Edge 0 is the minimum and the last one the maximum, which no value exceeds; a missing edge is not exceeded.
+        above = sum((F.when(value > F.get(edges, F.lit(i)), 1).otherwise(0) for i in range(1, q)), F.lit(0))
+        score = F.lit(q) - above if c in reverse else above + 1
+        scores[names.get(c, f"{c}_score")] = F.when(value.isNotNull(), score)
+    return out.withColumns(scores).drop("_edges")
+
+
+def quantile_score(df: DataFrame, col: str, q: int = 5, reverse: bool = False, drop_duplicates: bool = False, alias: str | None = None) -> DataFrame:
+    """:func:`quantile_scores` of one column."""
+    names = {col: alias} if alias else None
+    return quantile_scores(df, [col], q, [col] if reverse else (), drop_duplicates, names)
 
 
 def width_score(df: DataFrame, col: str, q: int = 5, alias: str | None = None) -> DataFrame:
@@ -77,10 +100,10 @@ def split_partners(df: DataFrame, amount: str = "monetary") -> tuple[DataFrame,
 def rfm_scores(df: DataFrame, drop_duplicates: bool = False) -> DataFrame:
     """Recency (reversed), monetary and frequency scores of active customers, with the RFM code.
 
-    Every score reads the base for its edges and again for its rows, so the base is staged once.
+    The base is read for the edges and again for the rows, so it is staged once.
     """
-    out = quantile_score(staged(df), "recency", reverse=True, drop_duplicates=drop_duplicates, alias="r_score")
-    out = quantile_score(out, "monetary", drop_duplicates=drop_duplicates, alias="m_score")
+    names = {"recency": "r_score", "monetary": "m_score"}
+    out = quantile_scores(staged(df), list(names), reverse=["recency"], drop_duplicates=drop_duplicates, names=names)
     return out.withColumn("f_score", frequency_score("frequency")).withColumn("rfm_code", rfm_code())
 
 
@@ -91,12 +114,12 @@ def rfm_code() -> Column:
 def partner_scores(df: DataFrame, flag_returns: bool = False) -> DataFrame:
     """Scores of a partner channel; the return share is scored by quantiles or as a flag. The base is staged once."""
     share = F.try_divide(F.col("returns").cast("double"), F.col("sales").cast("double"))
-    out = width_score(staged(df.withColumn("return_share", share)), "recency")
-    for c in ("monetary", "ticket", "term", "monetary_6m", "sales"):
-        out = quantile_score(out, c, drop_duplicates=True)
-    if flag_returns:
-        return out.withColumn("return_share_score", return_flag("returns", "sales"))
-    return quantile_score(out, "return_share", drop_duplicates=True)
+    base = staged(df.withColumn("return_share", share))
+    cols = ["monetary", "ticket", "term", "monetary_6m", "sales"]
+    if not flag_returns:
+        cols.append("return_share")
+    out = quantile_scores(width_score(base, "recency"), cols, drop_duplicates=True)
+    return out.withColumn("return_share_score", return_flag("returns", "sales")) if flag_returns else out
 
 
 def fit_segments(df: DataFrame, cols: Sequence[str], k: int, seed: int = 0):
