@@ -204,7 +204,8 @@ def score_variables(fact: DataFrame, max_days: dict[int, int] | None = None) ->
     paid_share = F.col("paid") / F.col("billed")
     weighted = 0.3 * F.col("e30") + 0.5 * F.col("e60") + 0.8 * F.col("e90") + F.col("em90")
     gap = F.col("desync_days")
-    return fact.join(limits, "interval").select(
+    # One row per interval of the list, so the limits are broadcast and the fact is not shuffled on a few hot keys.
+    return fact.join(F.broadcast(limits), "interval").select(
         *KEYS,
         F.when(F.col("paid") > F.col("billed"), 1.0).when(paid_share < 0, 0.0).otherwise(paid_share).alias("v_payment"),
         (1 - weighted / F.col("interval")).alias("v_arrears"),
@@ -237,10 +238,11 @@ def pca_score(variables: DataFrame, oriented: str = "v_arrears") -> DataFrame:
     """
     rows, cols = _score_inputs(staged(variables))
     axis = principal_axis(rows, SLICE, cols, oriented)
-    projected = rows.join(axis, SLICE).withColumn("component", project_axis(cols)).drop("mean", "sd", "axis")
+    # Two product types times the interval list: a handful of rows, broadcast for the same reason.
+    projected = rows.join(F.broadcast(axis), SLICE).withColumn("component", project_axis(cols)).drop("mean", "sd", "axis")
     limits = projected.groupBy(*SLICE).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
     scaled = F.try_divide(F.col("component") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    out = projected.join(limits, SLICE).withColumn("scaled", scaled).drop("_lo", "_hi")
+    out = projected.join(F.broadcast(limits), SLICE).withColumn("scaled", scaled).drop("_lo", "_hi")
     return out.withColumn("score", (1 - F.coalesce(F.col("v_writeoff"), F.lit(0.0))) * F.col("scaled"))
 
 

@@ -72,8 +72,11 @@ def merge_feeds(first: DataFrame, second: DataFrame, device_fix: dict | None = N
 
 
 def with_holidays(df: DataFrame, calendar: DataFrame, date: str = "date") -> DataFrame:
-    """Add ``holiday`` (0/1) from a table of holiday dates."""
-    days = calendar.select(F.col("date").alias(date)).distinct().withColumn("holiday", F.lit(1))
+    """Add ``holiday`` (0/1) from a table of holiday dates.
+
+    Distinct dates are at most a few ten thousand rows for a century, so they are broadcast.
+    """
+    days = F.broadcast(calendar.select(F.col("date").alias(date)).distinct().withColumn("holiday", F.lit(1)))
     return df.join(days, date, "left").withColumn("holiday", F.coalesce(F.col("holiday"), F.lit(0)))
 
 
@@ -81,7 +84,7 @@ def encode_days(df: DataFrame, holidays: DataFrame, special: DataFrame | None =
     """Holiday flag, weekday code with holidays as 8, and optionally a flag for special holidays."""
     out = with_holidays(df, holidays, date).withColumn("day_code", day_code(date, "holiday"))
     if special is not None:
-        days = special.select(F.col("date").alias(date)).distinct().withColumn("special_holiday", F.lit(1))
+        days = F.broadcast(special.select(F.col("date").alias(date)).distinct().withColumn("special_holiday", F.lit(1)))
         out = out.join(days, date, "left").fillna(0, subset=["special_holiday"])
     return out
 
@@ -91,16 +94,21 @@ def complete_dates(
 ) -> DataFrame:
     """Every day of every station from its first date to the day before ``as_of`` (or its last date).
 
-    The days are generated per station, so there is no range join with a calendar.
+    The input has one row per station and day. Each row generates itself and the empty days up to the next row,
+    so there is no date grid, no join, and the result stays partitioned by station for the windows that follow.
     """
-    keys = ["station", *attributes]
-    span = df.groupBy(*keys).agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
-    last = F.col("_last") if as_of is None else _yesterday(as_of)
-    days = span.filter(F.col("_first") <= last).select(*keys, F.explode(F.sequence("_first", last)).alias("date"))
-    values = df.select("station", "date", "volume")
-    out = days.join(values, ["station", "date"], "left")
+    order = Window.partitionBy("station").orderBy("date")
+    rows = df.select("station", *attributes, "date", "volume")
+    last = F.col("date")
+    if as_of is not None:
+        last = _yesterday(as_of)
+        rows = rows.filter(F.col("date") <= last)
+    until = F.coalesce(F.date_sub(F.lead("date").over(order), 1), last)
+    days = rows.withColumn("_until", until).withColumn("_day", F.explode(F.sequence("date", "_until")))
+    volume = F.when(F.col("_day") == F.col("date"), F.col("volume"))
     if missing is not None:
-        out = out.withColumn("volume", F.coalesce(F.col("volume"), F.lit(missing)))
+        volume = F.coalesce(volume, F.lit(missing))
+    out = days.select("station", *attributes, F.col("_day").alias("date"), volume.alias("volume"))
     return with_holidays(out, calendar).withColumn("weekday", F.weekday("date"))
 
 

@@ -431,6 +431,28 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(count(*) FILTER (em > 90) AS INTEGER) AS credit_em90
         FROM (SELECT contract_id, close_date, max(arrears_days) AS em FROM closes
               WHERE product_type = 7055 AND close_date BETWEEN DATE '2000-07-31' AND DATE '2001-07-31' GROUP BY 1, 2) GROUP BY 1"""),
+    "near_closes": (("closes",), """
+        SELECT * FROM closes WHERE place_id NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)"""),
+    "near_gas_class": (("near_closes",), """
+        SELECT contract_id, CASE WHEN max(arrears_days) <= 30 THEN '1-Pago A Tiempo'
+                 WHEN max(arrears_days) <= 60 THEN '2-Pago Atrasado a 60 Dias'
+                 WHEN max(arrears_days) > 60 THEN '3-No Paga a 90 Dias' ELSE '4-Otro' END AS gas_class,
+               CAST(count(*) FILTER (arrears_days BETWEEN -1 AND 0) AS INTEGER) AS gas_e0,
+               CAST(count(*) FILTER (arrears_days BETWEEN 1 AND 30) AS INTEGER) AS gas_e30,
+               CAST(count(*) FILTER (arrears_days BETWEEN 31 AND 60) AS INTEGER) AS gas_e60,
+               CAST(count(*) FILTER (arrears_days BETWEEN 61 AND 90) AS INTEGER) AS gas_e90,
+               CAST(count(*) FILTER (arrears_days > 90) AS INTEGER) AS gas_em90
+        FROM near_closes WHERE product_type = 7014 AND close_date BETWEEN DATE '2000-07-31' AND DATE '2001-07-31' GROUP BY 1"""),
+    "near_credit_class": (("near_closes",), """
+        SELECT contract_id, CASE WHEN max(em) <= 30 THEN '1-Pago A Tiempo' WHEN max(em) <= 60 THEN '2-Pago Atrasado a 60 Dias'
+                 WHEN max(em) > 60 THEN '3-No Paga a 90 Dias' ELSE '5-Otro' END AS credit_class,
+               CAST(count(*) FILTER (em BETWEEN -1 AND 0) AS INTEGER) AS credit_e0,
+               CAST(count(*) FILTER (em BETWEEN 1 AND 30) AS INTEGER) AS credit_e30,
+               CAST(count(*) FILTER (em BETWEEN 31 AND 60) AS INTEGER) AS credit_e60,
+               CAST(count(*) FILTER (em BETWEEN 61 AND 90) AS INTEGER) AS credit_e90,
+               CAST(count(*) FILTER (em > 90) AS INTEGER) AS credit_em90
+        FROM (SELECT contract_id, close_date, max(arrears_days) AS em FROM near_closes
+              WHERE product_type = 7055 AND close_date BETWEEN DATE '2000-07-31' AND DATE '2001-07-31' GROUP BY 1, 2) GROUP BY 1"""),
     "profile": (("deferred", "products"), """
         SELECT d.contract_id,
                max(CASE WHEN product_type = 7014 THEN instalments ELSE 0 END) AS gas_term,
@@ -450,15 +472,15 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
               WHERE program NOT IN (20, 700, 2016) AND process_type = 'A' AND sign IN ('DB', 'CR')
                 AND posted_date BETWEEN DATE '2000-07-31' AND DATE '2001-08-01' AND product_type IN (7014, 7055)
               GROUP BY ALL) GROUP BY 1"""),
-    "inputs": (("closes", "products", "gas_class", "credit_class", "profile", "instalment"), """
+    "inputs": (("near_closes", "products", "near_gas_class", "near_credit_class", "profile", "instalment"), """
         SELECT c_mktsegment AS id_type, holder_id, r.contract_id, gas_class, credit_class,
                gas_e0, gas_e30, gas_e60, gas_e90, gas_em90, credit_e0, credit_e30, credit_e60, credit_e90, credit_em90,
                'Cupo Aprobado' AS quota_type, department, r.category, r.stratum, gas_pending, credit_pending,
                CAST(trunc(gas_instalment) AS INTEGER) AS gas_instalment, CAST(trunc(credit_instalment) AS INTEGER) AS credit_instalment
-        FROM (SELECT * FROM closes WHERE place_id NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)) r
+        FROM near_closes r
         JOIN products p USING (product_id) LEFT JOIN customer ON c_custkey = r.product_id
-        LEFT JOIN (SELECT * FROM gas_class) g ON g.contract_id = r.contract_id
-        LEFT JOIN (SELECT * FROM credit_class) c ON c.contract_id = r.contract_id
+        LEFT JOIN near_gas_class g ON g.contract_id = r.contract_id
+        LEFT JOIN near_credit_class c ON c.contract_id = r.contract_id
         LEFT JOIN profile d ON d.contract_id = r.contract_id LEFT JOIN instalment i ON i.contract_id = r.contract_id
         WHERE r.close_date = DATE '2001-07-31' AND r.product_type = 7014 AND r.category = 1 AND cut_state NOT IN (110, 111, 112)"""),
     "meter_orders": ((), """
