@@ -19,6 +19,7 @@ from gridlytics.operators.relational import first_per_key
 from gridlytics.operators.series import NEW
 from gridlytics.operators.stats import grouped_ols
 from gridlytics.sources.merge import upsert
+from gridlytics.sources.staging import staged
 
 # Number of trend changes and their share of the history, Fourier orders, prior scales of the
 # published additive model, half-width of its 80 % interval, and the grid of trend flexibilities.
@@ -62,25 +63,27 @@ class _Basis:
         return 1.0 / sizes**2
 
 
+def _noise(gram: np.ndarray, cross: np.ndarray, square: float, weight: float) -> float:
+    """Noise variance from a weakly penalised fit."""
+    loose = np.linalg.solve(gram + 1e-6 * weight * np.eye(len(cross)), cross)
+    return max((square - 2 * loose @ cross + loose @ gram @ loose) / max(weight - 2, 1.0), 1e-8)
+
+
 def _ridge(gram: np.ndarray, cross: np.ndarray, square: float, weight: float, penalty: np.ndarray) -> tuple[np.ndarray, float]:
-    """Coefficients and noise variance: the variance comes from a first, weakly penalised fit."""
-    width = len(cross)
-    loose = np.linalg.solve(gram + 1e-6 * weight * np.eye(width), cross)
-    noise = max((square - 2 * loose @ cross + loose @ gram @ loose) / max(weight - 2, 1.0), 1e-8)
-    beta = np.linalg.solve(gram + noise * np.diag(penalty), cross)
+    """Coefficients and residual variance of the penalised fit."""
+    beta = np.linalg.solve(gram + _noise(gram, cross, square, weight) * np.diag(penalty), cross)
     left = max((square - 2 * beta @ cross + beta @ gram @ beta) / max(weight - 2, 1.0), 0.0)
     return beta, left
 
 
 def _numbers(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    days = pd.to_datetime(pdf["date"]).to_numpy("datetime64[D]").astype("int64").astype(float)
     weights = pdf["weight"].to_numpy(float) if "weight" in pdf else np.ones(len(pdf))
-    return days, pdf["volume"].to_numpy(float), pdf["holiday"].to_numpy(float), weights
+    return pdf["day"].to_numpy(float), pdf["volume"].to_numpy(float), pdf["holiday"].to_numpy(float), weights
 
 
 def _predict(pdf: pd.DataFrame, scale: float, use_holidays: bool, horizon: int, history: bool) -> pd.DataFrame:
     """Trend, fit and 80 % interval for the history and/or the days after it."""
-    pdf = pdf.dropna(subset=["volume"]).sort_values("date")
+    pdf = pdf.dropna(subset=["volume"]).sort_values("day")
     days, y, holiday, weights = _numbers(pdf)
     unit = float(np.max(np.abs(y))) or 1.0
     basis = _Basis(days, use_holidays)
@@ -88,21 +91,30 @@ def _predict(pdf: pd.DataFrame, scale: float, use_holidays: bool, horizon: int,
     z = y / unit
     weighted = x * weights[:, None]
     beta, left = _ridge(x.T @ weighted, weighted.T @ z, float(z @ (weights * z)), weights.sum(), basis.penalty(x.shape[1], scale))
-    ahead = days[-1] + np.arange(1, horizon + 1)
-    target = np.concatenate([days if history else days[:0], ahead])
-    flags = np.concatenate([holiday if history else holiday[:0], np.zeros(horizon)])
-    future, _ = basis.columns(target, flags)
+    target, future = days[:0], x[:0]
+    if horizon:
+        target = days[-1] + np.arange(1, horizon + 1)
+        future, _ = basis.columns(target, np.zeros(horizon))
+    if history:
+        target, future = np.concatenate([days, target]), np.vstack([x, future])
     fit, trend = future @ beta * unit, future[:, :lead] @ beta[:lead] * unit
     width = INTERVAL_Z * np.sqrt(left) * unit
-    dates = target.astype("int64").astype("datetime64[D]")
-    return pd.DataFrame({"date": dates, "trend": trend, "yhat": fit, "lower": fit - width, "upper": fit + width})
+    return pd.DataFrame({"day": target.astype("int32"), "trend": trend, "yhat": fit, "lower": fit - width, "upper": fit + width})
+
 
+# Dates travel to Python and back as day numbers: plain integers, not date objects.
+_FIT = "day int, trend double, yhat double, lower double, upper double"
 
-_FIT = "date date, trend double, yhat double, lower double, upper double"
 
+def _dated(df: DataFrame) -> DataFrame:
+    """Turn the day number back into a date, in place."""
+    cols = [F.date_from_unix_date("day").alias("date") if c == "day" else F.col(c) for c in df.columns]
+    return df.select(*cols)
 
-def _with_holiday(df: DataFrame) -> DataFrame:
-    return df if "holiday" in df.columns else df.withColumn("holiday", F.lit(0))
+
+def _model_rows(df: DataFrame) -> DataFrame:
+    holiday = F.col("holiday") if "holiday" in df.columns else F.lit(0).alias("holiday")
+    return df.select("station", F.unix_date("date").alias("day"), F.col("volume").cast("double").alias("volume"), holiday)
 
 
 def fitted_series(df: DataFrame, changepoint_scale: float = 0.05, use_holidays: bool = True) -> DataFrame:
@@ -113,8 +125,7 @@ def fitted_series(df: DataFrame, changepoint_scale: float = 0.05, use_holidays:
         out.insert(0, "station", key[0])
         return out
 
-    cols = _with_holiday(df).select("station", "date", "volume", "holiday")
-    return cols.groupBy("station").applyInPandas(fit, f"station {dict(df.dtypes)['station']}, {_FIT}")
+    return _dated(_model_rows(df).groupBy("station").applyInPandas(fit, f"station {dict(df.dtypes)['station']}, {_FIT}"))
 
 
 def additive_forecast(df: DataFrame, horizon: int = 1, scales: DataFrame | None = None, changepoint_scale: float = 0.05) -> DataFrame:
@@ -122,7 +133,7 @@ def additive_forecast(df: DataFrame, horizon: int = 1, scales: DataFrame | None
 
     ``scales`` (station, changepoint_scale) holds the tuned flexibility of each station.
     """
-    cols = _with_holiday(df).select("station", "date", "volume", "holiday")
+    cols = _model_rows(df)
     if scales is None:
         cols = cols.withColumn("scale", F.lit(float(changepoint_scale)))
     else:
@@ -132,15 +143,15 @@ def additive_forecast(df: DataFrame, horizon: int = 1, scales: DataFrame | None
     def forecast(key, pdf):
         try:
             out = _predict(pdf, float(pdf["scale"].iloc[0]), True, horizon, False)
-            out = pd.DataFrame({"date": out["date"], "prediction": out["yhat"].clip(lower=0.0)})
+            out = pd.DataFrame({"day": out["day"], "prediction": out["yhat"].clip(lower=0.0)})
         except (np.linalg.LinAlgError, IndexError, ValueError):
-            out = pd.DataFrame({"date": [pd.to_datetime(pdf["date"]).max() + pd.Timedelta(days=1)], "prediction": [None]})
+            out = pd.DataFrame({"day": [int(pdf["day"].max()) + 1], "prediction": [None]})
         out.insert(0, "station", key[0])
         out.insert(1, "model", ADDITIVE)
         return out
 
     kind = dict(df.dtypes)["station"]
-    return cols.groupBy("station").applyInPandas(forecast, f"station {kind}, model string, date date, prediction double")
+    return _dated(cols.groupBy("station").applyInPandas(forecast, f"station {kind}, model string, day int, prediction double"))
 
 
 def tune_forecast(df: DataFrame, grid: Sequence[float] = SCALE_GRID, cutoffs: int = 30) -> DataFrame:
@@ -152,7 +163,7 @@ def tune_forecast(df: DataFrame, grid: Sequence[float] = SCALE_GRID, cutoffs: in
     grid = [float(g) for g in grid]
 
     def tune(key, pdf):
-        pdf = pdf.dropna(subset=["volume"]).sort_values("date")
+        pdf = pdf.dropna(subset=["volume"]).sort_values("day")
         row = {"station": key[0], "changepoint_scale": None, "rmse": None, "share5": None, "share10": None, "share15": None}
         if len(pdf) > cutoffs + 2:
             days, y, holiday, _ = _numbers(pdf)
@@ -164,11 +175,12 @@ def tune_forecast(df: DataFrame, grid: Sequence[float] = SCALE_GRID, cutoffs: in
             gram, cross = x[:train].T @ x[:train], x[:train].T @ z[:train]
             square = float(z[:train] @ z[:train])
             predicted = np.zeros((len(grid), cutoffs))
+            penalties = np.stack([np.diag(basis.penalty(x.shape[1], scale)) for scale in grid])
             for step in range(cutoffs):
                 at = train + step
-                for g, scale in enumerate(grid):
-                    beta, _ = _ridge(gram, cross, square, float(at), basis.penalty(x.shape[1], scale))
-                    predicted[g, step] = x[at] @ beta * unit
+                noise = _noise(gram, cross, square, float(at))
+                betas = np.linalg.solve(gram + noise * penalties, np.broadcast_to(cross[:, None], (len(grid), len(cross), 1)))
+                predicted[:, step] = betas[:, :, 0] @ x[at] * unit
                 gram = gram + np.outer(x[at], x[at])
                 cross, square = cross + x[at] * z[at], square + float(z[at] ** 2)
             actual = y[train:]
@@ -181,8 +193,7 @@ def tune_forecast(df: DataFrame, grid: Sequence[float] = SCALE_GRID, cutoffs: in
         return pd.DataFrame([row])
 
     kind = dict(df.dtypes)["station"]
-    cols = _with_holiday(df).select("station", "date", "volume", "holiday")
-    return cols.groupBy("station").applyInPandas(
+    return _model_rows(df).groupBy("station").applyInPandas(
         tune, f"station {kind}, changepoint_scale double, rmse double, share5 double, share10 double, share15 double"
     )
 
@@ -197,7 +208,7 @@ def category_forecast(
     """
     entries = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("category")) for c in categories])
     long = df.select(F.explode(entries).alias("c"), F.col(date).alias("date"), F.col(value).cast("double").alias("volume"))
-    points = long.groupBy("c.kind", "c.category", "date").agg(
+    points = long.groupBy("c.kind", "c.category", F.unix_date("date").alias("day")).agg(
         F.avg("volume").alias("volume"), F.count("volume").cast("double").alias("weight")
     ).withColumn("holiday", F.lit(0))
 
@@ -207,22 +218,27 @@ def category_forecast(
         out.insert(1, "category", key[1])
         return out
 
-    return points.groupBy("kind", "category").applyInPandas(fit, f"kind string, category string, {_FIT}")
+    return _dated(points.groupBy("kind", "category").applyInPandas(fit, f"kind string, category string, {_FIT}"))
 
 
 def _mean_features(df: DataFrame, n: int) -> DataFrame:
     """Per day: mean of the last ``n`` same weekdays, of the last ``n`` holidays, and of the week to date.
 
-    All windows start with the station, so they share one shuffle.
+    All windows start with the station, so they share one shuffle. The week to date is the last ``weekday + 1`` rows,
+    read as lags of the same sorted rows instead of a window of its own; ``back`` counts days from the end.
     """
-    back = -(n - 1)
-    same = Window.partitionBy("station", "weekday").orderBy("date").rowsBetween(back, 0)
-    feast = Window.partitionBy("station", "holiday").orderBy("date").rowsBetween(back, 0)
-    week = Window.partitionBy("station", F.trunc("date", "week")).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    same = Window.partitionBy("station", "weekday").orderBy("date").rowsBetween(-(n - 1), 0)
+    feast = Window.partitionBy("station", "holiday").orderBy("date").rowsBetween(-(n - 1), 0)
     order = Window.partitionBy("station").orderBy("date")
-    rows = df.withColumns({"target": F.lead("volume").over(order), "target_date": F.lead("date").over(order)})
+    lags = {f"_lag{k}": F.when(F.col("weekday") >= k, F.lag("volume", k).over(order)) for k in range(1, 7)}
+    rows = df.withColumns({
+        "target": F.lead("volume").over(order), "target_date": F.lead("date").over(order),
+        "back": F.count("*").over(Window.partitionBy("station")) - F.row_number().over(order) + 1, **lags,
+    })
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in lags), F.col("volume"))
+    count = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in lags), F.lit(1))
+    rows = rows.withColumn("week_to_date", total / count).drop(*lags)
     rows = rows.withColumn("same_day", F.avg("volume").over(same))
-    rows = rows.withColumn("week_to_date", F.avg("volume").over(week))
     return rows.withColumn("holiday_mean", F.when(F.col("holiday") == 1, F.avg("volume").over(feast)))
 
 
@@ -232,10 +248,9 @@ def _mean_prediction(w1: Column, w2: Column) -> Column:
     return F.when(F.col("state") == NEW, F.col("same_day")).when(F.col("holiday") == 1, F.col("holiday_mean")).otherwise(pair)
 
 
-def _recent(df: DataFrame, history: int) -> DataFrame:
-    """The last ``history`` days that have a following day, with their features."""
-    rank = F.row_number().over(Window.partitionBy("station").orderBy(F.col("date").desc()))
-    return df.withColumn("_back", rank).filter(F.col("_back").between(2, history + 1))
+def recent_features(df: DataFrame, history: int = 15, n: int = 4) -> DataFrame:
+    """Features of the last ``history`` days that have a following day."""
+    return _mean_features(df, n).filter(F.col("back").between(2, history + 1))
 
 
 def mean_forecast(df: DataFrame, weights: DataFrame, n: int = 4) -> DataFrame:
@@ -253,7 +268,11 @@ def fit_mean_weights(df: DataFrame, history: int = 15, n: int = 4) -> DataFrame:
     The loss is quadratic, so five sums give the minimum; where the sums are collinear the solution nearest to the
     start (0.5, 0.5) is taken. Stations with too short a history get NULL weights.
     """
-    rows = _recent(_mean_features(df, n), history)
+    return mean_weights(recent_features(df, history, n), history)
+
+
+def mean_weights(rows: DataFrame, history: int = 15) -> DataFrame:
+    """:func:`fit_mean_weights` from :func:`recent_features`."""
     free = (F.col("state") != NEW) & (F.col("holiday") == 0)
     a, b = F.when(free, F.col("same_day") / 2), F.when(free, F.col("week_to_date") / 2)
     y = F.col("target")
@@ -283,9 +302,17 @@ def fit_mean_weights(df: DataFrame, history: int = 15, n: int = 4) -> DataFrame:
     return out.select("station", *[F.when(known, c).alias(name) for c, name in ((w1, "w1"), (w2, "w2"), (rmse, "rmse"))])
 
 
-def backtest(df: DataFrame, weights: DataFrame, history: int = 15, n: int = 4) -> DataFrame:
-    """One-day forecasts of the last ``history`` days with their relative errors."""
-    rows = _recent(_mean_features(df, n), history).join(weights.select("station", "w1", "w2"), "station")
+def backtest(df: DataFrame, weights: DataFrame | None = None, history: int = 15, n: int = 4) -> DataFrame:
+    """One-day forecasts of the last ``history`` days with their relative errors.
+
+    Without ``weights`` they are fitted on the same days; the few rows per station are then staged, so the
+    windows over the whole series run once.
+    """
+    rows = recent_features(df, history, n)
+    if weights is None:
+        rows = staged(rows)
+        weights = mean_weights(rows, history)
+    rows = rows.join(weights.select("station", "w1", "w2"), "station")
     raw = _mean_prediction(F.col("w1"), F.col("w2"))
     rows = rows.withColumn("prediction", F.when(raw.isNotNull(), F.greatest(raw, F.lit(0.0))))
     return rows.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,15 +52,16 @@ def correct_outliers_hampel(df: DataFrame, w: int = 100, n: int = 4, devs: float
     """
     if "day_code" not in df.columns:
         df = df.withColumn("day_code", day_code("date", "holiday"))
+    df = df.fillna(0.0, subset=["volume"])
     scale = devs * MAD_SCALE
 
-    def limits(pdf):
-        pdf = pdf.sort_values("date")
-        median, limit = _window_limits(pdf["volume"].to_numpy(float), w, scale)
-        return pdf.assign(_median=median, _limit=limit)
+    def limits(table):
+        table = table.sort_by("date")
+        median, limit = _window_limits(table["volume"].to_numpy(), w, scale)
+        return table.append_column("_median", pa.array(median)).append_column("_limit", pa.array(limit))
 
     schema = T.StructType([*df.schema.fields, T.StructField("_median", T.DoubleType()), T.StructField("_limit", T.DoubleType())])
-    rows = df.groupBy("station").applyInPandas(limits, schema)
+    rows = df.groupBy("station").applyInArrow(limits, schema)
     outlier = F.abs(F.col("volume") - F.col("_median")) > F.col("_limit")
     if replacement == "weekday":
         rank = F.row_number().over(Window.partitionBy("station", "day_code").orderBy(F.col("date").desc()))

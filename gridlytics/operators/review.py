@@ -73,22 +73,24 @@ def justified() -> Column:
     )
 
 
-def suspended_period() -> Column:
-    """Rule 2: a possibly suspended period whose estimated consumption stays in the band."""
+def estimated_share() -> Column:
+    """Deviation in percent of the estimated consumption, from the product's or else the locality's average."""
     estimated, avg, local = F.col("estimated"), F.col("product_avg"), F.col("local_avg")
-    share = (
+    reference = F.when(avg != 0, avg).when(local != 0, local)
+    return (
         F.when(F.col("rule_1") == YES, F.lit(float(JUSTIFIED_DEVIATION)))
-        .when(avg != 0, ratio(estimated - avg, avg) * 100)
-        .when(local != 0, ratio(estimated - local, local) * 100)
-        .otherwise(F.lit(float(UNKNOWN_DEVIATION)))
+        .when(reference.isNull(), F.lit(float(UNKNOWN_DEVIATION)))
+        .otherwise(ratio(estimated - reference, reference) * 100)
     )
-    days = F.col("suspended_days")
-    inside = (share >= F.col("lower_band")) & (share <= F.col("upper_band"))
-    outside = (share < F.col("lower_band")) | (share > F.col("upper_band"))
+
+
+def suspended_period() -> Column:
+    """Rule 2: a possibly suspended period whose estimated consumption stays in the band."""
+    days, share = F.col("suspended_days"), F.col("estimated_share")
+    inside = share.between(F.col("lower_band"), F.col("upper_band"))
     return (
         F.when(F.col("rule_1") == YES, "Aplica Regla 1")
-        .when(days == 0, NO)
-        .when((days >= 0) & outside, NO)
+        .when((days == 0) | ((days >= 0) & ~inside), NO)
         .when((F.col("volume") != 0) & inside & (F.col("rule_0") == 1), YES)
         .otherwise(NO)
     )
@@ -111,9 +113,9 @@ def local_comparison() -> Column:
 def review_rules(df: DataFrame) -> DataFrame:
     steps = (
         ("rule_0", monotone()), ("deviation", deviation()), ("rule_band", in_band()),
-        ("rule_1", justified()), ("rule_2", suspended_period()), ("rule_4", local_comparison()),
+        ("rule_1", justified()), ("estimated_share", estimated_share()), ("rule_2", suspended_period()), ("rule_4", local_comparison()),
     )
     out = prepare(df)
     for name, rule in steps:
         out = out.withColumn(name, rule)
-    return out
+    return out.drop("estimated_share")

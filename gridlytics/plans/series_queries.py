@@ -380,7 +380,7 @@ def _(t):
 
 @query("backtest", "SELECT * FROM backtest", ["backtest"], ["actual", "prediction", "error"])
 def _(t):
-    return FC.backtest(t.stated, FC.fit_mean_weights(t.stated))
+    return FC.backtest(t.stated)
 
 
 @query("backtest_summary", """
@@ -388,7 +388,7 @@ def _(t):
            avg(CASE WHEN error < 0.1 THEN 1.0::DOUBLE ELSE 0 END) AS share10, avg(CASE WHEN error < 0.15 THEN 1.0::DOUBLE ELSE 0 END) AS share15
     FROM backtest GROUP BY 1""", ["backtest"], ["rmse", "share5", "share10", "share15"])
 def _(t):
-    return FC.backtest_summary(FC.backtest(t.stated, FC.fit_mean_weights(t.stated)))
+    return FC.backtest_summary(FC.backtest(t.stated))
 
 
 @query("simple_mean_forecast", """
