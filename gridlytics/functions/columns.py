@@ -73,6 +73,11 @@ def clip(col, lo=None, hi=None) -> Column:
     return F.when(value.isNotNull(), out)
 
 
+def pick(values: Sequence, index: Column) -> Column:
+    """Value at a 0-based position; NULL for a NULL position, where ``element_at`` on a literal array returns a value."""
+    return F.get(F.array(*map(F.lit, values)), index)
+
+
 def ratio(num, den, fill=None) -> Column:
     """``num / den`` with a zero or NULL denominator giving ``fill``."""
     out = F.try_divide(as_column(num).cast("double"), as_column(den).cast("double"))
@@ -109,11 +114,11 @@ def day_code(date, holiday=None) -> Column:
 
 
 def weekday_name(date) -> Column:
-    return F.element_at(F.array(*map(F.lit, WEEKDAY_NAMES)), F.weekday(as_column(date)) + 1)
+    return pick(WEEKDAY_NAMES, F.weekday(as_column(date)))
 
 
 def month_name(date) -> Column:
-    return F.element_at(F.array(*map(F.lit, MONTH_NAMES)), F.month(as_column(date)))
+    return pick(MONTH_NAMES, F.month(as_column(date)) - 1)
 
 
 def percent_error(predicted, actual) -> Column:

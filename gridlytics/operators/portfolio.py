@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlytics.functions.columns import band, flag, month_end, ratio, sentinel_to_null
+from gridlytics.functions.columns import band, flag, month_end, pick, ratio, sentinel_to_null
 from gridlytics.operators.stats import grouped_ols, principal_axis, project_axis
 from gridlytics.sources.staging import staged
 
@@ -262,10 +262,7 @@ def segment_code(score: str = "score") -> Column:
 
 
 def score_segments(scored: DataFrame, score: str = "score") -> DataFrame:
-    names = F.array(*map(F.lit, SEGMENT_NAMES))
-    return scored.withColumn("segment", segment_code(score)).withColumn(
-        "segment_name", F.element_at(names, F.col("segment") + 1)
-    )
+    return scored.withColumn("segment", segment_code(score)).withColumn("segment_name", pick(SEGMENT_NAMES, F.col("segment")))
 
 
 def segment_counts(segmented: DataFrame) -> DataFrame:

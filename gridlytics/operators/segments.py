@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlytics.functions.columns import to_date
+from gridlytics.functions.columns import pick, to_date
 from gridlytics.operators.ranks import quantiles
 from gridlytics.operators.relational import except_keys, first_per_key
 from gridlytics.sources.staging import staged
@@ -158,7 +158,7 @@ def _magnitude(cols: Sequence[str]) -> Column:
 def name_by_amount(clusters: DataFrame, amount: str = "monetary_score", names: Sequence[str] = FIVE_TIERS) -> DataFrame:
     """Name centres from the largest amount score down. One row per cluster, so ranking them is a fixed cost."""
     rank = F.row_number().over(Window.partitionBy().orderBy(F.col(amount).desc(), "cluster"))
-    return clusters.withColumn("name", F.element_at(F.array(*map(F.lit, names)), rank))
+    return clusters.withColumn("name", pick(names, rank - 1))
 
 
 def name_by_magnitude(clusters: DataFrame, names: Sequence[str] = FIVE_TIERS) -> DataFrame:

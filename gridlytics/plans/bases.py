@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlytics.functions.columns import pick
 from gridlytics.operators import series as S
 
 CREDIT_AS_OF = "2001-08-01"
@@ -238,7 +239,7 @@ class Tables:
     @cached_property
     def devices(self) -> DataFrame:
         users = self.events.groupBy("user_id").agg(F.count("*").alias("_n"))
-        unit = F.element_at(F.array(*map(F.lit, ("M3", "FT3", "KPC", "MBTU", "GAL"))), (F.col("user_id") % 5 + 1).cast("int"))
+        unit = pick(("M3", "FT3", "KPC", "MBTU", "GAL"), (F.col("user_id") % 5).cast("int"))
         return users.select(
             F.col("user_id").alias("station"), F.col("user_id").alias("history_id"),
             (F.col("user_id") % 3).cast("int").alias("column_id"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridlytics.functions.columns import pick
 from gridlytics.operators import models as MD
 from gridlytics.operators import relational as R
 from gridlytics.operators import segments as G
@@ -198,7 +199,7 @@ def _(t):
     for kind, code in ((0, "O"), (2, "F")):
         live, small = G.split_partners(t.partner_base.filter(F.col("channel") == code))
         scored = G.quantile_score(live, "monetary", drop_duplicates=True)
-        name = F.element_at(F.array(*map(F.lit, G.FIVE_TIERS)), 6 - F.col("monetary_score"))
+        name = pick(G.FIVE_TIERS, 5 - F.col("monetary_score"))
         channels[kind] = (scored.withColumns({"cluster": 5 - F.col("monetary_score"), "name": name}), small, registered)
     partners = t.supplier.select(
         F.col("s_suppkey").alias("partner_id"), F.col("s_nationkey").alias("contractor_id"), F.col("s_name").alias("point_of_sale")
