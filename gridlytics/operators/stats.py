@@ -239,9 +239,14 @@ def history_length(
     return best.select(key, day, F.col("b.days").alias("days"), F.col("b.p_value").alias("p_value"))
 
 
-def grouped_ols(df: DataFrame, by: Sequence[str], features: Sequence[str], label: str) -> DataFrame:
+def grouped_ols(
+    df: DataFrame, by: Sequence[str], features: Sequence[str], label: str, nested: Sequence[str] | None = None
+) -> DataFrame:
     """Least squares with intercept per group: ``coefficients`` (intercept last), ``ssr`` and ``n``.
 
+    ``nested`` names a subset of the features; ``ssr_nested`` is then the squared error of the fit on them alone,
+    from the same sums.
+
     One aggregate collects means and covariances, so a hot group is added up map-side like any sum; only
     one small matrix per group reaches Python. Covariances are merged around running means, which keeps them
     accurate for large values.
@@ -256,22 +261,31 @@ def grouped_ols(df: DataFrame, by: Sequence[str], features: Sequence[str], label
         F.array(*[F.covar_pop(f"x{i}", f"x{j}") for i, j in pairs]).alias("cov"),
     )
 
+    subset = [list(features).index(c) for c in (features if nested is None else nested)]
+
+    def least(spread: np.ndarray, cols: list[int]) -> tuple[np.ndarray, float]:
+        inner, cross = spread[np.ix_(cols, cols)], spread[cols, -1]
+        beta, *_ = np.linalg.lstsq(inner, cross, rcond=1e-12)
+        return beta, max(float(spread[-1, -1] - 2 * beta @ cross + beta @ inner @ beta), 0.0)
+
     def solve(n: pd.Series, means: pd.Series, cov: pd.Series) -> pd.DataFrame:
-        coefs, ssr = [], []
+        coefs, ssr, small = [], [], []
         for count, mean, flat in zip(n, means, cov):
             spread = np.zeros((k, k))
             for (i, j), value in zip(pairs, flat):
                 spread[i, j] = spread[j, i] = value * count
-            beta, *_ = np.linalg.lstsq(spread[:-1, :-1], spread[:-1, -1], rcond=1e-12)
-            left = spread[-1, -1] - 2 * beta @ spread[:-1, -1] + beta @ spread[:-1, :-1] @ beta
+            beta, left = least(spread, list(range(k - 1)))
             coefs.append([*beta.tolist(), float(mean[-1] - beta @ np.asarray(mean[:-1]))])
-            ssr.append(max(float(left), 0.0))
-        return pd.DataFrame({"coefficients": coefs, "ssr": ssr})
+            ssr.append(left)
+            small.append(left if nested is None else least(spread, subset)[1])
+        return pd.DataFrame({"coefficients": coefs, "ssr": ssr, "ssr_nested": small})
 
     solved = F.pandas_udf(solve, T.StructType([
         T.StructField("coefficients", T.ArrayType(T.DoubleType())), T.StructField("ssr", T.DoubleType()),
+        T.StructField("ssr_nested", T.DoubleType()),
     ]))
-    return sums.select(*by, "n", solved("n", "means", "cov").alias("fit")).select(*by, "n", "fit.*")
+    out = sums.select(*by, "n", solved("n", "means", "cov").alias("fit")).select(*by, "n", "fit.*")
+    return out if nested is not None else out.drop("ssr_nested")
 
 
 def principal_axis(df: DataFrame, by: Sequence[str], cols: Sequence[str], orient: str) -> DataFrame:
