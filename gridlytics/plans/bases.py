@@ -187,7 +187,8 @@ class Tables:
     @cached_property
     def station_closes(self) -> DataFrame:
         kinds = self.supplier.select(
-            F.col("s_suppkey").alias("product_id"), (F.col("s_nationkey") % 3 + 1).alias("category"),
+            F.col("s_suppkey").alias("product_id"),
+            F.when(F.col("s_acctbal") > 8000, 3).when(F.col("s_acctbal") > 4000, 2).otherwise(1).alias("category"),
             (F.col("s_nationkey") % 6 + 1).alias("subcategory"),
         )
         months = self.lineitem.select(
@@ -511,7 +512,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                      year(l_shipdate) * 100 + month(l_shipdate) AS period_id FROM lineitem) p USING (period_id)
         JOIN (SELECT DISTINCT l_suppkey AS product_id, CAST(last_day(l_shipdate) AS DATE) AS close_date FROM lineitem) m
           ON m.product_id = c.product_id AND m.close_date = last_day(period_date)
-        JOIN (SELECT s_suppkey, s_nationkey % 3 + 1 AS category, s_nationkey % 6 + 1 AS subcategory FROM supplier) k
+        JOIN (SELECT s_suppkey, CASE WHEN s_acctbal > 8000 THEN 3 WHEN s_acctbal > 4000 THEN 2 ELSE 1 END AS category,
+                     s_nationkey % 6 + 1 AS subcategory FROM supplier) k
           ON k.s_suppkey = c.product_id AND category <= 2
         GROUP BY 1, 2, 3, 4"""),
     "averages": (("consumption",), """

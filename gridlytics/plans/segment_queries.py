@@ -279,7 +279,7 @@ def _prepared(t: Tables):
     return prep.transform(rows), prep
 
 
-@query("prep_pipeline")
+@query("encoded_features")
 def _(t):
     from pyspark.ml.functions import vector_to_array
 

@@ -14,7 +14,7 @@ def staged(df: DataFrame) -> DataFrame:
     executor costs no recomputation. Only a local session without that setting gets a folder of its own.
     """
     context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
         if folder is None:
             if not context.master.startswith("local"):

@@ -340,3 +340,11 @@ def test_tables_and_models_round_trip(spark, tmp_path):
     MD.save_model(model, str(tmp_path / "m"))
     out = FT.score_batch(MD.load_model(str(tmp_path / "m")), df.select("id"), df, "id", ["x"])
     assert len({r.cluster for r in out.collect()}) == 2
+
+
+def test_staging_keeps_the_rows(spark):
+    from gridlytics.sources.staging import staged
+
+    out = staged(spark.range(100).withColumn("x", F.col("id") * 2))
+    assert out.agg(F.sum("x")).first()[0] == 9900
+    assert spark.sparkContext.getCheckpointDir() is not None
