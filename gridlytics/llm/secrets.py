@@ -7,6 +7,8 @@ rule has taken is a secret if the random model makes it far more likely.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ SPAN = "array<struct<start:int,kind:int,end:int>>"
 TRAINING_TEXTS = 4000
 #: Natural logarithm of the ratio of likelihoods from which on a token is a secret, in all and per pair of characters.
 LEAST_RATIO, LEAST_MEAN = 18.0, 0.8
-SMOOTHING = 0.5
+#: Pairs' worth of belief in how common a character is by itself, where a model has seen few pairs.
+BACKING = 5.0
 
 
 def _found(text: Column, pattern: str, kind: int, accept, group: int = 0, offset: Column | None = None) -> Column:
@@ -71,7 +74,7 @@ def _pairs(token: Column) -> Column:
 
 def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAINING_TEXTS) -> DataFrame:
     """Labelled tokens (`token`, `random`): random are the values that the rules find in all texts sampled, and digests of the ids
-    as hexadecimal and base 64; ordinary are the words and identifiers of texts in which no rule finds anything.
+    as hexadecimal and base 64; ordinary are the words of texts in which no rule finds anything, alone and joined to names as programs have them.
 
     The sample holds about `most` texts, chosen by the hash of the id.
     """
@@ -79,12 +82,20 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
     digest = F.sha2(F.coalesce(F.col("id").cast("string"), F.lit("")), 256)
-    marked = chosen.select("text", F.flatten(F.array(*rule_spans(F.col("text")))).alias("spans"), digest.alias("digest"))
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9_-]{2,}"), F.lit(0))
+    marked = chosen.select(
+        "text", F.flatten(F.array(*rule_spans(F.col("text")))).alias("spans"), digest.alias("digest"), words.alias("words")
+    )
     values = F.transform("spans", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
     last = F.transform(values, lambda v: F.regexp_extract(v, r"([A-Za-z0-9+/=_-]+)$", 1))  # of an assignment, its value
     random = F.concat(last, F.array("digest", F.base64(F.unhex("digest"))))
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9_-]{2,}"), F.lit(0))
-    ordinary = F.when(F.size("spans") == 0, words).otherwise(F.array().cast("array<string>"))
+    # names in programs are words too: two in a row, set apart by a sign or a capital, some with a year or a number
+    signs = F.array(*map(F.lit, ("_", "-", "", "/", "_", "=")))
+    names = F.transform("words", lambda w, k: F.concat(
+        w, F.get(signs, k % 6), F.coalesce(F.when(k % 6 == 2, F.initcap(F.get("words", k + 1))).otherwise(F.get("words", k + 1)), F.lit("")),
+        F.when(k % 5 == 0, F.concat(F.get(signs, k % 3), (k * 37 % 2100).cast("string"))).otherwise(F.lit("")),
+    ))
+    ordinary = F.when(F.size("spans") == 0, F.concat("words", names)).otherwise(F.array().cast("array<string>"))
     return marked.select(F.explode(F.concat(
         F.transform(random, lambda t: F.struct(t.alias("token"), F.lit(True).alias("random"))),
         F.transform(ordinary, lambda t: F.struct(t.alias("token"), F.lit(False).alias("random"))),
@@ -100,15 +111,15 @@ def train(samples: DataFrame) -> list[float]:
     size = len(ALPHABET)
     usable = samples.where(F.col("token").rlike(r"^[A-Za-z0-9+/=_-]{2,}$") & F.col("random").isNotNull())
     counts = usable.select("random", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").count().collect()
-    import math
-
-    tables = {True: [SMOOTHING] * size**2, False: [SMOOTHING] * size**2}
+    tables = {True: [0.0] * size**2, False: [0.0] * size**2}
     for random, pair, n in counts:
         tables[random][pair] += n
 
     def logs(table: list[float]) -> list[float]:
-        sums = [sum(table[k * size : (k + 1) * size]) for k in range(size)]
-        return [math.log(x / sums[k // size]) for k, x in enumerate(table)]
+        rows = [sum(table[k * size : (k + 1) * size]) for k in range(size)]
+        total = sum(rows)
+        second = [(sum(table[k::size]) + 1) / (total + size) for k in range(size)]
+        return [math.log((x + BACKING * second[k % size]) / (rows[k // size] + BACKING)) for k, x in enumerate(table)]
 
     return [round(a - b, 5) for a, b in zip(logs(tables[True]), logs(tables[False]))]
 

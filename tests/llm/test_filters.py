@@ -111,7 +111,7 @@ def test_redaction_leaves_no_rule_span(spark, sf_dir):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([*TRICKY, None, "", "plain text"])], "doc_id long, text string")
     found = {r.doc_id: r.text for r in secrets.redact(docs, table).collect()}
     assert found[len(TRICKY)] is None and found[len(TRICKY) + 1] == "" and found[len(TRICKY) + 2] == "plain text"
-    assert found[1] == "[SECRET] apikey : short" and found[4] == "[SECRET] x[SECRET]g deadbeef"
+    assert found[1] == '[SECRET]" apikey : short' and found[4] == "[SECRET] x[SECRET]g deadbeef"
     assert secrets.redact(edge(spark), table).columns == edge(spark).columns
 
 
