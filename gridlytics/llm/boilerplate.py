@@ -71,6 +71,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     pieces: list[str] = []
     stack: list[tuple[str, int, bool]] = []  # open elements: name, what their text is, whether inside an article
+    opened: dict[str, int] = {}  # how many of each name are open
     kind, article = LOOSE, False
 
     def flush() -> None:
@@ -83,8 +84,13 @@ def blocks(page: str) -> list[tuple[str, int]]:
         nonlocal kind, article
         flush()
         _, kind, article = stack[depth]
+        for gone, _, _ in stack[depth:]:
+            opened[gone] -= 1
         del stack[depth:]
 
+    def innermost(name: str) -> int | None:
+        return next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name) if opened.get(name) else None
+
     at, n = 0, len(page)
     while at < n:
         found = TAG.search(page, at)
@@ -100,17 +106,18 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if not name:
             continue
         if found.group(1):
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            depth = innermost(name)
             if depth is not None and (name in BLOCKS or name in NEVER or stack[depth][1:] != (kind, article)):
                 close(depth)
             elif depth is not None:
                 del stack[depth]
+                opened[name] -= 1
             elif name in BLOCKS:
                 flush()
             continue
         attributes = found.group(3)
         if name in CLOSES_P:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
+            depth = innermost("p")
             if depth is not None:
                 close(depth)
         if name in BLOCKS or name in NEVER:
@@ -130,6 +137,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
                 flush()
                 kind = OTHER
         stack.append(before)
+        opened[name] = opened.get(name, 0) + 1
     flush()
     return out
 

@@ -14,6 +14,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -245,8 +246,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
 
 
 def _holds(sent):
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def holds(column: pd.Series) -> pd.Series:
         out, at = np.zeros(len(column), bool), 0

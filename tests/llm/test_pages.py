@@ -77,12 +77,13 @@ def test_repeated_runs_against_brute_force():
 
 
 def test_what_a_host_repeats_goes_where_no_article_is_marked(spark):
+    story = lambda k: " ".join(f"story{k}-{j}" for j in range(12))
     chrome = "<div>Welcome to our site home of the very best offers in town today</div>"
     end = "<div>All rights are reserved by the owner of this fine site since long ago</div>"
-    rows = [(k, f"https://h.example/{k}", f"{chrome}<div>Story number {k} tells of {k * 7} things that nobody else tells at all</div>{end}") for k in range(9)]
+    rows = [(k, f"https://h.example/{k}", f"{chrome}<div>{story(k)}</div>{end}") for k in range(9)]
     rows += [(100, "https://other.example/", chrome)]
     found = {r.page_id: r.text for r in boilerplate.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert [found[k] for k in range(9)] == [f"Story number {k} tells of {k * 7} things that nobody else tells at all" for k in range(9)]
+    assert [found[k] for k in range(9)] == [story(k) for k in range(9)]
     assert found[100].startswith("Welcome")
 
 
