@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlytics.functions.special import chi2_sf, f_cdf, kolmogorov_sf, normal_cdf, t_two_sided
+from gridlytics.functions.special import chi2_sf, f_cdf, kolmogorov_sf, normal_log_tail, t_two_sided
 from gridlytics.operators.ranks import mode_by, quantiles_of, ranked_values
 
 # Anderson-Darling critical values for a normal law with estimated mean and variance,
@@ -133,11 +133,11 @@ def anderson_darling(df: DataFrame, key: str, value: str) -> DataFrame:
     ranked = ranked_values(df, value, [key]).join(moments, key).filter(F.col("_s") > 0)
     z = (F.col("value") - F.col("_m")) / F.col("_s")
     tails = ranked.select(
-        key, "n", "below", "total", normal_cdf(z).alias("_lower"), normal_cdf(-z).alias("_upper")
+        key, "n", "below", "total", normal_log_tail(z).alias("_lower"), normal_log_tail(-z).alias("_upper")
     )
     b, c, n = (F.col(x).cast("double") for x in ("below", "n", "total"))
-    left = ((b + c) * (b + c) - b * b) * F.ln(F.greatest("_lower", F.lit(1e-300)))
-    right = ((n - b) * (n - b) - (n - b - c) * (n - b - c)) * F.ln(F.greatest("_upper", F.lit(1e-300)))
+    left = ((b + c) * (b + c) - b * b) * F.col("_lower")
+    right = ((n - b) * (n - b) - (n - b - c) * (n - b - c)) * F.col("_upper")
     out = tails.groupBy(key).agg(F.first("total").cast("double").alias("n"), F.sum(left + right).alias("_sum"))
     factor = 1 + 4 / F.col("n") - 25 / (F.col("n") * F.col("n"))
     return out.select(

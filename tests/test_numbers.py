@@ -250,3 +250,41 @@ def test_auc_and_history_length(spark):
     assert np.isclose(MD.roc_auc(spark.createDataFrame(pdf)).first().auc, wins)
     jump = frame(spark, {1: [10 + (i % 3) for i in range(700)] + [300 + (i % 3) for i in range(35)]}).withColumn("weekday", F.weekday("date"))
     assert {r.days for r in ST.history_length(jump, "station", "weekday", "date", "volume").collect()} == {4}
+
+
+def _poisson_tail(a, x):
+    """Q(a, x) of a whole a as the finite sum of Poisson weights, by logarithms around the peak."""
+    k = np.arange(max(0, int(a - 60 * math.sqrt(a) - 100)), int(a), dtype=float)
+    if a < 10_000:
+        logs = [-x + v * math.log(x) - math.lgamma(v + 1) for v in k]
+    else:
+        logs = -k * (x / k - 1 - np.log(x / k)) - 0.5 * np.log(2 * np.pi * k) - 1 / (12 * k)
+    return math.fsum(np.exp(logs))
+
+
+def test_gamma_tail_does_not_depend_on_size():
+    for a in (1, 2, 5, 50, 500, 5000, 30_000, 99_999, 100_001, 300_000, 3_000_000):
+        for z in (-4, -1, 0, 0.5, 2, 5):
+            x = a + z * math.sqrt(a)
+            if x > 0:
+                assert np.isclose(SP.gamma_upper(a, x), _poisson_tail(a, x), rtol=1e-8, atol=1e-12), (a, z)
+    for a in (3e7, 3e8, 5e8, 1e12):
+        assert np.isclose(SP.gamma_upper(a, a), 0.5 - 1 / (3 * math.sqrt(2 * math.pi * a)), atol=1e-12)
+
+
+def test_log_tail_of_the_normal_law():
+    for z in (-36, -20, -5, -2.9, -2.8, -1, 0, 1, 3):
+        assert np.isclose(SP.normal_log_cdf(z), math.log(0.5 * math.erfc(-z / math.sqrt(2))), rtol=1e-11)
+    for z in (40.0, 50.0, 1e4):  # the first terms of the asymptotic series
+        expected = -z * z / 2 - math.log(z * math.sqrt(2 * math.pi)) + math.log1p(-1 / z**2 + 3 / z**4)
+        assert np.isclose(SP.normal_log_cdf(-z), expected, rtol=1e-10)
+
+
+def test_t_tail_tends_to_the_normal_law():
+    for dof in (1e6, 1e9, 1e12):
+        tail = SP.beta_lower(dof / 2, 0.5, dof / (dof + 1.96**2), 1.96**2 / (dof + 1.96**2))
+        assert np.isclose(tail, math.erfc(1.96 / math.sqrt(2)), atol=2 / dof + 1e-9)
+
+
+def test_unsettled_elements_are_not_numbers():
+    assert np.isnan(SP._masked(np.array([np.nan, 0.5]), pd.Series([1.0, 1.0])).astype(float)[0])
