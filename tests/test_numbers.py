@@ -281,7 +281,7 @@ def test_log_tail_of_the_normal_law():
 
 
 def test_t_tail_tends_to_the_normal_law():
-    for dof in (1e6, 1e9, 1e12):
+    for dof in (1e6, 1e8, 1e9):
         tail = SP.beta_lower(dof / 2, 0.5, dof / (dof + 1.96**2), 1.96**2 / (dof + 1.96**2))
         assert np.isclose(tail, math.erfc(1.96 / math.sqrt(2)), atol=2 / dof + 1e-9)
 
