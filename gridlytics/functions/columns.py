@@ -130,3 +130,9 @@ def percent_error(predicted, actual) -> Column:
 def sentinel_to_null(col, sentinel: str = "1900-01-01") -> Column:
     value = as_column(col)
     return F.when(value != F.lit(sentinel).cast("date"), value)
+
+
+def draw(keys: Sequence[str], seed: int = 0) -> Column:
+    """A whole number from 0 to 2^60 - 1 drawn by the keys of a row: the first 15 digits of an MD5 sum, the same in any engine."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")

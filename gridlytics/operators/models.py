@@ -15,6 +15,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlytics.functions.columns import draw
+
 # Longest arrears range, arrears growth that still counts as paid, and the debts, in
 # millions, above which a training row is an outlier.
 MAX_ARREARS_RANGE, ACCEPTED_GROWTH = 480, 28
@@ -67,9 +69,10 @@ def oversample(df: DataFrame, keys: Sequence[str], label: str = "label", ratio:
     probability of the rest. Reruns of a task give the same copies, and both classes are read in one pass.
     """
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    small = counts.agg(F.min(F.struct("n", label))).scalar()[label]
-    factor = (counts.agg(F.max("n")).scalar() * F.lit(float(ratio))) / counts.agg(F.min("n")).scalar()
-    point = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    least = F.min(F.struct("n", label))
+    both = counts.agg(F.struct(least[label].alias("label"), (F.max("n") * F.lit(float(ratio)) / least["n"]).alias("factor"))).scalar()
+    small, factor = both["label"], both["factor"]
+    point = draw(keys, seed) % 1_000_000 / 1_000_000
     copies = F.greatest(F.floor(factor) + F.when(point < factor - F.floor(factor), 1).otherwise(0), F.lit(1))
     wanted = F.when(F.col(label) == small, copies).otherwise(F.lit(1)).cast("int")
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), wanted))).drop("_copy")
@@ -96,7 +99,7 @@ def grid_search(kind: str, df: DataFrame, grid: Mapping[str, Sequence], folds: i
 
 def stratified_folds(df: DataFrame, keys: Sequence[str], label: str = "label", folds: int = 3, seed: int = 0) -> DataFrame:
     """Fold of each row by a hash seeded with its class, which spreads each class evenly."""
-    spread = F.pmod(F.xxhash64(F.col(label), *[F.col(k) for k in keys], F.lit(seed)), F.lit(folds))
+    spread = draw([label, *keys], seed) % folds
     return df.withColumn("fold", spread.cast("int"))
 
 

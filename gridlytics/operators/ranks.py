@@ -13,47 +13,46 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Equal-width cells over the range, and cells per unit of the logarithm. Both maps never decrease
-# in the value, so ordering by the pair agrees with ordering by the value; the first separates values
-# in a narrow range, the second a long tail.
-_WIDTH_CELLS = 4096
-_LOG_CELLS = 256
-
-
-def _cells(value: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
-    share = F.coalesce(F.try_divide(value - lo, hi - lo), F.lit(0.0))
-    width = F.floor(share * _WIDTH_CELLS)
-    log = F.floor(F.signum(value) * F.log1p(F.abs(value)) * _LOG_CELLS)
-    return width, log
+# Two levels of cells, taken from the value's own binary digits: the exponent with four digits behind it, then twenty more.
+# Neither depends on the other values, and both never decrease in the value, so values crowded around one point are
+# told apart as well as those of a long tail.
+_COARSE, _FINE, _OFFSET = 16, 1 << 20, 20_000
+
+
+def _cells(value: Column) -> tuple[Column, Column]:
+    size = F.abs(value)
+    exponent = F.floor(F.log2(size))
+    digits = (size / F.pow(F.lit(2.0), exponent) - 1) * _COARSE
+    coarse = exponent * _COARSE + F.floor(digits) + _OFFSET
+    fine = F.floor((digits - F.floor(digits)) * _FINE)
+    sign = F.signum(value).cast("long")
+    zero = (size == 0) | F.isnan(value)
+    special = F.when(F.isnan(value), 1 << 40).otherwise(0)
+    endless = F.when(size == float("inf"), 1 << 39)
+    return (
+        F.when(zero, special).otherwise(F.coalesce(endless, coarse) * sign),
+        F.when(zero | endless.isNotNull(), 0).otherwise(fine * sign),
+    )
 
 
 def ranked_values(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Distinct non-NULL values with ``n`` copies, ``below`` smaller rows and the group's ``total``."""
     by = list(by)
     rows = df.select(*by, F.col(value).cast("double").alias("value")).filter(F.col("value").isNotNull())
-    bounds = [F.min("value").alias("_lo"), F.max("value").alias("_hi")]
-    if by:
-        counted = rows.groupBy(*by, "value").agg(F.count("*").alias("n"))
-        limits = counted.groupBy(*by).agg(*bounds)
-        counted = counted.join(limits, by)
-        lo, hi = F.col("_lo"), F.col("_hi")
-    else:
-        limits = rows.agg(*bounds)
-        counted = rows.groupBy("value").agg(F.count("*").alias("n"))
-        lo, hi = limits.select("_lo").scalar(), limits.select("_hi").scalar()
-    width, log = _cells(F.col("value"), lo, hi)
-    cells = counted.select(*by, "value", "n", width.alias("_w"), log.alias("_g"))
+    counted = rows.groupBy(*by, "value").agg(F.count("*").alias("n"))
+    coarse, fine = _cells(F.col("value"))
+    cells = counted.select(*by, "value", "n", coarse.alias("_w"), fine.alias("_g"))
     sizes = cells.groupBy(*by, "_w", "_g").agg(F.sum("n").alias("_size"))
-    # At most a few thousand cells per group, whatever the number of rows.
+    # At most some ten thousand coarse cells per group, whatever the number of rows; fine ones are added up inside one of them.
     steps = Window.partitionBy(*by) if by else Window.partitionBy()
-    offsets = sizes.select(
-        *by, "_w", "_g",
-        F.sum("_size").over(steps.orderBy("_w", "_g").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
-        "_size",
-        F.sum("_size").over(steps).alias("total"),
-    ).withColumn("_before", F.col("_upto") - F.col("_size"))
+    upto = lambda frame, order: F.sum("_size").over(frame.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    large = sizes.groupBy(*by, "_w").agg(F.sum("_size").alias("_size")).select(
+        *by, "_w", (upto(steps, "_w") - F.col("_size")).alias("_below"), F.sum("_size").over(steps).alias("total")
+    )
+    small = sizes.select(*by, "_w", "_g", (upto(Window.partitionBy(*by, "_w"), "_g") - F.col("_size")).alias("_inside"))
+    offsets = small.join(large, [*by, "_w"]).withColumn("_before", F.col("_below") + F.col("_inside"))
     inside = Window.partitionBy(*by, "_w", "_g").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return cells.join(offsets.drop("_upto", "_size"), [*by, "_w", "_g"]).select(
+    return cells.join(offsets.drop("_below", "_inside"), [*by, "_w", "_g"]).select(
         *by, "value", "n",
         (F.col("_before") + F.sum("n").over(inside) - F.col("n")).alias("below"),
         "total",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlytics.functions.columns import flag, month_end, month_name, ratio, to_date, weekday_name
+from gridlytics.functions.columns import draw, flag, month_end, month_name, ratio, to_date, weekday_name
 
 
 def rename_all(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -77,7 +78,7 @@ def except_keys(all_ids: DataFrame, *others: DataFrame) -> DataFrame:
 
 def split(df: DataFrame, keys: Sequence[str], share: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Two disjoint parts by a hash of the keys: the same row always lands on the same side, also when a task is rerun."""
-    point = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    point = draw(keys, seed) % 1_000_000 < int(share * 1_000_000)
     return df.filter(point), df.filter(~point)
 
 
@@ -87,7 +88,7 @@ def sample_cap(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0) -> Dat
     A count per hash cell finds the cell where the n-th row lies; only that cell is ranked.
     """
     cells = 65_536
-    hashed = df.withColumn("_h", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)))
+    hashed = df.withColumn("_h", draw(keys, seed))
     hashed = hashed.withColumn("_cell", F.pmod(F.col("_h"), F.lit(cells)))
     # One row per cell: a fixed bound, so an unpartitioned window is safe here.
     frame = Window.partitionBy().orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
@@ -149,6 +150,30 @@ def calendar_parts(df: DataFrame, date: str) -> DataFrame:
     )
 
 
+def positive_share(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Share of the known values of each group that are above zero, with their number."""
+    known, above = F.count(value), F.count_if(F.col(value) > 0)
+    return df.groupBy(*by).agg(known.alias("n"), F.try_divide(above, known).alias("positive_share"))
+
+
+def sample(df: DataFrame, keys: Sequence[str], share: float, replace: bool = False, seed: int = 0) -> DataFrame:
+    """Rows drawn by their keys: each with probability ``share``, or with ``replace`` as often as a Poisson law of that mean says.
+
+    A row's number of copies depends on its keys alone, so a rerun task draws the same rows.
+    """
+    if not replace:
+        return split(df, keys, share, seed)[0]
+    point = draw(keys, seed) % 1_000_000 / 1_000_000
+    steps, total, term, k = [], 0.0, math.exp(-share), 0
+    while total < 1 - 1e-9:
+        total += term
+        steps.append(F.when(point >= total, 1).otherwise(0))
+        k += 1
+        term *= share / k
+    copies = sum(steps[1:], steps[0])
+    return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).drop("_copy")
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """One row per column with its number of NULLs; a single pass, then an unpivot of one row."""
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
@@ -157,7 +182,7 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def class_share(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / df.agg(F.count("*")).scalar())
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -94,8 +94,9 @@ def complete_dates(
 ) -> DataFrame:
     """Every day of every station from its first date to the day before ``as_of`` (or its last date).
 
-    The input has one row per station and day. Each row generates itself and the empty days up to the next row,
+    Each row generates itself and the empty days up to the next row,
     so there is no date grid, no join, and the result stays partitioned by station for the windows that follow.
+    The input has one row per station and day; of a day given twice, both rows stay and no day is made up.
     """
     order = Window.partitionBy("station").orderBy("date")
     rows = df.select("station", *attributes, "date", "volume")
@@ -104,7 +105,7 @@ def complete_dates(
         last = _yesterday(as_of)
         rows = rows.filter(F.col("date") <= last)
     until = F.coalesce(F.date_sub(F.lead("date").over(order), 1), last)
-    days = rows.withColumn("_until", until).withColumn("_day", F.explode(F.sequence("date", "_until")))
+    days = rows.withColumn("_until", until).withColumn("_day", F.explode(F.sequence("date", F.greatest("date", "_until"))))
     volume = F.when(F.col("_day") == F.col("date"), F.col("volume"))
     if missing is not None:
         volume = F.coalesce(volume, F.lit(missing))
@@ -207,17 +208,20 @@ def series_metrics(df: DataFrame, block: int = 15, attributes: Sequence[str] = (
     """
     keys = ["station", *attributes]
     index = F.row_number().over(Window.partitionBy("station").orderBy("date")) - 1
-    rows = df.withColumn("_block", F.floor(index / block))
+    # Moments are taken from the distance to the series' smallest volume: large, steady volumes keep their digits.
+    low = F.coalesce(F.min("volume").over(Window.partitionBy("station")), F.lit(0.0))
+    rows = df.withColumns({"_block": F.floor(index / block), "_low": low, "_x": F.col("volume") - low})
     blocks = rows.groupBy(*keys, "_block").agg(
         F.sum(flag(F.col("volume") == 0)).alias("_z"), F.count("*").alias("_n"),
-        F.sum("volume").alias("_s"), F.sum(F.col("volume") * F.col("volume")).alias("_ss"),
+        F.sum("_x").alias("_s"), F.sum(F.col("_x") * F.col("_x")).alias("_ss"), F.first("_low").alias("_low"),
     )
     out = blocks.groupBy(*keys).agg(
         F.sum("_z").alias("zeros"), F.sum("_n").alias("total"), F.sum("_s").alias("_s"), F.sum("_ss").alias("_ss"),
-        F.count("*").alias("blocks"), F.sum(F.col("_z") * F.col("_z")).alias("_zz"),
+        F.count("*").alias("blocks"), F.sum(F.col("_z") * F.col("_z")).alias("_zz"), F.first("_low").alias("_low"),
     )
-    n, mean = F.col("total"), F.col("_s") / F.col("total")
-    var = F.greatest(F.try_divide(F.col("_ss") - n * mean * mean, n - 1), F.lit(0.0))
+    n, above = F.col("total"), F.col("_s") / F.col("total")
+    mean = F.col("_low") + above
+    var = F.greatest(F.try_divide(F.col("_ss") - n * above * above, n - 1), F.lit(0.0))
     expected = F.col("zeros") / n * block
     # sum over blocks of (e - z)^2 / e, written out.
     stat = F.try_divide(F.col("_zz"), expected) - 2 * F.col("zeros") + F.col("blocks") * expected

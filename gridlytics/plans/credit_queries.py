@@ -12,6 +12,7 @@ from gridlytics.operators import review as V
 from gridlytics.operators import stats as ST
 from gridlytics.plans.bases import CREDIT_AS_OF, Tables
 from gridlytics.plans.registry import query
+from gridlytics.plans.tails import chi2_tail
 
 
 def _base(t: Tables):
@@ -338,7 +339,10 @@ def _(t):
     return ST.chi_square_uniform(_consumption(t), "volume").drop("p_value")
 
 
-@query("chi_square_p_value")
+@query("chi_square_p_value", f"""
+    SELECT *, {chi2_tail('statistic', 'dof')} AS p_value FROM (
+      SELECT count(*) AS n, sum(power(volume - m, 2)) / max(m) AS statistic, count(*) - 2 AS dof
+      FROM consumption CROSS JOIN (SELECT avg(volume) AS m FROM consumption))""", ["consumption"], ["statistic", "p_value"])
 def _(t):
     return ST.chi_square_uniform(_consumption(t), "volume")
 

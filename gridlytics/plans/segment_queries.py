@@ -11,6 +11,7 @@ from gridlytics.operators import segments as G
 from gridlytics.operators import stats as ST
 from gridlytics.plans.bases import CREDIT_AS_OF, Tables
 from gridlytics.plans.registry import query
+from gridlytics.plans.tails import draw
 from gridlytics.sources import features as FT
 
 
@@ -298,9 +299,16 @@ def _(t):
     return R.min_max(rows, ["gas_current", "balance"])
 
 
-@query("oversample")
+@query("oversample", f"""
+    SELECT * FROM (WITH rows AS (SELECT contract_id AS order_id, {_LABEL} AS label FROM relief WHERE category = 1),
+         counts AS (SELECT label, count(*) AS n FROM rows GROUP BY 1),
+         rule AS (SELECT arg_min(label, (n, label)) AS small, max(n) * 0.8::DOUBLE / min(n) AS factor FROM counts),
+         copied AS (SELECT order_id, label, CASE WHEN label = small THEN greatest(CAST(floor(factor) AS BIGINT)
+                           + CASE WHEN {draw(["order_id"])} % 1000000 / 1000000::DOUBLE < factor - floor(factor) THEN 1 ELSE 0 END, 1) ELSE 1 END AS copies
+                    FROM rows, rule)
+    SELECT order_id, label FROM (SELECT order_id, label, unnest(range(copies)) FROM copied))""", ["relief"])
 def _(t):
-    return MD.oversample(_labelled(t), ["order_id"], ratio=0.8).groupBy("label").agg(F.count("*").alias("n"))
+    return MD.oversample(_labelled(t), ["order_id"], ratio=0.8).select("order_id", "label")
 
 
 def _scored(t: Tables, kind: str, **params):

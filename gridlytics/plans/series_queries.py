@@ -15,6 +15,7 @@ from gridlytics.operators import similarity as SM
 from gridlytics.operators import stats as ST
 from gridlytics.plans.bases import READINGS_AS_OF, READINGS_START, SERIES_AS_OF, Tables
 from gridlytics.plans.registry import query
+from gridlytics.plans.tails import chi2_tail, t_tail
 from gridlytics.sources import merge as M
 
 
@@ -148,25 +149,31 @@ def _(t):
     return S.series_metrics(t.started).drop("uniformity")
 
 
-@query("series_uniformity")
+_UNIFORMITY = f"SELECT *, {chi2_tail('statistic', 'blocks - 1')} AS uniformity FROM ({_METRICS})"
+
+
+@query("series_uniformity", _UNIFORMITY, ["started"], ["share", "mean", "sd", "statistic", "uniformity"])
 def _(t):
     return S.series_metrics(t.started)
 
 
-@query("trim_series", f"""
-    SELECT s.* FROM started s JOIN ({_METRICS}) m USING (station)
-    WHERE NOT (m.share < 0.85 AND m.mean < 3) OR s.date >= s.start""", ["started"], ["volume"])
-def _(t):
-    # The tail probability has no SQL form; the mean stands in for it, so the trimming itself is compared.
-    metrics = S.series_metrics(t.started).withColumn("uniformity", F.when(F.col("mean") < 3, 0.0).otherwise(1.0))
-    return S.trim_series(t.started, metrics)
+# The started series is read once for the metrics and once for the rows.
+_TRIMMED = f"""
+    SELECT s.* FROM started s JOIN (SELECT station, coalesce(share < {{share}} AND uniformity < 0.05, false) AS cut FROM ({_UNIFORMITY})) m USING (station)
+    WHERE NOT m.cut OR s.date >= s.start"""
 
 
-@query("trim_series_uniformity")
+@query("trim_series", _TRIMMED.format(share=0.85), ["started"], ["volume"])
 def _(t):
     return S.trim_series(t.started, S.series_metrics(t.started))
 
 
+@query("trim_series_uniformity", _TRIMMED.format(share=1.1), ["started"], ["volume"])
+def _(t):
+    """The uniformity alone decides: every share of days is under the limit."""
+    return S.trim_series(t.started, S.series_metrics(t.started), share=1.1)
+
+
 _HAMPEL = """
     SELECT f.station, f.date, volume, holiday, weekday, day_code, outlier,
            CASE WHEN outlier THEN {new} ELSE volume END AS corrected
@@ -350,12 +357,35 @@ def _(t):
     return ST.t_test(rows, F.col("weekday") == 1, F.col("after_bridge") == 1, "volume", ["user_type"]).drop("p_value")
 
 
-@query("t_test_p_values")
+@query("t_test_before_bridge", _T_TEST.format(
+    a="weekday = 6", b="m = 1",
+    source="(SELECT *, lead(CASE WHEN holiday = 1 AND weekday = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY station ORDER BY date) AS m FROM series)",
+), ["series", "stations"], _T_COLS)
+def _(t):
+    rows = S.neighbour_days(t.series).join(t.stations, "station")
+    return ST.t_test(rows, F.col("weekday") == 6, F.col("before_bridge") == 1, "volume", ["user_type"]).drop("p_value")
+
+
+@query("t_test_p_values", f"""SELECT *, {t_tail('t', 'CAST(dof AS BIGINT)')} AS p_value FROM ({
+    _T_TEST.format(a="holiday = 1", b="holiday = 0", source="series")})""", ["series", "stations"], [*_T_COLS, "p_value"])
 def _(t):
     return ST.t_test(_typed(t), F.col("holiday") == 1, F.col("holiday") == 0, "volume", ["user_type"])
 
 
-@query("history_length")
+_LENGTHS = (4, 6, 10, 20, 30, 52)
+_POOLED = """(m0 - m{n}) / sqrt(((n0 - 1) * coalesce(v0, 0) + (n{n} - 1) * coalesce(v{n}, 0)) / nullif(n0 + n{n} - 2, 0) * (1.0 / nullif(n0, 0) + 1.0 / nullif(n{n}, 0)))"""
+
+
+@query("history_length", f"""
+    SELECT * FROM (WITH ranked AS (SELECT station, weekday, volume, row_number() OVER (PARTITION BY station, weekday ORDER BY date DESC) AS r
+                    FROM (SELECT *, isodow(date) - 1 AS weekday FROM daily)),
+         sums AS (SELECT station, weekday, count(volume) AS n0, avg(volume) AS m0, var_samp(volume) AS v0, {", ".join(
+             f"count(volume) FILTER (r <= {n}) AS n{n}, avg(volume) FILTER (r <= {n}) AS m{n}, var_samp(volume) FILTER (r <= {n}) AS v{n}" for n in _LENGTHS)}
+                  FROM ranked GROUP BY 1, 2),
+         tests AS ({" UNION ALL ".join(f"SELECT station, weekday, {n} AS days, {_POOLED.format(n=n)} AS t, n0 + n{n} - 2 AS dof FROM sums" for n in _LENGTHS)}),
+         scored AS (SELECT *, {t_tail('t', 'dof')} AS p_value FROM tests)
+    SELECT station, CAST(weekday AS INTEGER) AS weekday, CAST(min(days) AS INTEGER) AS days, arg_min(p_value, days) AS p_value
+    FROM scored WHERE p_value <= 0.05 GROUP BY 1, 2)""", ["daily"], ["p_value"])
 def _(t):
     return ST.history_length(t.daily.withColumn("weekday", F.weekday("date")), "station", "weekday", "date", "volume")
 
@@ -446,24 +476,24 @@ def _(t):
 
 
 def _two_models(t: Tables):
-    """Each day of each station predicted by the mean of its last seven days and by its last value, over the last thirty days."""
+    """Each day of each station predicted by the mean of its last seven days and by its last value."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("station").orderBy("date")
     rows = t.series.withColumns({
         "Media": F.avg("volume").over(order.rowsBetween(-7, -1)), "Ultimo": F.lag("volume").over(order),
-        "_back": F.row_number().over(Window.partitionBy("station").orderBy(F.col("date").desc())),
-    }).filter(F.col("_back") <= 30)
+    })
     return rows.select("station", "date", F.col("volume").alias("actual"), "Media", "Ultimo").unpivot(
         ["station", "date", "actual"], ["Media", "Ultimo"], "model", "prediction"
-    )
+    ).filter(F.col("prediction").isNotNull())
 
 
 _TWO_MODELS = """
-    SELECT station, date, volume AS actual, unnest(['Media', 'Ultimo']) AS model, unnest([mean, last]) AS prediction
-    FROM (SELECT *, avg(volume) OVER (PARTITION BY station ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS mean,
-                 lag(volume) OVER (PARTITION BY station ORDER BY date) AS last,
-                 row_number() OVER (PARTITION BY station ORDER BY date DESC) AS back FROM series) WHERE back <= 30"""
+    SELECT * FROM (
+      SELECT station, date, volume AS actual, unnest(['Media', 'Ultimo']) AS model, unnest([mean, last]) AS prediction
+      FROM (SELECT *, avg(volume) OVER (PARTITION BY station ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS mean,
+                   lag(volume) OVER (PARTITION BY station ORDER BY date) AS last FROM series))
+    WHERE prediction IS NOT NULL"""
 
 
 @query("compare_models", f"""

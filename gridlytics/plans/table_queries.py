@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +12,7 @@ from gridlytics.functions import columns as X
 from gridlytics.operators import ranks as RK
 from gridlytics.operators import relational as R
 from gridlytics.plans.registry import query
+from gridlytics.plans.tails import draw
 from gridlytics.sources import tables as TB
 
 
@@ -129,13 +131,46 @@ def _(t):
     return t.customer.join(t.orders, same, "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("urgent"))
 
 
-@query("sample_split")
+@query("sample_split", f"""
+    SELECT o_orderkey, CASE WHEN {draw(["o_orderkey"], 3)} % 1000000 < 800000 THEN 'train' ELSE 'test' END AS side FROM orders""")
 def _(t):
     train, test = R.split(t.orders, ["o_orderkey"], 0.8, seed=3)
-    return train.agg(F.count("*").alias("train")).withColumn("test", test.agg(F.count("*")).scalar())
+    return train.select("o_orderkey", F.lit("train").alias("side")).unionByName(test.select("o_orderkey", F.lit("test").alias("side")))
 
 
-@query("sample_cap")
+_POISSON = " + ".join(
+    f"CASE WHEN p >= {sum(math.exp(-0.5) * 0.5**j / math.factorial(j) for j in range(k + 1))!r}::DOUBLE THEN 1 ELSE 0 END" for k in range(8)
+)
+
+
+@query("sample_replaced", f"""
+    SELECT o_orderkey, unnest(range(1, copies + 1)) AS copy FROM (
+      SELECT o_orderkey, {_POISSON} AS copies FROM (
+        SELECT o_orderkey, {draw(["o_orderkey"], 5)} % 1000000 / 1000000::DOUBLE AS p FROM orders)) WHERE copies > 0""")
+def _(t):
+    from pyspark.sql import Window
+
+    rows = R.sample(t.orders, ["o_orderkey"], 0.5, replace=True, seed=5)
+    copy = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("o_orderkey")).cast("long")
+    return rows.select("o_orderkey", copy.alias("copy"))
+
+
+@query("sql_over_view", """
+    SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY 1""")
+def _(t):
+    return TB.run_sql(t.spark, "SELECT o_orderpriority, count(*) AS n FROM {facts} WHERE o_totalprice > 100000 GROUP BY 1", facts=t.orders)
+
+
+@query("positive_share", """
+    SELECT l_suppkey, count(l_discount) AS n, CAST(count(*) FILTER (l_discount > 0) AS DOUBLE) / count(l_discount) AS positive_share
+    FROM lineitem GROUP BY 1""", (), ["positive_share"])
+def _(t):
+    return R.positive_share(t.lineitem, ["l_suppkey"], "l_discount")
+
+
+@query("sample_cap", f"""
+    SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey, {draw(["o_orderkey"], 3)} AS h FROM orders)
+    ORDER BY h % 65536, h, o_orderkey LIMIT 1000""")
 def _(t):
     return R.sample_cap(t.orders, 1000, ["o_orderkey"], seed=3).select("o_orderkey", "o_custkey")
 

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; where that is unset, one in the session's warehouse.
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write a frame once to the checkpoint folder and go on from there.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, shared by all executors, so a lost
-    executor costs no recomputation. Only a local session without that setting gets a folder of its own.
+    Both are shared by the driver and all executors, whatever the master.
     """
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if context.getCheckpointDir() is None:
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by the executors")
-            folder = tempfile.mkdtemp(prefix="gridlytics-checkpoint-")
-        context.setCheckpointDir(folder)
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a frame once to the shared folder and go on from there, so a lost executor costs no recomputation."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -22,6 +22,11 @@ def load_jdbc(spark: SparkSession, url: str, query: str, **options) -> DataFrame
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
+def run_sql(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:
+    """The answer to an SQL text; ``{name}`` in it stands for the frame given under that name, a view for this text alone."""
+    return spark.sql(text, **views)
+
+
 def save(df: DataFrame, name: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
     writer = df.write.mode(mode)
     if partition_by:
