@@ -11,7 +11,6 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,18 +82,35 @@ def fit_classifier(kind: str, df: DataFrame, **params):
     return KINDS[kind](featuresCol="features", labelCol="label", **params).fit(df)
 
 
-def grid_search(kind: str, df: DataFrame, grid: Mapping[str, Sequence], folds: int = 4, fold_col: str | None = None, seed: int = 0, parallelism: int = 2):
-    """Cross-validated grid search by ROC area; ``fold_col`` gives the fold of each row, for stratified folds."""
-    estimator = KINDS[kind](featuresCol="features", labelCol="label")
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(name), list(values))
-    extra = {"foldCol": fold_col} if fold_col else {"seed": seed}
-    search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=builder.build(), evaluator=BinaryClassificationEvaluator(),
-        numFolds=folds, parallelism=parallelism, **extra,
-    )
-    return search.fit(df)
+def grid_search(
+    kind: str, df: DataFrame, grid: Mapping[str, Sequence], prepare: Pipeline, keys: Sequence[str], folds: int = 4, label: str = "label",
+    parallelism: int = 4, seed: int = 0,
+) -> tuple[dict, float]:
+    """The parameters of a grid with the largest mean ROC area over stratified folds, and that area.
+
+    In each fold the preparation is fitted on the other folds, which are then balanced by repeating rows of the smaller class; the
+    fold itself is neither prepared from nor repeated. The fits of a fold share its prepared rows.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    from itertools import product
+
+    points = [dict(zip(grid, values)) for values in product(*grid.values())]
+    folded, areas = stratified_folds(df, keys, label, folds, seed), [0.0] * len(points)
+    for fold in range(folds):
+        inside = folded.filter(F.col("fold") != fold)
+        prepared = prepare.fit(inside)
+        train = oversample(prepared.transform(inside), keys, label).cache()
+        held = prepared.transform(folded.filter(F.col("fold") == fold)).cache()
+
+        def area(params: dict) -> float:
+            return BinaryClassificationEvaluator().evaluate(fit_classifier(kind, train, **params).transform(held))
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            areas = [total + one / folds for total, one in zip(areas, pool.map(area, points))]
+        train.unpersist()
+        held.unpersist()
+    best = max(range(len(points)), key=lambda k: areas[k])
+    return points[best], areas[best]
 
 
 def stratified_folds(df: DataFrame, keys: Sequence[str], label: str = "label", folds: int = 3, seed: int = 0) -> DataFrame:

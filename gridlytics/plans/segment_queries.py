@@ -231,6 +231,19 @@ def _(t):
     return G.attach_names(out, G.name_by_amount(G.centers(rows, model, cols))).select("partner_id", "cluster", "name")
 
 
+# Clusters are drawn; that each customer has one, and each cluster one name, is not.
+@query("kmeans_coverage", """
+    SELECT count(*) AS n, count(DISTINCT customer_id) AS customers, CAST(5 AS BIGINT) AS clusters, CAST(1 AS BIGINT) AS most_names FROM rfm""", ["rfm"])
+def _(t):
+    rows = _rfm(t)
+    model, out = G.fit_segments(rows, G.SCORES, 5)
+    named = G.attach_names(out, G.name_by_magnitude(G.centers(rows, model, G.SCORES)))
+    names = named.groupBy("cluster").agg(F.countDistinct("name").alias("names"), F.count("*").alias("n"), F.countDistinct("customer_id").alias("ids"))
+    return names.agg(
+        F.sum("n").alias("n"), F.sum("ids").alias("customers"), F.count("*").alias("clusters"), F.max("names").alias("most_names")
+    )
+
+
 @query("segment_quality")
 def _(t):
     rows = _rfm(t)
@@ -274,19 +287,30 @@ def _labelled(t: Tables):
     return MD.relief_features(rows, False).drop("contract_id")
 
 
+def _prep():
+    return MD.prep_pipeline(["place", "refinanced"], ["subcategory", "arrears_range"], _NUMBERS)
+
+
+def _sides(t: Tables):
+    """Training and hold-out rows. Outliers are cut from the training rows only; every row is held to one side by its key."""
+    train, held = R.split(t.relief.withColumns({"label": MD.relief_label(), "order_id": F.col("contract_id")}), ["order_id"], 0.8)
+    return MD.relief_features(train, True), MD.relief_features(held, False).drop("contract_id")
+
+
 def _prepared(t: Tables):
-    rows = _labelled(t)
-    prep = MD.prep_pipeline(["place", "refinanced"], ["subcategory", "arrears_range"], _NUMBERS).fit(rows)
-    return prep.transform(rows), prep
+    """Both sides, encoded and scaled as the training rows alone say."""
+    train, held = _sides(t)
+    prep = _prep().fit(train)
+    return prep.transform(train), prep.transform(held)
 
 
 @query("encoded_features")
 def _(t):
     from pyspark.ml.functions import vector_to_array
 
-    rows, _ = _prepared(t)
-    values = vector_to_array("features")
-    return rows.select("order_id", "label", F.size(values).alias("width"), F.aggregate(values, F.lit(0.0), lambda a, x: a + x).alias("total"))
+    train, held = _prepared(t)
+    columns = ["order_id", "label", vector_to_array("features").alias("features")]
+    return train.select(*columns, F.lit("train").alias("side")).unionByName(held.select(*columns, F.lit("held").alias("side")))
 
 
 @query("min_max", """
@@ -312,47 +336,63 @@ def _(t):
 
 
 def _scored(t: Tables, kind: str, **params):
-    rows, _ = _prepared(t)
-    train, test = R.split(rows, ["order_id"], 0.8)
+    train, held = _prepared(t)
     model = MD.fit_classifier(kind, MD.oversample(train, ["order_id"]), **params)
-    return model, test, MD.score(model, test, ["order_id", "label", "arrears_range"])
+    return model, held, MD.score(model, held, ["order_id", "label", "arrears_range"])
 
 
 @query("score_logistic")
 def _(t):
-    return _scored(t, "logistic", maxIter=30, elasticNetParam=0.05)[2]
+    return _scored(t, "logistic", maxIter=100, regParam=0.01, elasticNetParam=0.05)[2]
+
+
+# What SQL can say of a fit: which rows are held out, with which label, and that each has a probability.
+@query("score_logistic_rows", f"""
+    SELECT contract_id AS order_id, {_LABEL} AS label, true AS inside FROM relief
+    WHERE category = 1 AND {draw(["contract_id"])} % 1000000 >= 800000""", ["relief"])
+def _(t):
+    scored = _scored(t, "logistic", maxIter=100, regParam=0.01, elasticNetParam=0.05)[2]
+    return scored.select("order_id", "label", F.col("probability").between(0, 1).alias("inside"))
+
+
+@query("training_rows", f"""
+    SELECT contract_id AS order_id, {_LABEL} AS label FROM relief
+    WHERE category = 1 AND {_OUTLIERS} AND {draw(["contract_id"])} % 1000000 < 800000""", ["relief"])
+def _(t):
+    return _sides(t)[0].select("order_id", "label")
 
 
 @query("score_forest")
 def _(t):
-    return _scored(t, "forest", numTrees=20, maxDepth=6, seed=7)[2]
+    return _scored(t, "forest", numTrees=100, maxDepth=10, seed=7)[2]
 
 
 @query("score_boosted")
 def _(t):
-    return _scored(t, "boosted", maxIter=8, maxDepth=5, seed=7)[2]
+    return _scored(t, "boosted", maxIter=50, maxDepth=8, seed=7)[2]
 
 
 @query("score_perceptron")
 def _(t):
-    rows, _ = _prepared(t)
-    width = rows.select("features").head()["features"].size
-    return _scored(t, "perceptron", layers=[width, 12, 2], maxIter=30, seed=7)[2]
+    train, held = _prepared(t)
+    width = train.schema["features"].metadata["ml_attr"]["num_attrs"]
+    model = MD.fit_classifier("perceptron", MD.oversample(train, ["order_id"]), layers=[width, 12, 2], maxIter=100, seed=7)
+    return MD.score(model, held, ["order_id", "label", "arrears_range"])
 
 
 @query("grid_search")
 def _(t):
-    rows, _ = _prepared(t)
-    folded = MD.stratified_folds(rows, ["order_id"])
-    grid = {"maxIter": [10, 20], "elasticNetParam": [0.01, 0.1]}
-    found = MD.grid_search("logistic", folded, grid, folds=3, fold_col="fold")
-    return MD.score(found.bestModel, rows, ["order_id"])
+    """The best point of the grid by folds of the training rows, fitted on all of them, scores the hold-out."""
+    grid = {"maxIter": [100, 500, 1000], "elasticNetParam": [0.01, 0.1, 0.5], "regParam": [0.01]}
+    best, area = MD.grid_search("logistic", _sides(t)[0], grid, _prep(), ["order_id"], folds=4)
+    scored = _scored(t, "logistic", **best)[2].drop("arrears_range")
+    return scored.withColumns({name: F.lit(float(value)) for name, value in best.items()} | {"fold_area": F.lit(area)})
 
 
 @query("importances")
 def _(t):
-    model, test, _ = _scored(t, "forest", numTrees=20, maxDepth=6, seed=7)
-    return MD.importances(test, model)
+    model, held, _ = _scored(t, "forest", numTrees=100, maxDepth=10, seed=7)
+    return MD.importances(held, model)
 
 
 # A score without training, so that the evaluation tables can be compared with SQL: the share of a price band.
