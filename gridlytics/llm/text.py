@@ -13,10 +13,13 @@ SLICE_BYTES = 4 << 20
 
 
 def texts_of(column) -> pa.Array:
-    """A string array with nulls as empty texts."""
+    """A string array with nulls as empty texts, whose characters begin its buffer: some of Arrow's string functions are
+    wrong on a slice from the middle of one."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    first = np.frombuffer(texts.buffers()[1], np.int64, 1, texts.offset * 8)[0] if len(texts) else 0
+    return texts.take(pa.array(np.arange(len(texts)))) if first or texts.offset else texts
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

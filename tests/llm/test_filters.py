@@ -9,9 +9,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from gridlytics.llm import langid, quality, queries, repetition, secrets
+from gridlytics.llm import langid, quality, queries, repetition, secrets, text
 from tests.llm.cases import EDGE, HEX, documents, edge, empty
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -40,6 +41,15 @@ def test_repetition_agrees_with_brute_force(spark, sf_dir):
             assert not (r.kept and r.base_failed)
 
 
+def test_slices_are_whole_texts_from_the_start_of_a_buffer():
+    texts = [f"É{'Ab é ' * (k % 50)}Z" for k in range(500)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = [text.texts_of(p.column("text")) for p in text.slices([batch], "text", 1000)]
+    assert len(parts) > 20 and [t for p in parts for t in p.to_pylist()] == [t or "" for t in texts]
+    lowered = [t for p in parts for t in pc.ascii_lower(p).to_pylist()]
+    assert lowered == [(t or "").replace("A", "a").replace("Z", "z") for t in texts]
+
+
 def test_repetition_of_an_empty_table(spark):
     assert repetition.repetition_rules(empty(spark)).count() == 0
 
