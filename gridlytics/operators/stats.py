@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -60,6 +60,14 @@ def upper_limit(df: DataFrame, value: str, k: float) -> DataFrame:
     )
 
 
+def upper_limit_by(df: DataFrame, group: str, value: str, factors: Mapping, otherwise: float) -> DataFrame:
+    """Accepted upper limits per group, each with a factor of its own."""
+    stats = df.groupBy(group).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    factor = F.coalesce(*[F.when(F.col(group) == g, F.lit(float(k))) for g, k in factors.items()], F.lit(float(otherwise)))
+    out = stats.join(mode_by(df, [group], value), group).withColumn("mode", F.col("mode").cast("double"))
+    return out.withColumns({"mode_limit": F.col("mode") + factor * F.col("sd"), "mean_limit": F.col("mean") + factor * F.col("sd")})
+
+
 _FIT_SCHEMA = "distribution string, shape double, scale double, location double, nll double, aic double"
 
 

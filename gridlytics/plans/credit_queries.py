@@ -191,14 +191,17 @@ _QUOTA = """
     LEFT JOIN (VALUES {coded}) c(k, quota) ON c.k = n.coded_node"""
 
 
-def _values(table):
-    return ", ".join(f"({k}, {v})" for k, v in table.items())
+# The quota of each stratum, and of each coded node; written out, so that a wrong constant of the operator shows.
+_BASE_QUOTA = "(1, 3340000), (2, 3645000), (3, 4050000), (4, 4635000), (5, 6530000), (6, 6530000)"
+_CODED_QUOTA = """
+    (100, 3735000), (101, 3960000), (111, 5225000), (200, 3735000), (201, 3960000), (211, 5700000), (300, 4150000), (301, 4400000), (311, 6000000),
+    (400, 4950000), (401, 5000000), (411, 6250000), (500, 6850000), (501, 7175000), (511, 7500000), (600, 6850000), (601, 7175000), (611, 7500000)"""
 
 
 def _quota_sql(alto: int, unpaid: str) -> str:
     source = "(SELECT * FROM inputs WHERE holder_id IS NOT NULL AND category = 1)"
     nodes = _NODES.format(alto=alto, unpaid=unpaid, source=source)
-    return _QUOTA.format(nodes=nodes, base=_values(C.BASE_QUOTA), coded=_values(C.CODED_QUOTA))
+    return _QUOTA.format(nodes=nodes, base=_BASE_QUOTA, coded=_CODED_QUOTA)
 
 
 @query("credit_quota", _quota_sql(16, "16"), ["inputs"])
@@ -317,6 +320,15 @@ def _(t):
     return ST.upper_limit(_consumption(t), "volume", 2)
 
 
+@query("upper_limit_by_category", """
+    SELECT category, mean, sd, mode, mode + k * sd AS mode_limit, mean + k * sd AS mean_limit
+    FROM (SELECT category, avg(volume) AS mean, stddev_samp(volume) AS sd, CASE category WHEN 1 THEN 2 ELSE 1 END AS k FROM consumption GROUP BY 1)
+    JOIN (SELECT category, arg_min(volume, (-n, volume)) AS mode FROM (SELECT category, volume, count(*) AS n FROM consumption GROUP BY 1, 2) GROUP BY 1)
+    USING (category)""", ["consumption"], ["mean", "sd", "mode", "mode_limit", "mean_limit"])
+def _(t):
+    return ST.upper_limit_by(_consumption(t), "category", "volume", {1: 2}, 1)
+
+
 @query("fit_distributions")
 def _(t):
     return ST.fit_distributions(_consumption(t), "volume")

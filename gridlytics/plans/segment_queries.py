@@ -180,6 +180,17 @@ def _(t):
     return G.segment_summary(_named(t), "name", ["recency", "frequency", "monetary"])
 
 
+@query("name_four_tiers", """
+    SELECT partner_id, ['Estandar', 'Plus', 'Elite', 'Premium'][1 + CAST(monetary > q[1] AS INTEGER) + CAST(monetary > q[2] AS INTEGER)
+           + CAST(monetary > q[3] AS INTEGER)] AS name
+    FROM partner_base CROSS JOIN (SELECT quantile_cont(CAST(monetary AS DOUBLE), [0.25, 0.5, 0.75]) AS q FROM partner_base WHERE monetary > 100000)
+    WHERE monetary > 100000""", ["partner_base"])
+def _(t):
+    live, _ = G.split_partners(t.partner_base)
+    scored = G.quantile_score(live, "monetary", q=4, drop_duplicates=True)
+    return scored.select("partner_id", pick(G.FOUR_TIERS, 4 - F.col("monetary_score")).alias("name"))
+
+
 _AMOUNT_NAMED = """
     SELECT partner_id, CAST(5 - s AS INTEGER) AS segment, ['Diamante', 'Platino', 'Oro', 'Plata', 'Bronce'][6 - s] AS segment_name, {kind} AS partner_type
     FROM (SELECT partner_id, 1 + CAST(monetary > q[1] AS INTEGER) + CAST(monetary > q[2] AS INTEGER) + CAST(monetary > q[3] AS INTEGER)

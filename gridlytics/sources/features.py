@@ -13,11 +13,15 @@ from gridlytics.sources.tables import load, save
 def feature_write(spark: SparkSession, features: DataFrame, name: str, key: str, merge: bool = False) -> None:
     """Replace a feature table, or merge into it by key.
 
-    A merge reads the old table while the new one is written, so it goes to a second table that the
-    caller's catalog swaps in; the old one is never overwritten by its own reader.
+    A merge reads the old table while the new one is written, so it goes to a second table, which then takes
+    the first one's name; the old one is never overwritten by its own reader, and is dropped last.
     """
     if merge and spark.catalog.tableExists(name):
         save(upsert(load(spark, name), features, [key]), f"{name}_next")
+        spark.sql(f"DROP TABLE IF EXISTS {name}_old")
+        spark.sql(f"ALTER TABLE {name} RENAME TO {name}_old")
+        spark.sql(f"ALTER TABLE {name}_next RENAME TO {name}")
+        spark.sql(f"DROP TABLE {name}_old")
     else:
         save(features, name)
 

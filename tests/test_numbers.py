@@ -288,3 +288,85 @@ def test_t_tail_tends_to_the_normal_law():
 
 def test_unsettled_elements_are_not_numbers():
     assert np.isnan(SP._masked(np.array([np.nan, 0.5]), pd.Series([1.0, 1.0])).astype(float)[0])
+
+
+def test_rank_cells_stay_small_beside_an_outlier(spark):
+    values = [1000 + k / 200_000 for k in range(200_000)] + [1e9, -1e9, 0.0, 0.5, 1e-300, float("inf")]
+    cells = spark.createDataFrame([(v,) for v in values], "value double").select("value", *[c.alias(n) for c, n in zip(RK._cells(F.col("value")), "wg")])
+    largest = cells.groupBy("w", "g").count().agg(F.max("count")).first()[0]
+    assert largest <= len(values) / 1000
+    ordered = cells.orderBy("value").collect()
+    assert all((a.w, a.g) <= (b.w, b.g) for a, b in zip(ordered, ordered[1:]))
+
+
+def test_rank_cells_never_decrease(spark):
+    rng = np.random.default_rng(8)
+    powers = 2.0 ** np.arange(-60, 60)
+    values = np.concatenate([powers, np.nextafter(powers, 0), np.nextafter(powers, 1e300), rng.normal(0, 1, 500), 10 ** rng.uniform(-300, 300, 500)])
+    values = np.concatenate([values, -values])
+    ordered = spark.createDataFrame(pd.DataFrame({"value": values})).select("value", *[c.alias(n) for c, n in zip(RK._cells(F.col("value")), "wg")]).toPandas()
+    ordered = ordered.sort_values("value")
+    pairs = list(zip(ordered.w, ordered.g))
+    assert pairs == sorted(pairs)
+
+
+def test_a_day_given_twice_makes_no_day_up(spark):
+    days = [START, START + dt.timedelta(days=2), START + dt.timedelta(days=2), START + dt.timedelta(days=5)]
+    df = spark.createDataFrame([(1, d, 1.0) for d in days], "station int, date date, volume double")
+    calendar = spark.createDataFrame([(START,)], "date date")
+    out = S.complete_dates(df, calendar.withColumn("holiday", F.lit(1)).select("date", "holiday")).groupBy("date").count().collect()
+    assert {((r.date - START).days, r["count"]) for r in out} == {(0, 1), (1, 1), (2, 2), (3, 1), (4, 1), (5, 1)}
+
+
+def test_deviation_of_large_steady_volumes(spark):
+    volumes = [1e9 + (k % 3) * 1e-3 for k in range(60)]
+    df = frame(spark, {1: volumes}).withColumn("start", F.lit(START))
+    found = S.series_metrics(df).first()
+    assert np.isclose(found.sd, np.std(np.array(volumes) - 1e9, ddof=1), rtol=1e-3) and np.isclose(found["mean"], np.mean(volumes), rtol=1e-12)
+
+
+def test_a_station_in_many_pairs_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(SM, "PAIRS_PER_SHARE", 8)
+    rng = np.random.default_rng(5)
+    df = frame(spark, {k: rng.random(12) for k in range(60)})
+    pairs = spark.createDataFrame([(k, 0) for k in range(60)] + [(0, 3)], "a int, b int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = SM.dtw_pairs(df, pairs)
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        found = {(r.a, r.b): r.distance for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    series = {r.station: r.series for r in SM.series_arrays(df).collect()}
+    assert len(found) == 61 and found[0, 0] == 0
+    assert all(np.isclose(d, SM._dtw(np.array(series[a]), np.array(series[b]))) for (a, b), d in found.items())
+
+
+def test_no_hold_out_row_reaches_a_fit(spark, sf_dir):
+    from gridlytics.plans import segment_queries as Q
+    from gridlytics.plans.bases import Tables
+
+    tables = Tables(spark, sf_dir)
+    train, held = Q._sides(tables)
+    assert train.join(held, "order_id").count() == 0
+    assert all(r[0] for r in train.select(*[F.col(c) <= v for c, v in MD.DEBT_LIMITS.items()]).select(F.expr("true")).distinct().collect())
+    assert train.select(*[F.max(F.col(c) - v) for c, v in MD.DEBT_LIMITS.items()]).first() <= (0.0,) * len(MD.DEBT_LIMITS)
+    only = held.withColumn("place", F.lit("only in the hold-out"))
+    prepared = Q._prep().fit(train)
+    labels = [x for stage in prepared.stages[0].labelsArray for x in stage]
+    assert "only in the hold-out" not in labels and prepared.transform(only).count() == held.count()
+
+
+def test_folds_are_balanced_inside_and_scored_as_they_are(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = [(k, float(k % 7), float(k % 11), int(k % 10 == 0)) for k in range(400)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, label int")
+    seen = []
+    fit = MD.fit_classifier
+    monkeypatch.setattr(MD, "fit_classifier", lambda kind, train, **p: seen.append({r.label: r["count"] for r in train.groupBy("label").count().collect()}) or fit(kind, train, **p))
+    prepare = Pipeline(stages=[VectorAssembler(inputCols=["x", "y"], outputCol="features")])
+    best, area = MD.grid_search("logistic", df, {"maxIter": [5], "regParam": [0.01, 0.1]}, prepare, ["id"], folds=3, parallelism=1)
+    assert best["maxIter"] == 5 and 0 <= area <= 1 and len(seen) == 6
+    assert all(abs(counts[0] - counts[1]) <= 0.2 * counts[0] for counts in seen)

@@ -335,7 +335,7 @@ def test_tables_and_models_round_trip(spark, tmp_path):
     TB.save(spark.createDataFrame([Row(id=5, x=0.5)]), "features_t", "append")
     assert TB.load(spark, "features_t").count() == 5
     FT.feature_write(spark, spark.createDataFrame([Row(id=5, x=7.0)]), "features_t", "id", merge=True)
-    assert TB.load(spark, "features_t_next").filter("id = 5").first().x == 7.0
+    assert TB.load(spark, "features_t").filter("id = 5").first().x == 7.0
     model, _ = G.fit_segments(df, ["x"], 2)
     MD.save_model(model, str(tmp_path / "m"))
     out = FT.score_batch(MD.load_model(str(tmp_path / "m")), df.select("id"), df, "id", ["x"])
