@@ -173,6 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     # fitted on rows in a fixed order; AQE may read the shuffled rows of the sample in any
     alone = features.repartition(1).sortWithinPartitions("id", F.xxhash64("features"))
     row = alone.mapInArrow(_fitted, "ratio binary, weights binary, slope double, offset double").first()
+    if row is None:  # Spark doesn't run a task over what it knows to be empty
+        return fit([], np.zeros(0))
     return np.frombuffer(row.ratio, "<f4"), np.frombuffer(row.weights, "<f4"), row.slope, row.offset
 
 

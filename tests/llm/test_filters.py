@@ -156,6 +156,7 @@ def test_quality_edge_rows(spark):
     assert quality.accept(edge(spark), model, 0.0).columns == edge(spark).columns
     assert quality.accept(edge(spark), model, 0.0).count() == len(EDGE)
     assert quality.score(empty(spark), model).count() == 0
+    assert quality.score(edge(spark), quality.train(empty(spark), labels, "quality")).count() == len(EDGE)
     alone = quality.train(edge(spark), labels.where("quality = 1"), "quality")
     assert len({r.score for r in quality.score(edge(spark), alone).collect()}) == 1
     again = quality.train(edge(spark), labels, "quality")
