@@ -11,15 +11,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlytics.functions.columns import flag, percent_error, to_date
 from gridlytics.operators.relational import first_per_key
 from gridlytics.operators.series import NEW
 from gridlytics.operators.stats import grouped_ols
 from gridlytics.sources.merge import upsert
-from gridlytics.sources.staging import staged
 
 # Number of trend changes and their share of the history, Fourier orders, prior scales of the
 # published additive model, half-width of its 80 % interval, and the grid of trend flexibilities.
@@ -103,6 +105,7 @@ def _predict(pdf: pd.DataFrame, scale: float, use_holidays: bool, horizon: int,
 
 
 # Dates travel to Python and back as day numbers: plain integers, not date objects.
+_FITTED = ("trend", "yhat", "lower", "upper")
 _FIT = "day int, trend double, yhat double, lower double, upper double"
 
 
@@ -128,6 +131,28 @@ def fitted_series(df: DataFrame, changepoint_scale: float = 0.05, use_holidays:
     return _dated(_model_rows(df).groupBy("station").applyInPandas(fit, f"station {dict(df.dtypes)['station']}, {_FIT}"))
 
 
+def with_fit(df: DataFrame, changepoint_scale: float = 0.05, use_holidays: bool = True) -> DataFrame:
+    """The rows that have a volume, all columns, with trend, fit and interval of their station's additive model.
+
+    The columns pass through the group, so the series is neither read nor shuffled a second time to meet its fit.
+    """
+    holiday = F.col("holiday") if "holiday" in df.columns else F.lit(0)
+    rows = df.withColumns({"_day": F.unix_date("date"), "_holiday": holiday.cast("double")})
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.filter(pc.is_valid(table["volume"])).sort_by("_day")
+        names = {"_day": "day", "volume": "volume", "_holiday": "holiday"}
+        numbers = table.select(list(names)).to_pandas().rename(columns=names)
+        out = _predict(numbers, changepoint_scale, use_holidays, 0, True) if table.num_rows else None
+        table = table.drop_columns(["_day", "_holiday"])
+        for name in _FITTED:
+            table = table.append_column(name, pa.array(out[name] if out is not None else [], pa.float64()))
+        return table
+
+    schema = T.StructType([*df.schema.fields, *(T.StructField(name, T.DoubleType()) for name in _FITTED)])
+    return rows.groupBy("station").applyInArrow(fit, schema)
+
+
 def additive_forecast(df: DataFrame, horizon: int = 1, scales: DataFrame | None = None, changepoint_scale: float = 0.05) -> DataFrame:
     """Forecast of the days after each series; negatives become 0; a series that cannot be fitted gives NULL.
 
@@ -271,19 +296,22 @@ def fit_mean_weights(df: DataFrame, history: int = 15, n: int = 4) -> DataFrame:
     return mean_weights(recent_features(df, history, n), history)
 
 
-def mean_weights(rows: DataFrame, history: int = 15) -> DataFrame:
-    """:func:`fit_mean_weights` from :func:`recent_features`."""
+def _weight_sums() -> dict[str, Column]:
+    """What the weights of a station need of its rows, as aggregates."""
     free = (F.col("state") != NEW) & (F.col("holiday") == 0)
     a, b = F.when(free, F.col("same_day") / 2), F.when(free, F.col("week_to_date") / 2)
     y = F.col("target")
     fixed = F.when(~free, F.pow(_mean_prediction(F.lit(0.0), F.lit(0.0)) - y, 2))
-    sums = rows.groupBy("station").agg(
-        F.count("*").alias("days"),
-        *[F.coalesce(F.sum(e), F.lit(0.0)).alias(name) for e, name in (
-            (a * a, "aa"), (a * b, "ab"), (b * b, "bb"), (a * y, "ay"), (b * y, "by"),
-            (F.when(a.isNotNull(), y * y), "yy"), (fixed, "rest"),
-        )],
-    )
+    terms = {
+        "aa": a * a, "ab": a * b, "bb": b * b, "ay": a * y, "by": b * y, "yy": F.when(a.isNotNull(), y * y), "rest": fixed,
+    }
+    return {"days": F.count("*")} | {name: F.sum(e) for name, e in terms.items()}
+
+
+def _with_weights(sums: DataFrame, history: int) -> DataFrame:
+    """Add `w1`, `w2` and `rmse` in place of the sums."""
+    terms = list(_weight_sums())[1:]
+    sums = sums.fillna(0.0, subset=terms)
     aa, ab, bb, ay, by = (F.col(c) for c in ("aa", "ab", "bb", "ay", "by"))
     det, trace = aa * bb - ab * ab, aa + bb
     # Residual gradient at the start, used when the pair is collinear.
@@ -299,20 +327,27 @@ def mean_weights(rows: DataFrame, history: int = 15) -> DataFrame:
     loss = F.col("yy") - 2 * (w1 * ay + w2 * by) + w1 * w1 * aa + 2 * w1 * w2 * ab + w2 * w2 * bb + F.col("rest")
     known = F.col("days") == history
     rmse = F.sqrt(F.greatest(loss, F.lit(0.0)) / history)
-    return out.select("station", *[F.when(known, c).alias(name) for c, name in ((w1, "w1"), (w2, "w2"), (rmse, "rmse"))])
+    return out.withColumns({name: F.when(known, c) for name, c in (("rmse", rmse), ("w1", w1), ("w2", w2))}).drop("days", *terms)
+
+
+def mean_weights(rows: DataFrame, history: int = 15) -> DataFrame:
+    """:func:`fit_mean_weights` from :func:`recent_features`."""
+    sums = rows.groupBy("station").agg(*[e.alias(name) for name, e in _weight_sums().items()])
+    return _with_weights(sums, history).select("station", "w1", "w2", "rmse")
 
 
 def backtest(df: DataFrame, weights: DataFrame | None = None, history: int = 15, n: int = 4) -> DataFrame:
     """One-day forecasts of the last ``history`` days with their relative errors.
 
-    Without ``weights`` they are fitted on the same days; the few rows per station are then staged, so the
-    windows over the whole series run once.
+    Without ``weights`` they are fitted on the same days: their sums are windows over the station, by which the rows
+    already lie together, so there is neither a second reading nor a join.
     """
     rows = recent_features(df, history, n)
     if weights is None:
-        rows = staged(rows)
-        weights = mean_weights(rows, history)
-    rows = rows.join(weights.select("station", "w1", "w2"), "station")
+        whole = Window.partitionBy("station")
+        rows = _with_weights(rows.withColumns({name: e.over(whole) for name, e in _weight_sums().items()}), history)
+    else:
+        rows = rows.join(weights.select("station", "w1", "w2"), "station")
     raw = _mean_prediction(F.col("w1"), F.col("w2"))
     rows = rows.withColumn("prediction", F.when(raw.isNotNull(), F.greatest(raw, F.lit(0.0))))
     return rows.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlytics.functions.columns import day_code
-from gridlytics.operators.forecast import fitted_series
+from gridlytics.operators.forecast import with_fit
 from gridlytics.operators.ranks import quantiles_of, ranked_values
 
 # Fixed value: factor making the median absolute deviation comparable with a standard deviation.
@@ -88,8 +88,7 @@ def correct_outliers_residual(df: DataFrame, k: float = 3.0, n: int = 4) -> Data
     """Values more than ``k`` residual deviations above the additive fit become the last same-weekday mean."""
     if "day_code" not in df.columns:
         df = df.withColumn("day_code", day_code("date", "holiday"))
-    fitted = fitted_series(df, changepoint_scale=0.05, use_holidays=False)
-    rows = df.join(fitted.select("station", "date", "yhat"), ["station", "date"])
+    rows = with_fit(df, changepoint_scale=0.05, use_holidays=False).drop("trend", "lower", "upper")
     rows = rows.withColumn("residual", F.col("volume") - F.col("yhat"))
     limit = k * F.stddev_samp("residual").over(Window.partitionBy("station"))
     rank = F.row_number().over(Window.partitionBy("station", "day_code").orderBy(F.col("date").desc()))
@@ -104,10 +103,9 @@ def correct_outliers_trend(df: DataFrame, n1: int = 30, n2: int = 15, k: float =
     Blocks hold ``n`` consecutive rows; the last row of a series lies outside its block, and a block's
     deviation divides by its rows less one.
     """
-    fitted = fitted_series(df, changepoint_scale=changepoint_scale, use_holidays=True)
     order = Window.partitionBy("station").orderBy("date")
     whole = Window.partitionBy("station")
-    rows = df.join(fitted, ["station", "date"])
+    rows = with_fit(df, changepoint_scale=changepoint_scale, use_holidays=True)
     rows = rows.withColumns({
         "deviation": F.col("volume") - F.col("trend"),
         "_i": F.row_number().over(order) - 1,
