@@ -334,6 +334,18 @@ def _(t):
     return ST.fit_distributions(_consumption(t), "volume")
 
 
+# The two fits that have closed forms.
+@query("fit_closed_forms", """
+    SELECT unnest(['lognorm', 'expon']) AS distribution, unnest([sqrt(var), NULL]) AS shape, unnest([exp(mean_log), mean - low]) AS scale, unnest([0.0::DOUBLE, low]) AS location,
+           unnest([l + n / 2 * ln(2 * pi() * var) + n / 2, n * ln(mean - low) + n]) AS nll,
+           unnest([4 + 2 * (l + n / 2 * ln(2 * pi() * var) + n / 2), 2 * (CASE WHEN low >= 0 THEN 2 END) + 2 * (n * ln(mean - low) + n)]) AS aic
+    FROM (SELECT CAST(count(*) AS DOUBLE) AS n, sum(ln(volume)) AS l, avg(ln(volume)) AS mean_log, var_pop(ln(volume)) AS var, avg(volume) AS mean, min(volume) AS low
+          FROM (SELECT CAST(volume AS DOUBLE) AS volume FROM consumption WHERE volume > 0))""",
+       ["consumption"], ["shape", "scale", "location", "nll", "aic"])
+def _(t):
+    return ST.fit_distributions(_consumption(t), "volume").filter(F.col("distribution") != "gamma")
+
+
 @query("best_distribution")
 def _(t):
     return ST.best_distribution(_consumption(t), "volume")

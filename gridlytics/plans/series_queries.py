@@ -274,7 +274,7 @@ def _(t):
     return S.neighbour_days(t.series)
 
 
-@query("autocorrelation", """
+_ACF = """
     SELECT station, CAST(lag AS INTEGER) AS lag, acf FROM (
       SELECT a.station, k AS lag, coalesce(sum(a.x * b.x), 0) / max(v) AS acf
       FROM (SELECT station, date, volume - avg(volume) OVER (PARTITION BY station) AS x,
@@ -282,11 +282,23 @@ def _(t):
             FROM series) a CROSS JOIN range(0, 21) r(k)
       LEFT JOIN (SELECT station, date, volume - avg(volume) OVER (PARTITION BY station) AS x FROM series) b
         ON b.station = a.station AND b.date = a.date - CAST(k AS INTEGER)
-      GROUP BY 1, 2)""", ["series"], ["acf"])
+      GROUP BY 1, 2)"""
+
+
+@query("autocorrelation", _ACF, ["series"], ["acf"])
 def _(t):
     return S.autocorrelation(t.series).drop("pacf")
 
 
+# The first two partial autocorrelations have closed forms; the others follow by the same recursion.
+@query("partial_autocorrelation_two", f"""
+    SELECT station, CAST(unnest([0, 1, 2]) AS INTEGER) AS lag, unnest([1.0::DOUBLE, r1, r2]) AS acf, unnest([1.0::DOUBLE, r1, (r2 - r1 * r1) / (1 - r1 * r1)]) AS pacf
+    FROM (SELECT station, max(CASE WHEN lag = 1 THEN acf END) AS r1, max(CASE WHEN lag = 2 THEN acf END) AS r2 FROM ({_ACF}) GROUP BY 1)""",
+       ["series"], ["acf", "pacf"])
+def _(t):
+    return S.autocorrelation(t.series, max_lag=2)
+
+
 @query("partial_autocorrelation")
 def _(t):
     return S.autocorrelation(t.series)
@@ -465,6 +477,16 @@ def _(t):
     return FC.category_forecast(rows, ["product_type", "classification"])
 
 
+@query("ar_forecast_one", """
+    SELECT station, 'ARIMA' AS model, last_date + 1 AS date, b0 + b1 * last_step + last_volume AS prediction FROM (
+      SELECT station, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, max(date) AS last_date, arg_max(y, date) AS last_step, arg_max(volume, date) AS last_volume
+      FROM (SELECT *, lag(y) OVER (PARTITION BY station ORDER BY date) AS x
+            FROM (SELECT station, date, volume, volume - lag(volume) OVER (PARTITION BY station ORDER BY date) AS y FROM series)) GROUP BY 1)
+    WHERE b1 IS NOT NULL""", ["series"], ["prediction"])
+def _(t):
+    return FC.ar_forecast(t.series, p=1)
+
+
 @query("ar_forecast")
 def _(t):
     return FC.ar_forecast(t.series)
