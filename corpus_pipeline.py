@@ -7,12 +7,17 @@ never duplicates; of rows with equal ids one stays. An empty table gives an empt
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import gridlytics
 from gridlytics.llm import decontam, minhash, packing, quality, secrets, storage
 from gridlytics.llm.queries import TOKENIZERS, table
 
+# Executors need not have the package installed: its functions travel with the tasks.
+cloudpickle.register_pickle_by_value(gridlytics)
+
 LEAST_QUALITY = 0.3
 
 
