@@ -233,14 +233,25 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return packed.unionByName(full)
 
 
+def staged_pieces(
+    docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The pieces of all documents with a number of their own (`row`), written once to the shared folder."""
+    numbered = token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    return storage.staged(numbered, "pieces")
+
+
+def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Staged pieces, with whatever columns they have been given, and their sequence_id and offset."""
+    return pieces.join(assign(pieces, capacity), "row").drop("row")
+
+
 def pack_documents(
     docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per piece of every document: doc_id, piece, start, length, ids, sequence_id, offset.
 
-    The pieces are written once to the shared folder; the islands read their lengths only. Every row of `docs` is packed:
+    The islands read the pieces' lengths only. Every row of `docs` is packed:
     a null text as its end id alone, repeated rows once each, null ids too. An empty table gives an empty result.
     """
-    numbered = token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    pieces = storage.staged(numbered, "pieces")
-    return pieces.join(assign(pieces, capacity), "row").drop("row")
+    return placed(staged_pieces(docs, tokenizer, end_id, capacity, id_col, text_col), capacity)

@@ -61,8 +61,9 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    pieces = packing.staged_pieces(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    digests = pieces.select("row", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.placed(digests)
 
 
 def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +77,36 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_secrets, op3_minhash, op4_main_text, op5_quality, op6_warc, op7_language, op8_packing, op9_simple8b, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_repetition, op2_secrets, op3_minhash, op4_main_text, op5_quality, op6_warc, op7_language, op8_packing, op9_simple8b,
+        op10_decontamination,
+    )
+}
+
+#: The other operators have no SQL form: models, markup, tokenizers, packing and ranked retrieval. Tests compare them with brute force.
+ORACLES: dict[str, str] = {
+    "op3_minhash": r"""
+        WITH RECURSIVE words AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+          FROM documents),
+        sets AS (
+          SELECT doc_id, CASE WHEN len(w) = 1 THEN w
+                              ELSE list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) END AS s
+          FROM words),
+        members AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+        common AS (
+          SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS nx, any_value(b.n) AS ny
+          FROM members a JOIN members b USING (shingle) WHERE a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+        links AS (SELECT x, y FROM common WHERE 100 * c >= 80 * (nx + ny - c)),
+        reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM sets JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) USING (doc_id)""",
+    "op6_warc": """
+        WITH payloads AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+        holders AS (SELECT digest, max(page_id) AS holder FROM payloads WHERE n >= 1000 GROUP BY 1)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN holder IS NULL OR holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN holder <> page_id THEN holder END AS refers_to
+        FROM payloads LEFT JOIN holders USING (digest)""",
+}
