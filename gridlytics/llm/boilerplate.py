@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlytics.llm import storage
+
 RUN = 8  # tokens, a block's end being one
 LEAST_PAGES = 3
 MOST_COVERED = 0.5
@@ -219,6 +221,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     its pages, it repeats in each chunk. Null pages are empty; null urls are one host; null ids and repeated rows are kept; only the
     three named columns are read.
     """
+    storage.bound_batches(pages.sparkSession)
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
         host(F.col(url_col).cast("string")).alias("host"),

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlytics.llm import storage
 from gridlytics.llm.text import coded, hashes_of, slices, texts_of, words_of
 
 # The usual BM25 parameters.
@@ -215,6 +216,7 @@ def _matched(sent):
 
 def index_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
     """Broadcast indexes, each of about `INDEX_BYTES` of items at most, of all items with an id and a text."""
+    storage.bound_batches(benchmark.sparkSession)
     items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
     ).distinct()

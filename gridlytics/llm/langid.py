@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlytics.llm import storage
 from gridlytics.llm.text import coded, mixed, rows_of, slices, sums, texts_of, words_of
 
 FEATURES = 1 << 16
@@ -150,6 +151,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     N-grams are counted over every such row; what comes to the driver is a count for each language and feature. The weights are
     measured on about `most` rows. Without such rows there are no languages.
     """
+    storage.bound_batches(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
@@ -210,6 +212,7 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     Null texts and texts without a letter are `und` with score 0; so are all if the model has no language. Repeated rows and
     null ids are kept; only the two named columns are read.
     """
+    storage.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(

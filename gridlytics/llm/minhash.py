@@ -1,10 +1,11 @@
 """Near-duplicate groups by b-bit MinHash: bands of full minima give candidates, packed low bits estimate their similarity,
 full shingle sets confirm them, and confirmed links give components.
 
-Texts with equal sets are one class from the start. Inside a band's bucket nobody is paired with everybody: first each class
-is paired with one bucket leader; once those links have merged classes, only the members of a bucket whose component is not
-the bucket's largest are still compared with the others there. What they could link to is thereby covered, while a group
-of any size costs about one comparison per member.
+Texts with equal sets are one class from the start. Inside a band's bucket nobody is paired with everybody. First each class
+is paired with one hub, the class nearest to the middle of a bucket that it shares most often. Once those links have merged classes,
+the members of a bucket outside its largest component are paired with that component's hubs, and only who is still outside then is
+compared with the others, in blocks that give no pairs but links. So whatever could link two components is looked at, while a group
+that is one component costs a few comparisons per member, whatever its size.
 """
 
 from __future__ import annotations
@@ -25,9 +26,12 @@ from gridlytics.llm.text import coded, hashes_of, mixed, rows_of, slices, texts_
 BANDS = 32
 ROWS = 5  # minima to a band: a pair of similarity 0.8 shares none of 32 bands in 3 of a million cases
 LOW_BITS = 2
-HASHES = BANDS * ROWS
+HASHES = 320  # the first BANDS * ROWS make the bands, all of them the packed signature
 LANES = 64 // LOW_BITS
-SLACK = 6  # standard errors below the threshold at which a pair is still confirmed on its full sets
+SLACK = 5  # standard errors below the threshold at which a pair is still confirmed on its full sets
+
+#: Classes of a side of a block that are compared at once, and shingles whose holders are counted at once.
+BLOCK, WIDTH = 512, 4096
 
 #: Bits of the filter that picks the texts to confirm; it never loses one, and lets others pass when it is full.
 FILTER_BITS = 1 << 25
@@ -205,6 +209,72 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, threshold: int, size: int) ->
     return storage.staged(both.select("a", "b", "one", "two").mapInArrow(_confirm(threshold), "a long, b long"), "links", "none")
 
 
+def _split(shared: DataFrame, labels: DataFrame, heaviest: Column) -> DataFrame:
+    """The members of buckets that hold several components: band, id, label, the bucket's largest component and its hub there."""
+    labelled = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
+        "band", "id", "weight", F.coalesce("label", "id").alias("label")
+    )
+    parts = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("held"), heaviest)
+    largest = F.max_by(F.struct("label", "hub"), F.struct("held", "label")).alias("largest")
+    split = parts.groupBy("band").agg(largest, F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return labelled.join(split.select("band", F.col("largest.label").alias("main"), F.col("largest.hub").alias("hub")), "band").select(
+        "band", "id", "label", "main", "hub"
+    )
+
+
+def _compared(threshold: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids, labels = table["id"].to_numpy(), table["label"].to_numpy()
+        outside = table["outside"].to_numpy(zero_copy_only=False).astype(bool)
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table["members"]]
+        counts = np.array([len(x) for x in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), counts)
+        _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+        code, owner = code[times[code] > 1], owner[times[code] > 1]  # who else has no other holder is in no intersection
+        code = np.unique(code, return_inverse=True)[1] if len(code) else code
+        order = np.argsort(code, kind="stable")
+        code, owner = code[order], owner[order]
+        place = np.where(outside, np.cumsum(outside), np.cumsum(~outside)) - 1
+        common = np.zeros((int(outside.sum()), int((~outside).sum())), np.float32)
+        for first in range(0, int(code[-1]) + 1 if len(code) else 0, WIDTH):
+            part = slice(*np.searchsorted(code, [first, first + WIDTH]))
+            column, row = code[part] - first, owner[part]
+            one, two = (np.zeros((n, WIDTH), np.float32) for n in common.shape)
+            mine = outside[row]
+            one[place[row[mine]], column[mine]] = 1
+            two[place[row[~mine]], column[~mine]] = 1
+            common += one @ two.T
+        union = counts[outside][:, None] + counts[~outside][None, :] - common
+        near = (100 * common >= threshold * union) & (labels[outside][:, None] != labels[~outside][None, :])
+        x, y = np.nonzero(near)
+        a, b = ids[outside][x], ids[~outside][y]
+        pairs = np.stack([labels[outside][x], labels[~outside][y]], 1)
+        first = np.unique(pairs, axis=0, return_index=True)[1] if len(x) else np.zeros(0, np.int64)  # one link joins two components
+        return pa.table({"a": a[first].astype(np.int64), "b": b[first].astype(np.int64)})
+
+    return run
+
+
+def _between(texts: DataFrame, split: DataFrame, threshold: int, size: int) -> DataFrame:
+    """Links between components that share a bucket: the members outside a bucket's largest component against all of those that lie in
+    buckets with the same largest one, on their full sets, in blocks. A block counts all its intersections by matrix products and
+    gives at most one link for two components."""
+    groups = split.select("main", "id", "label").distinct()
+    sizes = groups.groupBy("main").agg(
+        F.ceil(F.count_if(F.col("label") != F.col("main")) / BLOCK).alias("rows"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("columns")
+    )
+    groups = storage.staged(groups.join(sizes, "main"), "split", "none")
+    sets = storage.staged(among(texts, groups.select("id")).mapInArrow(_sets(size), "id long, members binary"), "sets", "none")
+    at = F.xxhash64("id")
+    sides = groups.where("label <> main").select(
+        "main", "id", "label", F.lit(True).alias("outside"), F.pmod(at, "rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column")
+    ).union(groups.select(
+        "main", "id", "label", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod(at, "columns").alias("column")
+    ))
+    blocks = sides.join(sets, "id").groupBy("main", "row", "column")
+    return storage.staged(blocks.applyInArrow(_compared(threshold), "a long, b long"), "links", "none")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 80
 ) -> DataFrame:
@@ -215,6 +285,7 @@ def near_duplicates(
     nothing and kept. Rows of equal ids count as one document. A row without an id is linked with nothing, has no
     component, and is kept. Ids are integers; only the two named columns are read; an empty table gives an empty result.
     """
+    storage.bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = storage.staged(
         texts.mapInArrow(_signatures(size), "id long, n long, digest array<long>, bands array<long>, low array<long>"), "signatures"
@@ -229,40 +300,40 @@ def near_duplicates(
     alone = storage.staged(alone, "classes")
 
     filed = alone.select("id", F.explode("bands").alias("band"))
-    buckets = filed.groupBy("band").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    shared = storage.staged(filed.join(buckets.select("band", "leader"), "band"), "shared")
+    buckets = filed.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    together = storage.staged(filed.join(buckets, "band"), "together", "none")
+    # the more classes share its bands, the nearer a class is to the middle of its group
+    weights = together.groupBy("id").agg(F.sum("held").alias("weight"))
+    shared = storage.staged(together.select("band", "id").join(weights, "id"), "shared", "none")
+    low = alone.select("id", F.struct("n", "low").alias("s")).distinct()
+    heaviest = F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub")
+
+    def probable(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(low.select("id", F.col("s").alias("x")), "id").join(low.select(F.col("id").alias("hub"), F.col("s").alias("y")), "hub")
+        likely = both.where(_plausible(threshold, "x", "y")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        return storage.staged(likely, "pairs", "none")
+
+    # first each class meets the one hub that it shares most bands with
+    hubs = shared.groupBy("band").agg(heaviest)
     led = (
-        shared.where("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("bands"))
-        .groupBy("id").agg(F.max_by("leader", F.struct("bands", -F.col("leader"))).alias("leader"))
-    )
-    low = alone.select("id", F.struct("n", "low").alias("s")).groupBy("id").agg(F.first("s").alias("s"))
-    first = (
-        led.join(low.select("id", F.col("s").alias("x")), "id").join(low.select(F.col("id").alias("leader"), F.col("s").alias("y")), "leader")
-        .where(_plausible(threshold, "x", "y")).select(F.col("leader").alias("a"), F.col("id").alias("b"))
+        shared.join(hubs, "band").where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("bands"))
+        .groupBy("id").agg(F.max_by("hub", F.struct("bands", -F.col("hub"))).alias("hub"))
     )
+    seen = probable(led)
     shared_ids = member.groupBy("id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
     same_id = shared_ids.join(member, "id").select("a", F.col("rep").alias("b")).where("a <> b")
-    links = _confirmed(texts, storage.staged(first, "pairs"), threshold, size).union(same_id)
-    labels = components(links)
+    links = _confirmed(texts, seen, threshold, size).union(same_id)
 
-    # buckets that still hold several components
-    labelled = shared.select("band", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-        "band", "id", F.coalesce("label", "id").alias("label")
-    )
-    parts = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("held"))
-    split = parts.groupBy("band").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed_up = storage.staged(
-        labelled.join(split.select("band", "main"), "band").join(low, "id").select("band", "id", "label", "main", "s.n", "s.low"), "split"
-    )
-    x, y = mixed_up.where("label <> main").alias("x"), mixed_up.alias("y")
-    rest = x.join(
-        y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label"))
-        & ((F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & _plausible(threshold, "x", "y"),
-    ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    # what the first round has looked at need not be looked at again
-    seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _confirmed(texts, storage.staged(rest.join(seen, ["a", "b"], "left_anti"), "pairs"), threshold, size)
-    final = components(links.union(more))
+    # then, in buckets that still hold several components, those outside the largest meet the hubs of the largest
+    split = _split(shared, components(links), heaviest)
+    strays = split.where("label <> main").select("id", "hub").distinct()
+    again = storage.staged(probable(strays).join(seen, ["a", "b"], "left_anti"), "pairs", "none")
+    seen, links = seen.union(again), links.union(_confirmed(texts, again, threshold, size))
+
+    # at last those still outside meet everyone that they share a bucket with
+    labels = components(links)
+    more = _between(texts, _split(shared, labels, heaviest), threshold, size)
+    final = labels if more.isEmpty() else components(links.union(more))
 
     group = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("component_id"))
     out = signed.select("id", "n").join(group, "id", "left")

@@ -62,6 +62,7 @@ def token_pieces(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length and ids (little-endian 32-bit). Only texts of more than `capacity` ids
     are cut, into pieces of `capacity`, of which the first may be shorter. A null text is empty and has the end id only."""
+    storage.bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         _pieces(tokenizer, end_id, capacity), f"doc_id {kind}, piece int, start long, length long, ids binary"

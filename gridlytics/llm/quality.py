@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlytics.llm import storage
 from gridlytics.llm.text import coded, hashes_of, mixed, rows_of, slices, texts_of, words_of
 
 FEATURES = 1 << 18
@@ -162,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     task. Null ids and labels, and ids with both labels, are left out; without rows of both classes all texts get the
     share of the one there is. The same rows give the same model.
     """
+    storage.bound_batches(docs.sparkSession)
     given = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(
         F.min(label_col).alias("label"), F.max(label_col).alias("other")
     ).where("label = other").select("id", "label")
@@ -199,6 +201,7 @@ def _scored(sent):
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score of every row: the probability of label 1 by its whole text. A null text is an empty one; repeated rows and null
     ids are kept; only the two named columns are read."""
+    storage.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_scored(sent), f"_id {dict(docs.dtypes)[id_col]}, score double").withColumnRenamed("_id", id_col)
@@ -206,6 +209,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 
 def accept(docs: DataFrame, model, least: float, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose text scores at least `least`."""
+    storage.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlytics.llm import storage
 from gridlytics.llm.text import coded, flat, hashes_of, mixed, rows_of, slices, sums, texts_of, words_of
 
 # Published repetition limits for web text, shares of a text's characters (of its lines for the first).
@@ -111,6 +112,7 @@ def repetition_signals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A null text counts as empty and gives zeros; repeated rows and null ids are kept as they are; an empty table gives
     an empty result. Columns other than the two named are not read, so clashing names don't matter.
     """
+    storage.bound_batches(docs.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(

@@ -1,8 +1,8 @@
 """Token files in Simple-8b: word-aligned packing of ids, with escapes and block offsets.
 
 A file has blocks of `BLOCK` ids (the last of a group of blocks may be shorter). A word of 64 bits has a selector in its
-top four bits and as many ids of equal width as the selector says below. Ids of more than 14 bits stand as the escape value
-in the words and whole, 32 bits each, in the block's list of escapes. File, little-endian: magic; groups, each with its
+top four bits and as many ids of equal width as the selector says below. Ids from 32,767 (`ESCAPE`) on stand as that value in the
+words and whole, 32 bits each, in the block's list of escapes. File, little-endian: magic; groups, each with its
 words and escapes; an index of the blocks (ids, first word, first escape), the documents' ids and token counts, and a
 footer with the sizes of these parts. Blocks are packed and unpacked all together, by array operations.
 """
@@ -222,6 +222,7 @@ def write_tokens(
     files; a shard streams through its task.
     """
     storage.make_folder(folder)
+    storage.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sharded = by_shard(rows, "doc_id", F.octet_length("text") + 16, target_bytes, ["doc_id", "text"])
     done = sharded.mapInArrow(_write(folder, tokenizer, end_id), "shard long, path string, documents long, ids long, bytes long, crc long")

@@ -35,6 +35,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task without what this one needed
 
 
 def flat(lists) -> tuple[pa.Array, np.ndarray]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces that a Python worker remembers from one task to the next.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 
 # The two pretokenizer patterns that are cut by piece.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -64,36 +64,37 @@ class Encoder:
         if self.kind != "whole":
             self.unusual = re.compile("|".join([UNUSUAL[self.kind], *special]))
         self.pieces: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _pretoken(self, text: str) -> bytes:
+        mapped = (text if text.isascii() else text.encode().decode("latin-1")).translate(self.letters)
+        return array("i", [x.id for x in self.model.tokenize(mapped)]).tobytes()
+
     def _piece(self, text: str) -> bytes:
+        """The ids of a piece; pieces and pretokens are remembered together, as most pieces are one pretoken."""
         if not text:
             return b""
-        if self.unusual.search(text):
-            return self.whole(text)
+        if not (text.isascii() and text[text[0] == " " :].isalpha()):
+            if self.unusual.search(text):
+                return self.whole(text)
+            known, out = self.pieces, []
+            for pre in self.pattern.findall(text.lower() if self.kind == "word" else text):
+                ids = known.get(pre)
+                if ids is None:
+                    ids = known[pre] = self._pretoken(pre)
+                out.append(ids)
+            return out[0] if len(out) == 1 else b"".join(out)
         if self.kind == "word":
-            text = text.lower()
-        found = self.pretokens
-        alone = text.isalpha() or text[0] == " " and text[1:].isalpha()  # one pretoken
-        out = []
-        for pre in (text,) if alone else self.pattern.findall(text):
-            ids = found.get(pre)
-            if ids is None:
-                mapped = (pre if pre.isascii() else pre.encode().decode("latin-1")).translate(self.letters)
-                ids = array("i", [x.id for x in self.model.tokenize(mapped)]).tobytes()
-                if not alone or self.kind == "word":
-                    found[pre] = ids
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
+            lower = text.lower()
+            return self._pretoken(lower) if lower == text else self.pieces.get(lower) or self._pretoken(lower)
+        return array("i", [x.id for x in self.model.tokenize("Ġ" + text[1:] if text[0] == " " else text)]).tobytes()
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         known = self.pieces
-        for kept in (known, self.pretokens):
-            if len(kept) > REMEMBERED:
-                kept.clear()
+        if len(known) > REMEMBERED:
+            known.clear()
         out = list(map(known.get, pieces))
         for k, ids in enumerate(out):
             if ids is None:

@@ -134,6 +134,7 @@ def write_archive(
     an id come first, and are responses unless a row with an id has their payload. Only the three named columns are read. An empty table gives an empty manifest.
     """
     storage.make_folder(folder)
+    storage.bound_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))

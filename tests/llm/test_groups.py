@@ -77,8 +77,10 @@ def chains(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_chains_and_large_groups(spark, seed):
+@pytest.mark.parametrize("seed, block", [(1, 512), (2, 7)])
+def test_chains_and_large_groups(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "WIDTH", 8 * block)
     rows = chains(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     found = {(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, size=2).collect()}
