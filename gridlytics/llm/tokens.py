@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces that a Python worker remembers from one task to the next.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 # The two pretokenizer patterns that are cut by piece.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
