@@ -109,3 +109,23 @@ def test_page_edge_rows(spark):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in found) == [(0, "t", 1), (1, "", 0), (2, "", 0), (2, "", 0), (3, "é", 1)]
     assert boilerplate.main_text(pages.limit(0)).count() == 0
     assert pages.select(boilerplate.host(pages.url).alias("h")).collect()[4].h == "h.example"
+
+
+def _texts(spark, rows):
+    found = boilerplate.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)).collect()
+    return {r.page_id: (r.text, r.n_repeated) for r in found}
+
+
+@pytest.mark.parametrize("most", [boilerplate.MOST_SENT, -1])
+def test_a_rare_run_is_found_over_the_whole_of_a_large_host(spark, monkeypatch, most):
+    monkeypatch.setattr(boilerplate, "MOST_SENT", most)
+    notice = "This shop is shut from noon to three on the days before a feast"
+    story = lambda k: " ".join(f"s{k}-{j}" for j in range(12))
+    rows = [(k, "https://big.example/x", f"<div>{story(k)}</div>" + (f"<p>{notice}</p>" if k % 800 == 7 else "")) for k in range(4000)]
+    rows += [(9000 + k, "https://big.example/x", f"<div>{story(9000 + k)}</div><p>{notice[::-1]}</p>") for k in range(2)]
+    rows += [(9100 + k, "https://small.example/x", f"<div>{story(9100 + k)}</div><p>{notice}</p>") for k in range(2)]
+    rows += [(9200, "https://one.example/x", f"<div>{story(9200)}</div><p>{notice}</p>")]
+    found = _texts(spark, rows)
+    assert all(found[k] == (story(k), len(notice) * (k % 800 == 7)) for k in range(4000))
+    assert [found[k][0] for k in (9000, 9100, 9101)] == [f"{story(9000)}\n{notice[::-1]}", story(9100), story(9101)]
+    assert found[9200] == (f"{story(9200)}\n{notice}", 0)
