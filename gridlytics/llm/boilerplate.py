@@ -9,6 +9,7 @@ names an article its blocks are the text, repeated or not: an article may be pri
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -231,12 +232,12 @@ def _from_bytes(data: bytes) -> np.ndarray:
 
 
 def _parsed(batches):
-    """Pages with their blocks and kinds, their place in a chunk."""
+    """Pages with their blocks and kinds, their place in a chunk, and a digest of their token stream."""
     import pyarrow as pa
 
     chunk, at, size = 0, 0, 0
     for batch in batches:
-        texts, kinds, chunks, places = [], [], [], []
+        texts, kinds, chunks, places, digests = [], [], [], [], []
         for page, partition in zip(batch["html"].to_pylist(), batch["partition"].to_pylist()):
             found = blocks(page)
             texts.append("\n".join(text for text, _ in found))
@@ -245,9 +246,10 @@ def _parsed(batches):
                 chunk, at, size = chunk + 1, 0, 0
             chunks.append((partition << 32) + chunk)
             places.append(at)
+            digests.append(hashlib.blake2b(texts[-1].encode(), digest_size=16).digest())
             at, size = at + 1, size + len(texts[-1])
         columns = {"id": batch["id"], "url": batch["url"], "host": batch["host"]} | {
-            "chunk": pa.array(chunks, pa.int64()), "at": pa.array(places, pa.int64()),
+            "chunk": pa.array(chunks, pa.int64()), "at": pa.array(places, pa.int64()), "digest": pa.array(digests, pa.binary()),
             "blocks": pa.array(texts, pa.string()), "kinds": pa.array(kinds, pa.string()),
         }
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
@@ -383,11 +385,14 @@ def host(url: Column) -> Column:
 
 
 def _weights(parsed: DataFrame) -> DataFrame:
-    """Chunk, place and weight of the pages whose weight in the count is not 1: two for both pages of a host that has but two, where a run on both
-    counts."""
+    """Chunk, place and weight of the pages whose weight in the count is not 1: none for all but the first page of a host with the same token
+    stream, two for both of a host that has but two, where a run on both counts."""
+    firsts = parsed.groupBy("host", "digest").agg(F.min(F.struct("chunk", "at")).alias("first")).select("host", "first.*")
+    copies = parsed.select("chunk", "at").join(firsts, ["chunk", "at"], "left_anti").withColumn("weight", F.lit(0))
     place = F.struct("chunk", "at")
-    hosts = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b"))
-    return hosts.where("n = 2").select(F.explode(F.array("a", "b")).alias("x")).select("x.*", F.lit(2).alias("weight"))
+    hosts = firsts.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b"))
+    pairs = hosts.where("n = 2").select(F.explode(F.array("a", "b")).alias("x")).select("x.*", F.lit(2).alias("weight"))
+    return copies.unionByName(pairs)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -396,7 +401,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Pages are read once and their blocks staged. Each chunk of pages sends the keys of its runs, each once, to groups by ranges of the
     keys; these count the pages of a whole host and tell each chunk which of its runs are repeated: once by the keys' first bits, which leaves
-    out most runs that are not, then by whole keys. So a host of any size is spread, and no task holds more than a chunk or a group. Null pages are empty; null urls are one host;
+    out most runs that are not, then by whole keys. So a host of any size is spread, and no task holds more than a chunk or a group. Pages of one token stream count once. Null pages are empty; null urls are one host;
     null ids and repeated rows are kept; only the three named columns are read.
     """
     spark = pages.sparkSession
@@ -406,7 +411,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.col(id_col).alias("id"), url.alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
         F.xxhash64(host(url)).alias("host"), F.spark_partition_id().cast("long").alias("partition"),
     )
-    schema = f"id {kind}, url string, host long, chunk long, at long, blocks string, kinds string"
+    schema = f"id {kind}, url string, host long, chunk long, at long, digest binary, blocks string, kinds string"
     parsed = storage.staged(rows.mapInArrow(_parsed, schema), "blocks")
     weights = storage.staged(_weights(parsed), "weights")
     sent, folder = None, None

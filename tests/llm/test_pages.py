@@ -129,3 +129,13 @@ def test_a_rare_run_is_found_over_the_whole_of_a_large_host(spark, monkeypatch,
     assert all(found[k] == (story(k), len(notice) * (k % 800 == 7)) for k in range(4000))
     assert [found[k][0] for k in (9000, 9100, 9101)] == [f"{story(9000)}\n{notice[::-1]}", story(9100), story(9101)]
     assert found[9200] == (f"{story(9200)}\n{notice}", 0)
+
+
+def test_copies_of_an_unmarked_page_are_one_page(spark):
+    story = lambda k: " ".join(f"s{k}-{j}" for j in range(12))
+    rows = [(k, "https://h.example/a", f"<p id=x{k}>{story(0)}</p><div>{story(1)}</div>") for k in range(30)]
+    rows += [(100, "https://h.example/b", f"<div>{story(2)}</div>")] * 5
+    assert set(_texts(spark, rows).values()) == {(f"{story(0)}\n{story(1)}", 0), (story(2), 0)}
+    rows += [(200 + k, "https://h.example/c", f"<p>{story(20 + k)}</p><div>{story(1)}</div>") for k in range(2)]
+    found = _texts(spark, rows)
+    assert [found[k] for k in (0, 29, 200, 201)] == [(story(k), len(story(1))) for k in (0, 0, 20, 21)]
