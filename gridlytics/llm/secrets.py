@@ -1,8 +1,8 @@
 """Secrets in texts, with SQL functions only: three rules, and two character Markov models compared by likelihood.
 
 Positions come from cutting a text at a rule's matches: a match begins behind all pieces and matches before it. The models,
-one of random strings and one of ordinary identifiers, are tables of character pairs counted from labelled samples; a token that no
-rule has taken is a secret if the random model makes it far more likely.
+one of random strings and one of ordinary identifiers, are tables of character pairs counted from labelled samples; a token, or what the
+rules leave of it, is a secret if the random model makes it far more likely.
 """
 
 from __future__ import annotations
@@ -20,13 +20,17 @@ LEAST_VALUE, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
+LETTERS = 52  # the first ones of the alphabet
 TOKEN = r"[A-Za-z0-9+/=_-]{16,}"
+RULED = rf"AKIA[A-Z0-9]{{{LEAST_ACCESS - 4},}}|{HEX}"  # what the other two rules take of a token
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 #: Texts from which the models are counted at most, on average: those whose hashed id falls in the share that gives so many.
 TRAINING_TEXTS = 4000
 #: Natural logarithm of the ratio of likelihoods from which on a token is a secret, in all and per pair of characters.
 LEAST_RATIO, LEAST_MEAN = 18.0, 0.8
+#: The same for tokens without a digit, whose pairs of letters alone count, as they are and in lower case: names have capitals and signs too.
+LEAST_RATIO_LETTERS, LEAST_MEAN_LETTERS = 24.0, 1.2
 #: Pairs' worth of belief in how common a character is by itself, where a model has seen few pairs.
 BACKING = 5.0
 
@@ -125,30 +129,45 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def _is_random(token: Column, table: Column) -> Column:
-    ratio = F.aggregate(_pairs(token), F.lit(0.0), lambda total, pair: total + F.get(table, pair))
-    plain = ~token.rlike("[0-9]") | ~token.rlike("[A-Za-z]")  # words, or numbers
-    taken = token.rlike("[0-9a-f]{32}") | token.rlike("AKIA[A-Z0-9]{12}")
-    return F.when(plain | taken, F.lit(False)).otherwise((ratio >= LEAST_RATIO) & (ratio >= LEAST_MEAN * (F.length(token) - 1)))
+    letter = lambda code: code < LETTERS
+    size = len(ALPHABET)
+    summed = lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda total, pair: total + F.get(table, pair))
+    ratio = summed(_pairs(token))
 
+    def unlike_words(t: Column) -> Column:
+        pairs = F.filter(_pairs(t), lambda pair: letter(F.floor(pair / size)) & letter(pair % size))
+        return summed(pairs) >= F.greatest(F.lit(LEAST_RATIO_LETTERS), LEAST_MEAN_LETTERS * F.size(pairs))
+
+    return (
+        F.when(~token.rlike("[A-Za-z]"), F.lit(False))  # numbers
+        .when(token.rlike("[0-9]"), (ratio >= LEAST_RATIO) & (ratio >= LEAST_MEAN * (F.length(token) - 1)))
+        .otherwise(unlike_words(token) & unlike_words(F.lower(token)))
+    )
 
-def random_spans(text: Column, table: list[float]) -> Column:
-    """Spans of tokens that the models call random, outside what the assignment rule has matched."""
-    weights = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
-    found = lambda part, at: _found(part, TOKEN, 3, lambda v: _is_random(v, weights), offset=at)
-    pieces = F.split(text, ASSIGN, -1)
-    matches = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0)), F.length)
+
+def _between(text: Column, pattern: str, find, offset: Column) -> Column:
+    """The spans that `find` (of a piece and its place) gives in what lies between a pattern's matches."""
+    pieces = F.split(text, pattern, -1)
+    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
 
     def step(done: Column, part: Column) -> Column:
         return F.struct(
             (done["at"] + F.length(part["piece"]) + F.coalesce(part["match"], F.lit(0))).alias("at"),
-            F.concat(done["spans"], found(part["piece"], done["at"])).alias("spans"),
+            F.concat(done["spans"], find(part["piece"], done["at"])).alias("spans"),
         )
 
     parts = F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    apart = F.aggregate(parts, F.struct(F.lit(0).alias("at"), _none().alias("spans")), step, lambda done: done["spans"])
-    can = text.rlike("[0-9]") & text.rlike(TOKEN)
+    return F.aggregate(parts, F.struct(offset.alias("at"), _none().alias("spans")), step, lambda done: done["spans"])
+
+
+def random_spans(text: Column, table: list[float]) -> Column:
+    """Spans of tokens that the models call random, outside what the rules have matched."""
+    weights = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
+    found = lambda part, at: _found(part, TOKEN, 3, lambda v: _is_random(v, weights), offset=at)
+    cut = lambda part, at: F.when(part.rlike(RULED), _between(part, RULED, found, at)).otherwise(found(part, at))
+    apart = _between(text, ASSIGN, cut, F.lit(0))
     assigns = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
-    return F.when(~can, _none()).when(assigns, apart).otherwise(found(text, F.lit(0)))
+    return F.when(~text.rlike(TOKEN), _none()).when(assigns, apart).otherwise(cut(text, F.lit(0)))
 
 
 def secret_spans(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
