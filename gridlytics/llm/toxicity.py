@@ -1,7 +1,8 @@
 """Toxicity by a learned lexicon whose terms are also found misspelled, with the words around a hit telling abuse from quotation.
 
-Training takes the lexicon from labelled texts: words whose log ratio of toxic against other texts is high and sure. A hit is a word
-within some edits of a term, more the longer the term. The terms form a trie; a set of (trie node, edits so far) is what a
+Training takes the lexicon from labelled texts: words and stems (beginnings of words, written "stem*") whose log ratio of toxic
+against other texts is high, and surer than the best of so many words would be by chance. A hit is a word within some edits of
+a term, or with a beginning within some edits of a stem, more the longer the term. The terms form a trie; a set of (trie node, edits so far) is what a
 Levenshtein automaton of the read letters and the trie share, and reading a letter gives the next set. Sets are numbered and their
 transitions kept as they turn up, so the distinct words of a slice are read side by side, one letter of all of them at a time.
 
@@ -27,8 +28,9 @@ from gridlytics.llm.text import coded, hashes_of, rows_of, slices, texts_of, wor
 TRAINING_ROWS = 12_000
 #: Terms of a model at most, the surest ones; a bound on what is broadcast.
 TERMS = 20_000
-LEAST_TEXTS, LEAST_RATIO, LEAST_SURE = 3, 1.5, 2.6
+LEAST_TEXTS, LEAST_RATIO = 3, 1.5
 SHORTEST, LONGEST = 3, 30
+STEMS = range(4, 11)
 WINDOW = 5
 BUCKETS = 1 << 14
 QUOTE = "[\"'`\\x{ab}\\x{bb}\\x{2018}-\\x{201f}\\x{2039}\\x{203a}\\x{300c}\\x{300d}]"
@@ -37,9 +39,11 @@ STATES = 60_000
 FEATURES = 7
 
 
-def edits_of(length: int) -> int:
-    """How many edits a term of so many characters may be away."""
-    return 0 if length < 5 else 1 if length < 10 else 2
+def edits_of(term: str) -> int:
+    """How many edits a word may be away from a term, or its beginning from a stem."""
+    if term.endswith("*"):
+        return 0 if len(term) < 9 else 1
+    return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
 
 
 class Lexicon:
@@ -49,11 +53,14 @@ class Lexicon:
         self.terms = terms
         self.children: list[dict[int, int]] = [{}]
         self.term, self.most = [-1], [0]
-        letters = sorted({c for t in terms for c in t})
+        bases = [t.removesuffix("*") for t in terms]
+        self.stem = [t.endswith("*") for t in terms]
+        letters = sorted({c for t in bases for c in t})
         self.letters = np.zeros(0x110000, np.int16)  # 0: in no term
         self.letters[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        for number, term in enumerate(terms):
-            node, most = 0, edits_of(len(term))
+        self.edits = [edits_of(t) for t in terms]
+        for number, term in enumerate(bases):
+            node, most = 0, self.edits[number]
             self.most[0] = max(self.most[0], most)
             for c in self.letters[[ord(c) for c in term]].tolist():
                 if c not in self.children[node]:
@@ -63,8 +70,9 @@ class Lexicon:
                     self.most.append(0)
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], most)
-            self.term[node] = number
-        self.longest = max((len(t) + edits_of(len(t)) for t in terms), default=0)
+            if self.term[node] < 0 or self.stem[number]:  # a stem stands for its word too
+                self.term[node] = number
+        self.longest = max((len(t) + e for t, e in zip(bases, self.edits)), default=0)
         self._forget()
 
     def _forget(self) -> None:
@@ -72,7 +80,7 @@ class Lexicon:
         self.sets: list[tuple] = []
         width = int(self.letters.max()) + 1
         self.next = np.full((1024, width), -1, np.int32)
-        self.best = np.full((1024, 2), -1, np.int32)  # term and distance of a word that ends here
+        self.best = np.full((1024, 4), -1, np.int32)  # term and distance of a word that ends here, and of one that goes on
         self._number(())  # 0: nothing can match any more
         self.start = self._number(self._closed({0: 0}))
 
@@ -96,10 +104,11 @@ class Lexicon:
             if number == len(self.next):
                 self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
                 self.best = np.concatenate([self.best, np.full_like(self.best, -1)])
-            ends = [(far, self.term[n]) for n, far in state if self.term[n] >= 0 and far <= edits_of(len(self.terms[self.term[n]]))]
-            if ends:
-                far, term = min(ends)
-                self.best[number] = term, far
+            ends = [(far, self.stem[t], t) for far, t in ((far, self.term[n]) for n, far in state) if t >= 0 and far <= self.edits[t]]
+            for at, some in ((0, ends), (2, [x for x in ends if x[1]])):
+                if some:
+                    far, _, term = min(some)
+                    self.best[number, at : at + 2] = term, far
         return number
 
     def _step(self, state: int, letter: int) -> int:
@@ -107,6 +116,9 @@ class Lexicon:
         for node, far in self.sets[state]:
             if far < self.most[node] and far + 1 < found.get(node, 99):
                 found[node] = far + 1  # the word has a letter too many
+            term = self.term[node]
+            if term >= 0 and self.stem[term] and far <= self.edits[term] and far < found.get(node, 99):
+                found[node] = far  # what follows a stem is free
             for c, child in self.children[node].items():
                 new = far + (c != letter)
                 if new <= self.most[child] and new < found.get(child, 99):
@@ -117,21 +129,28 @@ class Lexicon:
         """The nearest term of each word (of equal ones the first) and its distance; -1 where none is near enough."""
         term, far = np.full(len(words), -1, np.int32), np.full(len(words), -1, np.int32)
         lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        rows = np.flatnonzero((lengths > 0) & (lengths <= self.longest))
+        rows = np.flatnonzero((lengths > 0) & ((lengths <= self.longest) | any(self.stem)))
         if not len(rows) or not self.terms:
             return term, far
+        goes_on = lengths > self.longest  # a stem is found within so many letters
         if len(self.sets) > STATES:
             self._forget()
         rows = rows[np.argsort(-lengths[rows], kind="stable")]
         lengths = lengths[rows]
-        joined = "".join(words.take(pa.array(rows)).to_pylist())
+        lengths = np.minimum(lengths, self.longest)
+        joined = "".join(pc.utf8_slice_codeunits(words.take(pa.array(rows)), 0, self.longest).to_pylist())
         letters = self.letters[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
         begins = np.cumsum(lengths) - lengths
         live, state = np.arange(len(rows)), np.full(len(rows), self.start, np.int32)
+
+        def end(some: np.ndarray, states: np.ndarray) -> None:
+            best = np.where(goes_on[rows[some], None], self.best[states, 2:], self.best[states, :2])
+            term[rows[some]], far[rows[some]] = best.T
+
         for k in range(int(lengths[0])):
             ended = lengths[live] <= k
             if ended.any():
-                term[rows[live[ended]]], far[rows[live[ended]]] = self.best[state[ended]].T
+                end(live[ended], state[ended])
                 live, state = live[~ended], state[~ended]
             letter = letters[begins[live] + k]
             after = self.next[state, letter]
@@ -145,7 +164,7 @@ class Lexicon:
             live, state = live[going], after[going]
             if not len(live):
                 break
-        term[rows[live]], far[rows[live]] = self.best[state].T
+        end(live, state)
         return term, far
 
 
@@ -219,13 +238,21 @@ def document_features(found: dict[str, np.ndarray], score: np.ndarray, n: int) -
 def _labelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         distinct, codes, offsets = tokens(texts_of(part.column("text")))
-        terms, which = coded(bare(distinct))
-        size = max(len(terms), 1)
-        pairs = np.unique(rows_of(offsets) * size + which[codes])  # a word once a text
-        label = part.column("label").to_numpy(zero_copy_only=False)
-        toxic = np.bincount(pairs % size, weights=label[pairs // size], minlength=size)[: len(terms)].astype(np.int64)
-        texts = np.bincount(pairs % size, minlength=size)[: len(terms)].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([terms.cast(pa.string()), pa.array(toxic), pa.array(texts - toxic)], names=["word", "toxic", "other"])
+        row, label = rows_of(offsets), part.column("label").to_numpy(zero_copy_only=False)
+        words = bare(distinct)
+        length = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        for size in (None, *STEMS):
+            terms, which = coded(words if size is None else pc.utf8_slice_codeunits(words, 0, size))
+            n = max(len(terms), 1)
+            pairs = row * n + which[codes]
+            pairs = np.unique(pairs if size is None else pairs[(length >= size)[codes]])  # a word once a text
+            toxic = np.bincount(pairs % n, weights=label[pairs // n], minlength=n)[: len(terms)].astype(np.int64)
+            texts = np.bincount(pairs % n, minlength=n)[: len(terms)].astype(np.int64)
+            there = np.flatnonzero(texts)
+            found = terms.take(pa.array(there)).cast(pa.string())
+            if size is not None:
+                found = pc.binary_join_element_wise(found, pa.scalar("*"), pa.scalar(""))
+            yield pa.RecordBatch.from_arrays([found, pa.array(toxic[there]), pa.array((texts - toxic)[there])], names=["word", "toxic", "other"])
 
 
 def _contexts(sent):
@@ -276,6 +303,20 @@ def ratio(toxic: np.ndarray, other: np.ndarray, all_toxic: float, all_other: flo
     return np.log((toxic + prior * mean) / (all_toxic + prior)) - np.log((other + prior * mean) / (all_other + prior))
 
 
+def chosen_terms(candidates: list[tuple[str, float, float]]) -> list[tuple[str, float]]:
+    """Of words and stems that hold one another the surest: a whole word before its stems, a long stem before a short one."""
+    taken, stems, begun = [], set(), set()
+    for term, weight, _ in sorted(candidates, key=lambda x: (-round(x[2], 9), x[0].endswith("*"), -len(x[0]), x[0])):
+        base = term.removesuffix("*")
+        if any(base[:k] in stems for k in range(1, len(base) + 1)) or term.endswith("*") and base in begun:
+            continue
+        taken.append((term, weight))
+        begun.update(base[:k] for k in range(1, len(base) + 1))
+        if term.endswith("*"):
+            stems.add(base)
+    return sorted(taken)
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", most: int = TRAINING_ROWS) -> Model:
     """A model from the texts of labelled rows (1: toxic, or 0).
 
@@ -301,12 +342,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
 
     counted = texts.select("label", "text").mapInArrow(_labelled_words, "word string, toxic long, other long")
     counted = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    n_words = counted.where(F.col("toxic") + F.col("other") >= LEAST_TEXTS).count()
     log_ratio = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
-    spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
+    share, texts_with = n_toxic / (n_toxic + n_other), F.col("toxic") + F.col("other")
+    # Chernoff's bound on the chance of so many toxic texts among those with the word
+    sure = F.col("toxic") * F.log(F.col("toxic") / texts_with / share)
+    sure = sure + F.when(F.col("other") > 0, F.col("other") * F.log(F.col("other") / texts_with / (1 - share))).otherwise(0.0)
     terms = counted.where((F.col("toxic") >= LEAST_TEXTS) & F.length("word").between(SHORTEST, LONGEST) & F.col("word").rlike(r"\p{L}"))
-    terms = terms.select("word", log_ratio.alias("weight"), (log_ratio / spread).alias("sure"))
-    terms = terms.where((F.col("weight") >= LEAST_RATIO) & (F.col("sure") >= LEAST_SURE)).orderBy(F.desc("sure"), "word").limit(TERMS)
-    rows = sorted((r.word, r.weight) for r in terms.collect())
+    terms = terms.select("word", log_ratio.alias("weight"), sure.alias("sure"))
+    terms = terms.where((F.col("weight") >= LEAST_RATIO) & (F.col("sure") >= max(float(np.log(max(n_words, 1))), 1.0)))
+    rows = chosen_terms([(r.word, r.weight, r.sure) for r in terms.orderBy(F.desc("sure"), "word").limit(TERMS).collect()])
     if not rows:
         return plain
 
