@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlytics.functions.columns import flag, percent_error, to_date
+from gridlytics.operators.boosting import BINS, DEPTH, PATIENCE, RATE, TREES, fit_watched
 from gridlytics.operators.relational import first_per_key
 from gridlytics.operators.series import NEW
 from gridlytics.operators.stats import grouped_ols
@@ -179,11 +180,84 @@ def additive_forecast(df: DataFrame, horizon: int = 1, scales: DataFrame | None
     return _dated(cols.groupBy("station").applyInPandas(forecast, f"station {kind}, model string, day int, prediction double"))
 
 
+class _Cutoffs:
+    """Normal equations of the additive model for every prefix of one series, each with trend changes placed for that prefix.
+
+    Seasonal columns do not depend on the prefix; a hinge is zero up to its day and linear after it. So all cross products come
+    from running sums of 1, the day, its square, the seasonal columns and their products with the day and the volume: a
+    prefix costs a few subtractions, not another pass over its rows.
+    """
+
+    def __init__(self, days: np.ndarray, y: np.ndarray, holiday: np.ndarray):
+        self.days, self.y = days, y
+        self.whole = max(float(days[-1] - days[0]), 1.0)
+        self.u = (days - days[0]) / self.whole
+        season = [np.zeros((len(days), 0))]
+        for period, order in ((7.0, WEEKLY_ORDER), (365.25, YEARLY_ORDER)):
+            angle = 2 * np.pi * np.outer(days, np.arange(1, order + 1)) / period
+            season.append(np.stack([np.sin(angle), np.cos(angle)], axis=2).reshape(len(days), 2 * order))
+        self.season = np.column_stack([*season, holiday])
+        fixed = np.column_stack([np.ones_like(self.u), self.u, self.season])
+        running = lambda x: np.vstack([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
+        # Columns: 1, u, seasons, then y; and the same times u.
+        self.sums = running(np.column_stack([fixed, y]))
+        self.with_u = running(np.column_stack([fixed, y]) * self.u[:, None])
+        self.fixed, self.done = fixed, 0
+        self.inner, self.inner_y = np.zeros((fixed.shape[1],) * 2), np.zeros(self.season.shape[1])
+
+    def kept(self, basis: _Basis) -> np.ndarray:
+        """Which seasonal columns a prefix of this span has."""
+        return np.array([basis.weekly] * (2 * WEEKLY_ORDER) + [basis.yearly] * (2 * YEARLY_ORDER) + [True])
+
+    def equations(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, _Basis]:
+        """Gram matrix and cross products of the first `n` rows, the model's columns of row `n`, and the basis; `n` must not fall from
+        call to call."""
+        new, self.done = slice(self.done, n), n
+        self.inner += self.fixed[new].T @ self.fixed[new]
+        self.inner_y += self.season[new].T @ self.y[new]
+        basis = _Basis(self.days[:n], True)
+        places = np.searchsorted(self.days[:n], basis.start + basis.hinges * basis.span - 0.5)
+        stretch, at = self.whole / basis.span, self.u[places]
+        seasons = 2 + np.flatnonzero(self.kept(basis))
+        columns = np.concatenate([[0, 1], seasons])
+        # Sums over the rows after each hinge's place.
+        after, after_u = (x[n] - x[places + 1] for x in (self.sums, self.with_u))
+        hinge = after_u - at[:, None] * after  # with 1, u, seasons, y
+        later = np.maximum(np.arange(len(at))[:, None], np.arange(len(at))[None, :])
+        both = after_u[later, 1] - (at[:, None] + at[None, :]) * after[later, 1] + np.outer(at, at) * after[later, 0]
+        inner = self.inner[np.ix_(columns, columns)]
+        k = len(at)
+        order = np.concatenate([[0, 1], np.arange(len(columns), len(columns) + k), np.arange(2, len(columns))])
+        gram = np.block([[inner, hinge[:, columns].T], [hinge[:, columns], both]])[np.ix_(order, order)]
+        cross = np.concatenate([self.sums[n, -1:], self.with_u[n, -1:], self.inner_y[seasons - 2], hinge[:, -1]])[order]
+        row = np.concatenate([self.fixed[n, columns], np.maximum(self.u[n] - at, 0.0)])[order] if n < len(self.u) else None
+        scale = np.ones(len(order))
+        scale[1 : 2 + k] = stretch  # the trend runs over the prefix, not over the whole series
+        return gram * np.outer(scale, scale), cross * scale, None if row is None else row * scale, basis
+
+
+def _tuning(days: np.ndarray, y: np.ndarray, holiday: np.ndarray, grid: Sequence[float], cutoffs: int) -> np.ndarray:
+    """One-day forecasts of the last `cutoffs` days by every flexibility: grid by cutoff."""
+    train, all_cutoffs = len(days) - cutoffs, _Cutoffs(days, y, holiday)
+    predicted = np.zeros((len(grid), cutoffs))
+    top, squares = np.maximum.accumulate(np.abs(y)), np.cumsum(y**2)
+    for step in range(cutoffs):
+        n = train + step
+        gram, cross, row, basis = all_cutoffs.equations(n)
+        unit = float(top[n - 1]) or 1.0
+        cross, square = cross / unit, float(squares[n - 1]) / unit**2
+        penalties = np.stack([np.diag(basis.penalty(len(cross), scale)) for scale in grid])
+        noise = _noise(gram, cross, square, float(n))
+        betas = np.linalg.solve(gram + noise * penalties, np.broadcast_to(cross[:, None], (len(grid), len(cross), 1)))
+        predicted[:, step] = betas[:, :, 0] @ row * unit
+    return predicted
+
+
 def tune_forecast(df: DataFrame, grid: Sequence[float] = SCALE_GRID, cutoffs: int = 30) -> DataFrame:
     """Trend flexibility with the least error over one-day forecasts from the last ``cutoffs`` days.
 
-    All grid points of a station share one set of cross products, and a later cutoff adds one row to them,
-    so a station costs one pass over its days plus small solves.
+    At each cutoff the trend changes are placed anew over the days before it, as a fit on those days alone would place them. All
+    cutoffs and grid points of a station share the running sums of one pass over its days; what is left are small solves.
     """
     grid = [float(g) for g in grid]
 
@@ -192,23 +266,7 @@ def tune_forecast(df: DataFrame, grid: Sequence[float] = SCALE_GRID, cutoffs: in
         row = {"station": key[0], "changepoint_scale": None, "rmse": None, "share5": None, "share10": None, "share15": None}
         if len(pdf) > cutoffs + 2:
             days, y, holiday, _ = _numbers(pdf)
-            train = len(days) - cutoffs
-            unit = float(np.max(np.abs(y[:train]))) or 1.0
-            basis = _Basis(days[:train], True)
-            x, _ = basis.columns(days, holiday)
-            z = y / unit
-            gram, cross = x[:train].T @ x[:train], x[:train].T @ z[:train]
-            square = float(z[:train] @ z[:train])
-            predicted = np.zeros((len(grid), cutoffs))
-            penalties = np.stack([np.diag(basis.penalty(x.shape[1], scale)) for scale in grid])
-            for step in range(cutoffs):
-                at = train + step
-                noise = _noise(gram, cross, square, float(at))
-                betas = np.linalg.solve(gram + noise * penalties, np.broadcast_to(cross[:, None], (len(grid), len(cross), 1)))
-                predicted[:, step] = betas[:, :, 0] @ x[at] * unit
-                gram = gram + np.outer(x[at], x[at])
-                cross, square = cross + x[at] * z[at], square + float(z[at] ** 2)
-            actual = y[train:]
+            predicted, actual = _tuning(days, y, holiday, grid, cutoffs), y[len(days) - cutoffs :]
             rmse = np.sqrt(np.mean((predicted - actual) ** 2, axis=1))
             best = int(np.argmin(rmse))
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -465,6 +523,52 @@ def ar_forecast(df: DataFrame, p: int = 5, d: int = 1) -> DataFrame:
     return out.select("station", F.lit("ARIMA").alias("model"), F.date_add("date", 1).alias("date"), step.alias("prediction"))
 
 
+def _least_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coefficients with the intercept last; the smallest ones where columns are collinear."""
+    middle, mean = x.mean(axis=0), y.mean()
+    beta = np.linalg.lstsq(x - middle, y - mean, rcond=1e-10)[0]
+    return np.append(beta, mean - middle @ beta)
+
+
+def _lags(z: np.ndarray, n: int, first: int) -> np.ndarray:
+    """The `n` values before each of z[first:]."""
+    return np.stack([z[first - k : len(z) - k] for k in range(1, n + 1)], axis=1) if n else np.zeros((len(z) - first, 0))
+
+
+def _arma(y: np.ndarray, p: int, d: int, q: int, long: int) -> tuple[float, np.ndarray] | None:
+    """The next value of a series and the coefficients: autoregressive, moving average, intercept."""
+    z = np.diff(y, d)
+    if len(z) <= max(long + q, p):
+        return None
+    shocks = z[long:] - np.column_stack([_lags(z, long, long), np.ones(len(z) - long)]) @ _least_squares(_lags(z, long, long), z[long:])
+    shocks = np.concatenate([np.zeros(long), shocks])
+    first = max(long + q, p)
+    beta = _least_squares(np.column_stack([_lags(z, p, first), _lags(shocks, q, first)]), z[first:])
+    step = beta[:p] @ z[::-1][:p] + beta[p : p + q] @ shocks[::-1][:q] + beta[-1]
+    return float(step + sum(np.diff(y, i)[-1] for i in range(d))), beta
+
+
+def arma_forecast(df: DataFrame, p: int = 5, d: int = 1, q: int = 5, long: int | None = None) -> DataFrame:
+    """Autoregressive moving average of order ``(p, d, q)``; next-day forecast per station, by two regressions.
+
+    The first, an autoregression of order ``long``, gives the residuals that stand for the unseen shocks; the second has the last
+    ``p`` values and ``q`` residuals. One Arrow group is one station's series, so its size is bounded by the calendar. A station
+    whose history is shorter than the lags has no row.
+    """
+    long = max(p, q) + 10 if long is None else long
+
+    def fit(key, pdf):
+        pdf = pdf.dropna(subset=["volume"]).sort_values("day")
+        found = _arma(pdf["volume"].to_numpy(float), p, d, q, long)
+        rows = [] if found is None else [(key[0], int(pdf["day"].iloc[-1]) + 1, found[0], found[1])]
+        return pd.DataFrame(rows, columns=["station", "day", "prediction", "coefficients"])
+
+    kind = dict(df.dtypes)["station"]
+    rows = df.select("station", F.unix_date("date").alias("day"), F.col("volume").cast("double").alias("volume"))
+    found = rows.groupBy("station").applyInPandas(fit, f"station {kind}, day int, prediction double, coefficients array<double>")
+    return _dated(found).withColumn("model", F.lit("ARIMA"))
+
+
 def lag_pairs(df: DataFrame, share: float = 0.9) -> DataFrame:
     """Today's volume with the next day's as label; the first ``share`` of each series is for training."""
     order = Window.partitionBy("station").orderBy("date")
@@ -477,6 +581,35 @@ def lag_pairs(df: DataFrame, share: float = 0.9) -> DataFrame:
     return rows.withColumn("is_train", train).filter(F.col("label").isNotNull()).drop("_i", "_n")
 
 
+def boosted_forecast(
+    df: DataFrame, share: float = 0.9, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, bins: int = BINS, patience: int = PATIENCE
+) -> DataFrame:
+    """Boosted trees from a day's volume to the next day's, one model per station: its days after the first ``share``, their actual
+    next-day volume, the prediction (not below 0) and the number of trees.
+
+    The last tenth of a station's training days says when more trees stop helping (``patience``); the model is then fitted to all
+    its training days with that many. A station with fewer than two training days has no rows. One Arrow group is one
+    station's series, so its size is bounded by the calendar.
+    """
+    rows = lag_pairs(df, share).select("station", F.unix_date("date").alias("day"), "volume", "label", "is_train")
+
+    def fit(key, pdf):
+        pdf = pdf.dropna(subset=["volume"]).sort_values("day")
+        train, rest = pdf[pdf["is_train"]], pdf[~pdf["is_train"]]
+        if len(train) < 2 or not len(rest):
+            return pd.DataFrame({"station": [], "day": [], "actual": [], "prediction": [], "trees": []})
+        x, y = train[["volume"]].to_numpy(float), train["label"].to_numpy(float)
+        model = fit_watched(x, y, max(len(y) // 10, 1), trees, depth, rate, bins, patience)
+        predicted = np.maximum(model.predict(rest[["volume"]].to_numpy(float)), 0.0)
+        return pd.DataFrame({
+            "station": key[0], "day": rest["day"], "actual": rest["label"].astype(float), "prediction": predicted, "trees": len(model.trees)
+        })
+
+    kind = dict(df.dtypes)["station"]
+    found = rows.groupBy("station").applyInPandas(fit, f"station {kind}, day int, actual double, prediction double, trees int")
+    return _dated(found).withColumn("model", F.lit("XGBoost"))
+
+
 def gbt_lag_forecast(df: DataFrame, share: float = 0.9, trees: int = 20, depth: int = 5, seed: int = 7) -> DataFrame:
     """Boosted trees from today's volume to the next day's, one pooled model over all stations.
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlytics.functions.columns import draw
+from gridlytics.sources.staging import staged
 
 # Longest arrears range, arrears growth that still counts as paid, and the debts, in
 # millions, above which a training row is an outlier.
@@ -91,10 +93,20 @@ def grid_search(
     In each fold the preparation is fitted on the other folds, which are then balanced by repeating rows of the smaller class; the
     fold itself is neither prepared from nor repeated. The fits of a fold share its prepared rows.
     """
-    from concurrent.futures import ThreadPoolExecutor
     from itertools import product
 
     points = [dict(zip(grid, values)) for values in product(*grid.values())]
+    areas = fold_areas(kind, df, points, prepare, keys, folds, label, parallelism, seed)
+    best = max(range(len(points)), key=lambda k: areas[k])
+    return points[best], areas[best]
+
+
+def fold_areas(
+    kind: str, df: DataFrame, points: Sequence[dict], prepare: Pipeline, keys: Sequence[str], folds: int, label: str, parallelism: int, seed: int
+) -> list[float]:
+    """The mean ROC area over the folds of each point."""
+    from concurrent.futures import ThreadPoolExecutor
+
     folded, areas = stratified_folds(df, keys, label, folds, seed), [0.0] * len(points)
     for fold in range(folds):
         inside = folded.filter(F.col("fold") != fold)
@@ -109,8 +121,102 @@ def grid_search(
             areas = [total + one / folds for total, one in zip(areas, pool.map(area, points))]
         train.unpersist()
         held.unpersist()
-    best = max(range(len(points)), key=lambda k: areas[k])
-    return points[best], areas[best]
+    return areas
+
+
+def halving_rungs(rows: int, points: int, factor: int = 3, least: int = 200) -> list[tuple[int, float]]:
+    """(survivors, share of the rows) of each rung: every rung has a third of the points and three times the rows of the one before, the
+    last one all rows. No rung has fewer than ``least`` rows, and the first that has all rows is the last."""
+    counts = [points]
+    while counts[-1] > 1:
+        counts.append(-(-counts[-1] // factor))
+    rungs = []
+    for k, count in enumerate(counts):
+        rungs.append((count, min(1.0, max(factor ** -(len(counts) - 1 - k), least / max(rows, 1)))))
+        if rungs[-1][1] >= 1.0:
+            break
+    return rungs
+
+
+def rung_rows(df: DataFrame, keys: Sequence[str], share: float, label: str = "label", seed: int = 0) -> DataFrame:
+    """The rows of a rung, by a hash of their key; a larger share holds all rows of a smaller one."""
+    return df.filter(draw([label, *keys], seed + 1) % 1_000_000 < int(round(share * 1_000_000)))
+
+
+def halving_search(
+    kind: str, df: DataFrame, grid: Mapping[str, Sequence], prepare: Pipeline, keys: Sequence[str], folds: int = 4, label: str = "label",
+    factor: int = 3, least: int = 200, parallelism: int = 4, seed: int = 0,
+) -> tuple[dict, float, list[dict]]:
+    """Successive halving: all points of a grid on a small nested sample, the best third on three times the rows, and so on.
+
+    Each rung is a :func:`grid_search` of its survivors; the winner, its mean ROC area on all rows, and what each rung had.
+    """
+    from itertools import product
+
+    points = [dict(zip(grid, values)) for values in product(*grid.values())]
+    history, area = [], 0.0
+    for rung, (count, share) in enumerate(halving_rungs(df.count(), len(points), factor, least)):
+        points = points[:count]
+        rows = df if share >= 1 else rung_rows(df, keys, share, label, seed)
+        areas = fold_areas(kind, rows, points, prepare, keys, folds, label, parallelism, seed)
+        order = sorted(range(len(points)), key=lambda k: (-areas[k], k))
+        history.append({"rung": rung, "share": share, "points": len(points), "best_area": areas[order[0]]})
+        points, area = [points[k] for k in order], areas[order[0]]
+    return points[0], area, history
+
+
+def boost_weights(scored: DataFrame, label: str = "label", prediction: str = "prediction", weight: str = "weight") -> tuple[DataFrame, float]:
+    """One round of adaptive boosting after a weak learner has predicted: the rows with their new weights, which add up to their
+    number, and the learner's say, half the log odds of its weighted share of right rows."""
+    wrong = F.col(label) != F.col(prediction)
+    sums = scored.agg(F.sum(weight).alias("all"), F.sum(F.when(wrong, F.col(weight)).otherwise(0.0)).alias("wrong"), F.count("*").alias("n")).first()
+    error = min(max((sums["wrong"] or 0.0) / (sums["all"] or 1.0), 1e-10), 1 - 1e-10)
+    say = 0.5 * math.log((1 - error) / error)
+    raised = F.col(weight) * F.when(wrong, math.exp(say)).otherwise(math.exp(-say))
+    total = (sums["wrong"] or 0.0) * math.exp(say) + ((sums["all"] or 0.0) - (sums["wrong"] or 0.0)) * math.exp(-say)
+    return scored.withColumn(weight, raised * (sums["n"] / (total or 1.0))), say
+
+
+class AdaptiveBoost:
+    """Weighted stumps whose votes are added up. ``transform`` gives the share of the votes for class 1 as ``probability_1``."""
+
+    def __init__(self, stumps: list, says: list[float]):
+        self.stumps, self.says = stumps, says
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        votes, out = F.lit(0.0), df
+        for k, (stump, say) in enumerate(zip(self.stumps, self.says)):
+            # A tree's prediction is an expression over the features, so the rounds stay one pass.
+            out = stump.transform(out).withColumnRenamed("prediction", f"_vote{k}").drop("rawPrediction", "probability")
+            votes = votes + F.col(f"_vote{k}") * say
+        total = sum(self.says) or 1.0
+        share = votes / total
+        out = out.withColumns({"probability_1": share, "prediction": F.when(share > 0.5, 1.0).otherwise(0.0)})
+        return out.drop(*[f"_vote{k}" for k in range(len(self.stumps))])
+
+
+def fit_adaptive(df: DataFrame, rounds: int = 50, depth: int = 1, label: str = "label", seed: int = 0) -> AdaptiveBoost:
+    """Adaptive boosting of shallow trees on ``features``: each round fits weighted rows and raises the weights of those it gets wrong.
+
+    Ends early when a learner is no better than chance, or makes no mistake. Weights are carried along a checkpoint every few rounds, so
+    that neither the plan nor a recomputation grows with the rounds.
+    """
+    rows = staged(df.withColumn("weight", F.lit(1.0)))
+    stumps, says = [], []
+    for k in range(rounds):
+        stump = DecisionTreeClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxDepth=depth, seed=seed).fit(rows)
+        scored = stump.transform(rows).select(*df.columns, "weight", "prediction")
+        raised, say = boost_weights(scored, label)
+        if say <= 1e-9:
+            break
+        stumps.append(stump)
+        says.append(say)
+        if say > 10:  # no mistakes are left
+            break
+        rows = raised.drop("prediction")
+        if k % 5 == 4:
+            rows = staged(rows)
+    return AdaptiveBoost(stumps, says)
 
 
 def stratified_folds(df: DataFrame, keys: Sequence[str], label: str = "label", folds: int = 3, seed: int = 0) -> DataFrame:
@@ -124,6 +230,13 @@ def score(model, df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return model.transform(df).select(*keys, vector_to_array("probability")[1].alias("probability"))
 
 
+def train_pipeline(kind: str, df: DataFrame, prepare: Pipeline, keys: Sequence[str], **params) -> PipelineModel:
+    """Preparation and classifier as one model that takes raw rows: the preparation is fitted on the rows as they are, the classifier
+    on balanced ones."""
+    prepared = prepare.fit(df)
+    return PipelineModel([*prepared.stages, fit_classifier(kind, oversample(prepared.transform(df), keys), **params)])
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -109,17 +109,32 @@ def sample_cap(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0) -> Dat
     return whole.unionByName(tail).drop("_h", "_cell")
 
 
-def ordinal(df: DataFrame, col: str, order: str, alias: str | None = None) -> DataFrame:
+#: Ranges of (date, label) that labels are numbered in.
+NUMBERING_PARTS = 64
+
+
+def ordinal(df: DataFrame, col: str, order: str, alias: str | None = None, parts: int = NUMBERING_PARTS) -> DataFrame:
     """Code labels 0, 1, 2 … by first appearance in date order, name order within one date.
 
-    Labels are numbered within their first date and shifted by the labels of earlier dates.
+    Labels are dealt into ranges of (first date, label), numbered inside their range and shifted by the labels of earlier ranges. So
+    labels that all appear first on one date are still numbered by many tasks. The ranges are cut at the quantiles of a hashed sample of
+    some hundred labels a range, an array that one aggregate makes; the same labels give the same cuts.
     """
     alias = alias or f"{col}_code"
     first = df.groupBy(col).agg(F.min(order).alias("_first"))
-    days = Window.partitionBy().orderBy("_first").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = first.groupBy("_first").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(days))
-    inside = F.row_number().over(Window.partitionBy("_first").orderBy(col))
-    codes = first.join(sizes, "_first").select(col, (F.col("_upto") - F.col("_c") + inside - 1).alias(alias))
+    place = F.struct(F.col("_first"), F.col(col))
+    every = F.floor(first.agg(F.count("*")).scalar() / (100 * parts)) + 1
+    sample = first.where(F.col(col).isNotNull() & F.col("_first").isNotNull() & (F.pmod(F.xxhash64(col), every) == 0))
+    known = sample.agg(F.sort_array(F.collect_list(place)).alias("_known")).select(
+        F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda k: F.get("_known", F.floor(k * F.size("_known") / parts).cast("int")))
+    )
+    number = F.size(F.filter("_edges", lambda edge: edge <= place))
+    ranged = first.withColumn("_edges", known.scalar()).withColumn("_range", number).drop("_edges")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)  # one row per range: a fixed bound
+    sizes = sizes.withColumn("_before", F.sum("_c").over(upto) - F.col("_c")).drop("_c")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_first", col))
+    codes = ranged.join(F.broadcast(sizes), "_range").select(col, (F.col("_before") + inside - 1).alias(alias))
     return df.join(codes, col, "left")
 
 

@@ -231,10 +231,14 @@ def series_metrics(df: DataFrame, block: int = 15, attributes: Sequence[str] = (
     ).withColumn("uniformity", chi2_sf("statistic", (F.col("blocks") - 1).cast("double")))
 
 
+def trim_rule(share: float = 0.85, level: float = 0.05) -> Column:
+    """Whether the metrics of a series say that its volume is sparse and its zeros uneven; unknown metrics say no."""
+    return F.coalesce((F.col("share") < share) & (F.col("uniformity") < level), F.lit(False))
+
+
 def trim_series(df: DataFrame, metrics: DataFrame, share: float = 0.85, level: float = 0.05) -> DataFrame:
     """Keep a series only from its effective start when its volume is sparse and its zeros uneven."""
-    uneven = (F.col("share") < share) & (F.col("uniformity") < level)
-    listed = metrics.filter(uneven).select("station", F.lit(True).alias("_cut"))
+    listed = metrics.filter(trim_rule(share, level)).select("station", F.lit(True).alias("_cut"))
     return df.join(listed, "station", "left").filter(F.col("_cut").isNull() | (F.col("date") >= F.col("start"))).drop("_cut")
 
 

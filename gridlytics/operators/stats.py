@@ -131,6 +131,68 @@ def best_distribution(df: DataFrame, value: str) -> DataFrame:
     return fit_distributions(df, value).orderBy("nll").limit(1)
 
 
+#: Candidate locations of one pass over the values, and passes.
+LOCATIONS, LOCATION_PASSES = 24, 3
+
+
+def location_profile(df: DataFrame, value: str, locations: Sequence[float]) -> DataFrame:
+    """Per candidate location what the fits need of the positive values above it, and the log-normal's negative log-likelihood there.
+
+    All locations are columns of one aggregate, so the values are read once. A location that is not below every value has NULLs.
+    """
+    x = F.col(value).cast("double")
+    logs = [F.ln(x - F.lit(float(at))) for at in locations]
+    sums = df.filter(x > 0).agg(
+        F.count("*").cast("double").alias("n"), F.sum(x).alias("total"), F.min(x).alias("low"),
+        *[F.sum(e).alias(f"l{i}") for i, e in enumerate(logs)], *[F.sum(e * e).alias(f"q{i}") for i, e in enumerate(logs)],
+    )
+    rows = F.array(*[
+        F.struct(F.lit(float(at)).alias("location"), F.col(f"l{i}").alias("logs"), F.col(f"q{i}").alias("logs2")) for i, at in enumerate(locations)
+    ])
+    each = sums.select("n", "total", "low", F.explode(rows).alias("e")).select("e.location", "n", "total", "low", "e.logs", "e.logs2")
+    inside, n = F.col("location") < F.col("low"), F.col("n")
+    var = F.greatest(F.col("logs2") / n - F.pow(F.col("logs") / n, 2), F.lit(1e-300))
+    nll = F.col("logs") + n / 2 * F.ln(2 * math.pi * var) + n / 2
+    each = each.withColumn("nll", F.when(inside, nll))
+    return each.withColumns({c: F.when(inside, F.col(c)) for c in ("logs", "logs2")})
+
+
+def fit_free_distributions(df: DataFrame, value: str, locations: int = LOCATIONS, passes: int = LOCATION_PASSES) -> DataFrame:
+    """Gamma, log-normal and exponential fits of positive values with a location of their own, as :func:`fit_distributions` otherwise.
+
+    The likelihood has no maximum as the location nears the smallest value, so the search stays a thousandth of the standard deviation
+    below it, as far as a hundred deviations, by distances that grow geometrically; location 0 is tried as well, so no fit is worse
+    than the one without a location. Every pass reads the values once for all candidates and narrows the search to the
+    neighbours of the best; the driver sees one row per candidate.
+    """
+    x = F.col(value).cast("double")
+    known = df.filter(x > 0).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd")).first()
+    if not known["n"]:
+        return df.sparkSession.createDataFrame([], _FIT_SCHEMA)
+    low, spread = known["low"], known["sd"] or max(abs(known["low"]), 1.0)
+    best: dict[str, dict] = {}
+    ranges = {name: (spread * 1e-3, spread * 1e2) for name in ("gamma", "lognorm")}
+    for _ in range(passes):
+        gaps = sorted({low} | {a * (b / a) ** (k / (locations - 1)) for a, b in ranges.values() for k in range(locations)})
+        for row in location_profile(df, value, [low - gap for gap in gaps]).collect():
+            if row.logs is None:
+                continue
+            for fit in _fit_rows(row.n, row.total - row.n * row.location, row.logs, row.logs2, low - row.location):
+                if fit["distribution"] != "expon":
+                    found = fit | {"location": row.location, "aic": 6 + 2 * fit["nll"]}
+                    best[fit["distribution"]] = min(best.get(fit["distribution"], found), found, key=lambda f: f["nll"])
+        for name, (a, b) in ranges.items():
+            step = (b / a) ** (1 / (locations - 1))
+            gap = min(max(low - best[name]["location"], spread * 1e-3), spread * 1e2)
+            ranges[name] = (max(gap / step, spread * 1e-3), min(gap * step, spread * 1e2))
+    rate = max(known["mean"] - low, 1e-300)
+    nll = known["n"] * math.log(rate) + known["n"]
+    best["expon"] = dict(distribution="expon", shape=None, scale=rate, location=low, nll=nll, aic=4 + 2 * nll)
+    columns = ("distribution", "shape", "scale", "location", "nll", "aic")
+    rows = [tuple(best[name][c] for c in columns) for name in ("gamma", "lognorm", "expon")]
+    return df.sparkSession.createDataFrame(rows, _FIT_SCHEMA)
+
+
 def anderson_darling(df: DataFrame, key: str, value: str) -> DataFrame:
     """Anderson-Darling normality statistic per series with critical values.
 

@@ -346,6 +346,25 @@ def _(t):
     return ST.fit_distributions(_consumption(t), "volume").filter(F.col("distribution") != "gamma")
 
 
+_GIVEN = [-50.0, -10.0, -2.0, -0.5, 0.0, 1e9]
+
+
+@query("location_profile", f"""
+    SELECT location, CASE WHEN location < low THEN l + n / 2 * ln(2 * pi() * greatest(q / n - power(l / n, 2), 1e-300)) + n / 2 END AS nll
+    FROM (SELECT location, CAST(count(*) AS DOUBLE) AS n, min(volume) AS low, sum(CASE WHEN volume > location THEN ln(volume - location) END) AS l,
+                 sum(CASE WHEN volume > location THEN power(ln(volume - location), 2) END) AS q
+          FROM (SELECT CAST(volume AS DOUBLE) AS volume FROM consumption WHERE volume > 0) CROSS JOIN (SELECT unnest({_GIVEN})::DOUBLE AS location) GROUP BY 1)""",
+       ["consumption"], ["nll"])
+def _(t):
+    """The log-normal's likelihood along given locations; one that is not below the values has none."""
+    return ST.location_profile(_consumption(t), "volume", _GIVEN).select("location", "nll")
+
+
+@query("fit_free_distributions")
+def _(t):
+    return ST.fit_free_distributions(_consumption(t), "volume")
+
+
 @query("best_distribution")
 def _(t):
     return ST.best_distribution(_consumption(t), "volume")

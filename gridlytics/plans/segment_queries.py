@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridlytics.functions.columns import pick
@@ -13,6 +15,7 @@ from gridlytics.plans.bases import CREDIT_AS_OF, Tables
 from gridlytics.plans.registry import query
 from gridlytics.plans.tails import draw
 from gridlytics.sources import features as FT
+from gridlytics.sources.staging import shared_folder
 
 
 def _active(t: Tables):
@@ -394,12 +397,80 @@ def _(t):
 @query("grid_search")
 def _(t):
     """The best point of the grid by folds of the training rows, fitted on all of them, scores the hold-out."""
-    grid = {"maxIter": [100, 500, 1000], "elasticNetParam": [0.01, 0.1, 0.5], "regParam": [0.01]}
-    best, area = MD.grid_search("logistic", _sides(t)[0], grid, _prep(), ["order_id"], folds=4)
+    best, area = MD.grid_search("logistic", _sides(t)[0], _grid(), _prep(), ["order_id"], folds=4)
+    scored = _scored(t, "logistic", **best)[2].drop("arrears_range")
+    return scored.withColumns({name: F.lit(float(value)) for name, value in best.items()} | {"fold_area": F.lit(area)})
+
+
+def _grid():
+    return {"maxIter": [100, 500, 1000], "elasticNetParam": [0.01, 0.1, 0.5], "regParam": [0.01]}
+
+
+@query("halving_search")
+def _(t):
+    """The point that successive halving keeps of the same grid, fitted on all training rows, scores the hold-out."""
+    best, area, _ = MD.halving_search("logistic", _sides(t)[0], _grid(), _prep(), ["order_id"], folds=4)
     scored = _scored(t, "logistic", **best)[2].drop("arrears_range")
     return scored.withColumns({name: F.lit(float(value)) for name, value in best.items()} | {"fold_area": F.lit(area)})
 
 
+_TRAINING = f"""SELECT contract_id AS order_id, {_LABEL} AS label FROM relief
+    WHERE category = 1 AND {_OUTLIERS} AND {draw(["contract_id"])} % 1000000 < 800000"""
+
+
+@query("halving_rungs", f"""
+    SELECT CAST(rung AS INTEGER) AS rung, CAST(points AS INTEGER) AS points, order_id, label FROM (
+      WITH rows AS ({_TRAINING}),
+           rungs AS (SELECT unnest([0, 1, 2]) AS rung, unnest([9, 3, 1]) AS points,
+                            unnest([greatest(1 / 9::DOUBLE, least(1, 200 / n)), greatest(1 / 3::DOUBLE, least(1, 200 / n)), 1]) AS share
+                     FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM rows)),
+           asked AS (SELECT * FROM rungs WHERE rung <= (SELECT min(rung) FROM rungs WHERE share >= 1))
+      SELECT rung, points, order_id, label FROM rows JOIN asked ON share >= 1 OR {draw(["label", "order_id"], 1)} % 1000000 < round(share * 1000000))""",
+       ["relief"])
+def _(t):
+    """Which training rows each rung of the search reads; a later rung holds all rows of an earlier one."""
+    train = _sides(t)[0].select("order_id", "label")
+    out = None
+    for rung, (points, share) in enumerate(MD.halving_rungs(train.count(), 9)):
+        rows = train if share >= 1 else MD.rung_rows(train, ["order_id"], share)
+        rows = rows.select(F.lit(rung).alias("rung"), F.lit(points).alias("points"), "order_id", "label")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("score_adaptive")
+def _(t):
+    train, held = _prepared(t)
+    model = MD.fit_adaptive(MD.oversample(train, ["order_id"]).select("label", "features"), rounds=20)
+    return model.transform(held).select("order_id", "label", "arrears_range", F.col("probability_1").alias("probability"))
+
+
+@query("reloaded_scores")
+def _(t):
+    """Training writes preparation and model as one; prediction loads them and takes raw rows."""
+    train, held = _sides(t)
+    path = f"{shared_folder(t.spark)}/model-{uuid.uuid4().hex}"
+    MD.save_model(MD.train_pipeline("logistic", train, _prep(), ["order_id"], maxIter=100, regParam=0.01, elasticNetParam=0.05), path)
+    return MD.score(MD.load_model(path), held, ["order_id", "label"])
+
+
+@query("reloaded_score_rows", f"""
+    SELECT contract_id AS order_id, {_LABEL} AS label, true AS inside, true AS same FROM relief
+    WHERE category = 1 AND {draw(["contract_id"])} % 1000000 >= 800000""", ["relief"])
+def _(t):
+    """Every held-out row has a probability, and the one that the model gave before it was written."""
+    train, held = _sides(t)
+    path = f"{shared_folder(t.spark)}/model-{uuid.uuid4().hex}"
+    model = MD.train_pipeline("logistic", train, _prep(), ["order_id"], maxIter=100, regParam=0.01, elasticNetParam=0.05)
+    MD.save_model(model, path)
+    keys = ["order_id", "label"]
+    # Both models score each row side by side, so repeated keys need no join.
+    both = MD.score(model, held, [*held.columns]).withColumnRenamed("probability", "before")
+    after = MD.score(MD.load_model(path), both, [*keys, "before"])
+    p = F.col("probability")
+    return after.select(*keys, p.between(0, 1).alias("inside"), (F.abs(p - F.col("before")) < 1e-12).alias("same"))
+
+
 @query("importances")
 def _(t):
     model, held, _ = _scored(t, "forest", numTrees=100, maxDepth=10, seed=7)
@@ -430,6 +501,17 @@ def _(t):
     return MD.evaluate(_ruled(t), ["slice"])
 
 
+@query("boost_round", f"""
+    SELECT order_id, CASE WHEN label <> prediction THEN sqrt((1 - error) / error) ELSE sqrt(error / (1 - error)) END
+                     * n / (wrong * sqrt((1 - error) / error) + (n - wrong) * sqrt(error / (1 - error))) AS weight
+    FROM (SELECT *, wrong / n AS error FROM (
+      SELECT order_id, label, prediction, CAST(count(*) FILTER (label <> prediction) OVER () AS DOUBLE) AS wrong, CAST(count(*) OVER () AS DOUBLE) AS n FROM {_RULE}))""",
+       ["relief"], ["weight"])
+def _(t):
+    """Weights after one round of adaptive boosting whose learner is the price-band rule."""
+    return MD.boost_weights(_ruled(t).withColumn("weight", F.lit(1.0)))[0].select("order_id", "weight")
+
+
 @query("confusion", f"SELECT label, prediction, count(*) AS n FROM {_RULE} GROUP BY 1, 2", ["relief"], ["prediction"])
 def _(t):
     return MD.confusion(_ruled(t))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from gridlytics.plans.bases import READINGS_AS_OF, READINGS_START, SERIES_AS_OF,
 from gridlytics.plans.registry import query
 from gridlytics.plans.tails import chi2_tail, t_tail
 from gridlytics.sources import merge as M
+from gridlytics.sources import tables as TB
+from gridlytics.sources.keyed import KeyedTable
+from gridlytics.sources.staging import shared_folder
 
 
 @query("daily_volume", """
@@ -157,10 +161,19 @@ def _(t):
     return S.series_metrics(t.started)
 
 
-# The started series is read once for the metrics and once for the rows.
+# The started series is read for the metrics and for the rows, so it and the metrics are made once.
 _TRIMMED = f"""
-    SELECT s.* FROM started s JOIN (SELECT station, coalesce(share < {{share}} AND uniformity < 0.05, false) AS cut FROM ({_UNIFORMITY})) m USING (station)
-    WHERE NOT m.cut OR s.date >= s.start"""
+    SELECT * FROM (
+      WITH rows AS MATERIALIZED (SELECT * FROM started),
+           cuts AS MATERIALIZED (SELECT station, coalesce(share < {{share}} AND uniformity < 0.05, false) AS cut
+                                 FROM ({_UNIFORMITY.replace("FROM started", "FROM rows")}))
+      SELECT s.* FROM rows s JOIN cuts USING (station) WHERE NOT cut OR s.date >= s.start)"""
+
+
+@query("trimmed_stations", f"SELECT station, coalesce(share < 0.85 AND uniformity < 0.05, false) AS cut FROM ({_UNIFORMITY})", ["started"])
+def _(t):
+    """Which series the trim rule cuts."""
+    return S.series_metrics(t.started).select("station", S.trim_rule().alias("cut"))
 
 
 @query("trim_series", _TRIMMED.format(share=0.85), ["started"], ["volume"])
@@ -492,6 +505,43 @@ def _(t):
     return FC.ar_forecast(t.series)
 
 
+@query("arma_forecast_one", """
+    SELECT station, 'ARIMA' AS model, last_date + 1 AS date, my - b1 * mx - b2 * me + b1 * last_step + b2 * last_shock + last_volume AS prediction
+    FROM (SELECT *, (sxy * see - sey * sxe) / (sxx * see - sxe * sxe) AS b1, (sey * sxx - sxy * sxe) / (sxx * see - sxe * sxe) AS b2 FROM (
+      SELECT station, avg(y) FILTER (whole) AS my, avg(x) FILTER (whole) AS mx, avg(e1) FILTER (whole) AS me, var_pop(x) FILTER (whole) AS sxx, var_pop(e1) FILTER (whole) AS see,
+             covar_pop(x, y) FILTER (whole) AS sxy, covar_pop(e1, y) FILTER (whole) AS sey, covar_pop(x, e1) FILTER (whole) AS sxe,
+             max(date) AS last_date, arg_max(y, date) AS last_step, arg_max(e, date) AS last_shock, arg_max(volume, date) AS last_volume
+      FROM (SELECT *, e1 IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AS whole FROM (
+        SELECT *, lag(e) OVER (PARTITION BY station ORDER BY date) AS e1 FROM (
+          SELECT *, y - (regr_slope(y, x) OVER (PARTITION BY station)) * x - (regr_intercept(y, x) OVER (PARTITION BY station)) AS e
+          FROM (SELECT *, lag(y) OVER (PARTITION BY station ORDER BY date) AS x
+                FROM (SELECT station, date, volume, volume - lag(volume) OVER (PARTITION BY station ORDER BY date) AS y FROM series)))))
+      GROUP BY 1))
+    WHERE b1 IS NOT NULL""", ["series"], ["prediction"])
+def _(t):
+    return FC.arma_forecast(t.series, p=1, d=1, q=1, long=1).drop("coefficients")
+
+
+@query("arma_forecast")
+def _(t):
+    return FC.arma_forecast(t.series).drop("coefficients")
+
+
+@query("boosted_forecast")
+def _(t):
+    return FC.boosted_forecast(t.series)
+
+
+@query("boosted_rows", """
+    SELECT station, date, label AS actual FROM (
+      SELECT *, lead(volume) OVER (PARTITION BY station ORDER BY date) AS label, row_number() OVER (PARTITION BY station ORDER BY date) AS i,
+             count(*) OVER (PARTITION BY station) AS n FROM series)
+    WHERE label IS NOT NULL AND i > floor(n * 0.9::DOUBLE)""", ["series"], ["actual"])
+def _(t):
+    """The held-out days of every station with their labels; the predictions differ by no more than the number of trees."""
+    return FC.boosted_forecast(t.series, trees=5).select("station", "date", "actual")
+
+
 @query("gbt_lag_forecast")
 def _(t):
     return FC.gbt_lag_forecast(t.series)
@@ -619,6 +669,45 @@ def _(t):
     return distances.filter(F.col("distance") <= edge)
 
 
+_QUARTERS = """
+    SELECT station, list(volume ORDER BY quarter) AS v FROM (
+      SELECT station, date_trunc('quarter', date) AS quarter, sum(volume) AS volume FROM daily GROUP BY 1, 2) GROUP BY 1"""
+
+
+def _quarters(t: Tables):
+    quarter = F.trunc("date", "quarter")
+    return t.daily.groupBy("station", quarter.alias("date")).agg(F.sum("volume").alias("volume"))
+
+
+# A diagonal of the warping table a round: entry i of `now` is cell (i - 1, diagonal - i + 1), with a border in row and column 0.
+@query("nearest_quarters", f"""
+    SELECT query, station, distance, CAST(place AS INTEGER) AS place FROM (
+      WITH RECURSIVE arrays AS MATERIALIZED ({_QUARTERS}),
+      table_of(query, station, x, y, diagonal, before, now) AS (
+        SELECT a.station, b.station, a.v, b.v, 1, list_concat([0::DOUBLE], list_transform(range(len(a.v)), lambda i: 'inf'::DOUBLE)),
+               list_transform(range(len(a.v) + 1), lambda i: 'inf'::DOUBLE)
+        FROM arrays a JOIN arrays b ON a.station <> b.station
+        UNION ALL
+        SELECT query, station, x, y, diagonal + 1, now, list_concat(['inf'::DOUBLE], list_transform(range(1, len(x) + 1), lambda i:
+                 CASE WHEN diagonal + 1 - i BETWEEN 1 AND len(y)
+                      THEN power(x[i] - y[diagonal + 1 - i], 2) + least(now[i], now[i + 1], before[i]) ELSE 'inf'::DOUBLE END))
+        FROM table_of WHERE diagonal < len(x) + len(y))
+      SELECT query, station, sqrt(now[len(x) + 1]) AS distance,
+             row_number() OVER (PARTITION BY query ORDER BY round(sqrt(now[len(x) + 1]), 9), station) AS place
+      FROM table_of WHERE diagonal = len(x) + len(y))
+    WHERE place <= 3""", ["daily"], ["distance"])
+def _(t):
+    quarters = _quarters(t)
+    return SM.nearest_series(quarters, quarters.select("station"), 3)
+
+
+@query("nearest_days")
+def _(t):
+    """The nearest stations, by daily volumes, of each station whose number is divisible by 50 (of station 1, where there is none)."""
+    every = t.supplier.select(F.col("s_suppkey").alias("station"))
+    return SM.nearest_series(t.daily, every.filter((F.col("station") % 50 == 0) | (F.col("station") == 1)), 5)
+
+
 @query("granger_pairs")
 def _(t):
     """Neighbouring stations, both directions, on cumulative volumes."""
@@ -626,6 +715,21 @@ def _(t):
     return SM.granger_pairs(R.running_sum(t.series, "station", "date", "volume"), pairs, value="running")
 
 
+@query("granger_lag_one", """
+    SELECT cause, effect, n, n * (syy - sy1 * sy1 / s11) AS ssr_own,
+           n * (syy - (sy1 * sy1 * sxx - 2 * sy1 * sxy * s1x + sxy * sxy * s11) / (s11 * sxx - s1x * s1x)) AS ssr_full
+    FROM (SELECT cause, effect, count(*) AS n, var_pop(y) AS syy, var_pop(y1) AS s11, var_pop(x1) AS sxx,
+                 covar_pop(y, y1) AS sy1, covar_pop(y, x1) AS sxy, covar_pop(y1, x1) AS s1x
+          FROM (SELECT station, date, volume AS y, lag(volume) OVER (PARTITION BY station ORDER BY date) AS y1 FROM series) e
+          JOIN (SELECT s_suppkey AS cause, s_suppkey + 1 AS effect FROM supplier UNION ALL SELECT s_suppkey + 1, s_suppkey FROM supplier) p ON e.station = p.effect
+          JOIN (SELECT station, date, lag(volume) OVER (PARTITION BY station ORDER BY date) AS x1 FROM series) c ON c.station = p.cause AND c.date = e.date
+          WHERE y1 IS NOT NULL AND x1 IS NOT NULL GROUP BY 1, 2)""", ["series"], ["ssr_own", "ssr_full"])
+def _(t):
+    """With one lag both regressions have closed forms."""
+    pairs = t.supplier.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
+    return SM.granger_pairs(t.series, pairs, lag=1).select("cause", "effect", "n", "ssr_own", "ssr_full")
+
+
 @query("cluster_profiles")
 def _(t):
     return SM.cluster_profiles(t.series)
@@ -663,6 +767,47 @@ def _(t):
     return M.append_version(old, new, F.lit(dt.date(2001, 11, 5)))
 
 
+def _merged(t: Tables) -> KeyedTable:
+    """Daily volumes as a table by key; the days from October 2001 on of every third station are then merged into it, negated."""
+    table = KeyedTable(f"{shared_folder(t.spark)}/daily-{uuid.uuid4().hex}", ("station",), 16)
+    table.create(t.daily.groupBy("station").agg(F.sum("volume").alias("volume"), F.max("date").alias("last_date")))
+    late = t.daily.filter((F.col("date") >= F.lit(dt.date(2001, 10, 1))) & (F.col("station") % 3 == 0)).groupBy("station").agg(
+        F.sum(-F.col("volume")).alias("volume"), F.max("date").alias("last_date")
+    )
+    table.merge(late.unionByName(late.limit(1).withColumn("station", F.col("station") + 1_000_000)))
+    return table
+
+
+@query("merged_table", """
+    SELECT station, coalesce(n.volume, o.volume) AS volume, last_date FROM (SELECT station, sum(volume) AS volume, max(date) AS last_date FROM daily GROUP BY 1) o
+    LEFT JOIN (SELECT station, -sum(volume) AS volume FROM daily WHERE date >= DATE '2001-10-01' AND station % 3 = 0 GROUP BY 1) n USING (station)
+    """, ["daily"], ["volume"])
+def _(t):
+    """An upsert into a living table: only the buckets of the changed stations are read and written."""
+    return _merged(t).read(t.spark).filter(F.col("station") < 1_000_000)
+
+
+@query("history_appends", """
+    SELECT station, date, volume, CAST(year(date) AS VARCHAR) AS batch FROM daily WHERE year(date) IN (1997, 1998)""", ["daily"], ["volume"])
+def _(t):
+    """Yearly batches added to a history of files; 1998 is added twice and is there once."""
+    path = f"{shared_folder(t.spark)}/history-{uuid.uuid4().hex}"
+    for year in (1997, 1998, 1998):
+        TB.append_batch(t.daily.filter(F.year("date") == year), path, str(year))
+    return t.spark.read.schema(f"{t.daily._jdf.schema().toDDL()}, batch string").parquet(path)
+
+
+@query("csv_round_trip", "SELECT station, date, volume FROM daily", ["daily"], ["volume"])
+def _(t):
+    """Daily volumes written as CSV and read with a declared schema; no line is unreadable, or the query fails."""
+    path = f"{shared_folder(t.spark)}/daily-csv-{uuid.uuid4().hex}"
+    rows = t.daily.select("station", "date", F.col("volume").cast("double").alias("volume"))
+    rows.write.option("header", True).csv(path)
+    good, bad = TB.load_csv_checked(t.spark, path, rows.schema)
+    failed = bad.select(F.raise_error(F.concat(F.lit("unreadable line: "), F.col(TB.UNREADABLE))).cast("bigint").alias("station"))
+    return good.unionByName(failed.select("station", F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("volume")))
+
+
 @query("insert_new", "SELECT station, date, CASE WHEN date < DATE '2001-06-01' THEN volume ELSE -volume END AS volume FROM daily", ["daily"], ["volume"])
 def _(t):
     target = t.daily.filter(F.col("date") < F.lit(dt.date(2001, 6, 1)))
