@@ -85,8 +85,8 @@ class Lexicon:
         self.start = self._number(self._closed({0: 0}))
 
     def _closed(self, found: dict[int, int]) -> tuple:
-        """With the nodes that are reached by letters of a term that the word lacks."""
-        todo = list(found)
+        """With the nodes that are reached by letters of a term that the word lacks, and -1 - t for each stem t that has been read."""
+        todo = [node for node in found if node >= 0]
         while todo:
             node = todo.pop()
             far = found[node] + 1
@@ -94,6 +94,10 @@ class Lexicon:
                 if far <= self.most[child] and far < found.get(child, 99):
                     found[child] = far
                     todo.append(child)
+        for node, far in list(found.items()):
+            term = self.term[node] if node >= 0 else -1
+            if term >= 0 and self.stem[term] and far <= self.edits[term]:
+                found[-1 - term] = min(far, found.get(-1 - term, 99))
         return tuple(sorted(found.items()))
 
     def _number(self, state: tuple) -> int:
@@ -104,7 +108,8 @@ class Lexicon:
             if number == len(self.next):
                 self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
                 self.best = np.concatenate([self.best, np.full_like(self.best, -1)])
-            ends = [(far, self.stem[t], t) for far, t in ((far, self.term[n]) for n, far in state) if t >= 0 and far <= self.edits[t]]
+            terms = [(far, self.term[n] if n >= 0 else -1 - n) for n, far in state]
+            ends = [(far, self.stem[t], t) for far, t in terms if t >= 0 and far <= self.edits[t]]
             for at, some in ((0, ends), (2, [x for x in ends if x[1]])):
                 if some:
                     far, _, term = min(some)
@@ -114,11 +119,11 @@ class Lexicon:
     def _step(self, state: int, letter: int) -> int:
         found: dict[int, int] = {}
         for node, far in self.sets[state]:
+            if node < 0:
+                found[node] = min(far, found.get(node, 99))  # what follows a stem is free
+                continue
             if far < self.most[node] and far + 1 < found.get(node, 99):
                 found[node] = far + 1  # the word has a letter too many
-            term = self.term[node]
-            if term >= 0 and self.stem[term] and far <= self.edits[term] and far < found.get(node, 99):
-                found[node] = far  # what follows a stem is free
             for c, child in self.children[node].items():
                 new = far + (c != letter)
                 if new <= self.most[child] and new < found.get(child, 99):
@@ -138,7 +143,7 @@ class Lexicon:
         rows = rows[np.argsort(-lengths[rows], kind="stable")]
         lengths = lengths[rows]
         lengths = np.minimum(lengths, self.longest)
-        joined = "".join(pc.utf8_slice_codeunits(words.take(pa.array(rows)), 0, self.longest).to_pylist())
+        joined = "".join(pc.utf8_slice_codeunits(words.take(pa.array(rows)), 0, self.longest).to_numpy(zero_copy_only=False))
         letters = self.letters[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
         begins = np.cumsum(lengths) - lengths
         live, state = np.arange(len(rows)), np.full(len(rows), self.start, np.int32)
