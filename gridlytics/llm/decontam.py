@@ -31,7 +31,7 @@ LEAST_QUESTION, LEAST_ANSWER = 0.6, 0.5
 GRAM = 3
 RANGES = 64
 CHUNK = 1 << 17
-#: Text of test items that one index holds at most; more items make more indexes, each sent to the tasks in turn.
+#: Text of test items that one index holds at most; more items make more indexes, each sent to the tasks in turn, with the same scores.
 INDEX_BYTES = 16 << 20
 
 OUT = "item_id long, score double, question_overlap double, answer_overlap double, n_passages long"
@@ -63,9 +63,12 @@ def halves(text: str) -> tuple[str, str]:
 
 
 class Index:
-    """Items of similar length: terms, lists of items and impacts by term, and the largest impacts by range of items."""
+    """Items of similar length: terms, lists of items and impacts by term, and the largest impacts by range of items.
 
-    def __init__(self, ids: list[int], words: list[np.ndarray], questions: list[np.ndarray], answers: list[np.ndarray]):
+    Where these are not all the items of that length, `of_all` has the number and mean length of all of them and how many hold each
+    term, so that an item's impacts are the same in any index."""
+
+    def __init__(self, ids: list[int], words: list[np.ndarray], questions: list[np.ndarray], answers: list[np.ndarray], of_all=None):
         n = len(ids)
         self.ids, self.questions, self.answers = ids, questions, answers
         self.longest = max(map(len, words))
@@ -74,9 +77,13 @@ class Index:
         pair, count = np.unique(code.astype(np.int64) * n + item, return_counts=True)
         term, item = pair // n, pair % n
         frequency = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (n - frequency + 0.5) / (frequency + 0.5))
         sizes = np.array([len(w) for w in words])
-        impact = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * sizes[item] / sizes.mean()))
+        total, mean = n, sizes.mean()
+        if of_all is not None:
+            total, mean, holders = of_all
+            frequency = np.array([holders[t] for t in self.terms.tolist()])
+        idf = np.log(1 + (total - frequency + 0.5) / (frequency + 0.5))
+        impact = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * sizes[item] / mean))
         impact = impact / np.bincount(item, impact, n)[item]
         begins = np.searchsorted(term, np.arange(len(self.terms) + 1))
         self.items = [item[a:b].tolist() for a, b in zip(begins, begins[1:])]
@@ -173,15 +180,46 @@ def overlap(part: np.ndarray, passage: np.ndarray) -> float:
     return sum(x in there for x in wanted) / len(wanted)
 
 
-def built(items: list[tuple[int, str]]) -> list[Index]:
-    """Indexes of items by length, 1 to 64 words, to 128, and so on. Items without a word are in none."""
+def length_class(n: int) -> int:
+    """1 to 64 words, to 128, and so on."""
+    return max(6, math.ceil(math.log2(n)))
+
+
+def built(items: list[tuple[int, str]], of_all: dict | None = None) -> list[Index]:
+    """Indexes of items by length. Items without a word are in none. `of_all`: by length, what `Index` takes."""
     by_length: dict[int, list] = {}
     for item_id, text in items:
         question, answer = halves(text)
         words, q, a = (terms(pa.array([x], pa.large_string()))[0] for x in (text, question, answer))
         if len(words):
-            by_length.setdefault(max(6, math.ceil(math.log2(len(words)))), []).append((item_id, words, q, a))
-    return [Index(*map(list, zip(*rows))) for _, rows in sorted(by_length.items())]
+            by_length.setdefault(length_class(len(words)), []).append((item_id, words, q, a))
+    return [Index(*map(list, zip(*rows)), None if of_all is None else of_all[k]) for k, rows in sorted(by_length.items())]
+
+
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text"):
+        words, offsets = terms(texts_of(part.column("text")))
+        for k, (a, b) in enumerate(zip(offsets, offsets[1:])):
+            if b > a:
+                distinct = np.unique(words[a:b]).view(np.int64)
+                columns = [pa.array(np.full(len(distinct), x)) for x in (part.column("block")[k].as_py(), length_class(int(b - a)), int(b - a))]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(np.arange(len(distinct)) == 0), pa.array(distinct)], names=["block", "class", "words", "first", "term"]
+                )
+
+
+def _statistics(items: DataFrame) -> Iterator[dict]:
+    """For each block of items, by length: how many items of all blocks there are, their mean length, and how many hold each term of the
+    block."""
+    found = storage.staged(items.select("block", "text").mapInArrow(_item_terms, "block long, class long, words long, first boolean, term long"), "terms")
+    sizes = {r[0]: (r[1], r[2]) for r in found.where("first").groupBy("class").agg(F.count(F.lit(1)), F.avg("words")).collect()}
+    holders = storage.staged(found.groupBy("class", "term").agg(F.count(F.lit(1)).alias("n")), "holders")
+    for k in range(items.agg(F.max("block")).first()[0] + 1):
+        own = found.where(F.col("block") == k).select("class", "term").distinct()
+        out = {length: (*size, {}) for length, size in sizes.items()}
+        for length, term, n in holders.join(own, ["class", "term"]).select("class", "term", "n").collect():
+            out[length][2][term % (1 << 64)] = n
+        yield out
 
 
 def _hits(indexes: list[Index], part: pa.RecordBatch) -> dict[tuple[int, int], list]:
@@ -215,15 +253,17 @@ def _matched(sent):
 
 
 def index_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """Broadcast indexes, each of about `INDEX_BYTES` of items at most, of all items with an id and a text."""
+    """Broadcast indexes, each of about `INDEX_BYTES` of items at most, of all items with an id and a text. How common a term is and how
+    long items are is counted over all items, so scores don't depend on the number of indexes."""
     storage.bound_batches(benchmark.sparkSession)
     items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
     ).distinct()
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // INDEX_BYTES))
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(built(sorted((r.id, r.text) for r in rows)))
+    items = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
+    for k, of_all in enumerate([None] if blocks == 1 else _statistics(items)):
+        rows = items.where(F.col("block") == k).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(built(sorted((r.id, r.text) for r in rows), of_all))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,8 +25,10 @@ AMBIGUOUS = 0.1  # part of the loss by which the second codeword must at least b
 
 #: Labelled texts on which the bits' weights are measured at most, on average, chosen by the hash of their id.
 WEIGHING_ROWS = 4000
-#: Languages that a code is made for at most; it bounds the table of counts.
-MOST_LANGUAGES = 512
+#: Languages whose counts a task holds at once.
+HELD_LANGUAGES = 64
+#: Languages up to which drawn codes are compared pair by pair; beyond, the spread of one long draw is trusted.
+COMPARED_LANGUAGES = 512
 
 
 def gram_sums(words: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +68,8 @@ def gram_sums(words: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndar
 
 
 def codewords(n: int) -> np.ndarray:
-    """n rows of +1 and -1: all splits in two for up to seven languages, else the best spread of drawn codes."""
+    """n rows of +1 and -1: all splits in two for up to seven languages, else the best spread of drawn codes. There are ten bits for each
+    doubling of the languages, so two drawn codewords of thousands still differ in a quarter of their bits."""
     if n < 2:
         return np.ones((n, 1))
     if n <= 7:
@@ -75,6 +78,10 @@ def codewords(n: int) -> np.ndarray:
     draw, best, found = np.random.default_rng(n), -1, None
     for _ in range(200):
         code = np.where(draw.random((n, int(np.ceil(10 * np.log2(n))))) < 0.5, 1.0, -1.0)
+        if n > COMPARED_LANGUAGES:
+            if len(np.unique(np.packbits(code > 0, axis=1), axis=0)) == n:
+                return code
+            continue
         if (abs(code.sum(0)) == n).any():
             continue
         apart = (code.shape[1] - code @ code.T) / 2
@@ -84,6 +91,16 @@ def codewords(n: int) -> np.ndarray:
     return found
 
 
+def _sent_counts(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for lang, table in held.items():
+        places = np.flatnonzero(table)
+        for a in range(0, len(places), 8192):
+            some = places[a : a + 8192]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(some)), pa.array(some), pa.array(table[some])], names=["lang", "feature", "count"]
+            )
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, np.ndarray] = {}
     for part in slices(batches, "text"):
@@ -93,17 +110,42 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_word = which[rows_of(offsets)]
         found, _ = gram_sums(distinct)
         for k, lang in enumerate(languages.to_pylist()):
+            if len(held) >= HELD_LANGUAGES and lang not in held:
+                yield from _sent_counts(held)
+                held.clear()
             weight = np.bincount(codes[of_word == k], minlength=len(distinct)).astype(np.float64)
             table = held.setdefault(lang, np.zeros(FEATURES))
             for feature, starts in found:
                 table += np.bincount(feature, np.repeat(weight, np.diff(starts)), FEATURES)
-    for lang, table in held.items():
-        places = np.flatnonzero(table)
-        for a in range(0, len(places), 8192):
-            some = places[a : a + 8192]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(some)), pa.array(some), pa.array(table[some])], names=["lang", "feature", "count"]
-            )
+    yield from _sent_counts(held)
+
+
+def _bit_sums(sent):
+    """Per feature the sums of its shares over the languages with each bit, and over those without; a feature's rows come to one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, whole, ones = sent.value
+        place = pa.array(names, pa.string())
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lang = pc.index_in(batch.column("lang"), place).to_numpy(zero_copy_only=False).astype(np.int64)
+            feature, share = batch.column("feature").to_numpy(), batch.column("count").to_numpy() / whole[lang]
+            for a in range(0, len(feature), 4096):
+                part = slice(a, a + 4096)
+                some, which = np.unique(feature[part], return_inverse=True)
+                added = np.zeros((len(some), 2, ones.shape[1]))
+                np.add.at(added, which, np.stack([ones[lang[part]], ~ones[lang[part]]], 1) * share[part][:, None, None])
+                for k, f in enumerate(some.tolist()):
+                    held[f] = held[f] + added[k] if f in held else added[k]
+        if held:
+            values = np.stack(list(held.values()))
+            ends = np.arange(0, len(held) * ones.shape[1] + 1, ones.shape[1], dtype=np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(values[:, k]).ravel())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), *lists], names=["feature", "ones", "zeros"])
+
+    return run
 
 
 def _margins(part: pa.RecordBatch, table: np.ndarray) -> np.ndarray:
@@ -138,8 +180,9 @@ def _right(sent, names: list[str]):
                 k = place[lang]
                 right[k] += sign == (code[k] > 0)
                 seen[k] += 1
+        full = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(names))), pa.array(seen), pa.array(list(right))], names=["place", "seen", "right"]
+            [pa.array(full), pa.array(seen[full]), pa.array(list(right[full]), pa.list_(pa.float64()))], names=["place", "seen", "right"]
         )
 
     return run
@@ -148,30 +191,39 @@ def _right(sent, names: list[str]):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = WEIGHING_ROWS):
     """Languages, bit tables, code and bit weights from all rows with a text and a language.
 
-    N-grams are counted over every such row; what comes to the driver is a count for each language and feature. The weights are
-    measured on about `most` rows. Without such rows there are no languages.
+    N-grams are counted over every such row, in Spark, and added up there for each bit, so that what comes to the driver is a total
+    for each language and two sums for each feature and bit, of which there are ten for each doubling of the languages. The
+    weights are measured on about `most` rows. Without such rows there are no languages.
     """
-    storage.bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    storage.bound_batches(spark)
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
     counted = rows.select("text", "lang").mapInArrow(_counted, "lang string, feature long, count double")
-    found = counted.groupBy("lang", "feature").agg(F.sum("count").alias("count")).toPandas()
-    names = sorted(found["lang"].unique())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; a code is made for {MOST_LANGUAGES} at most")
-    counts = np.zeros((len(names), FEATURES))
-    counts[found["lang"].map({x: k for k, x in enumerate(names)}).to_numpy(np.int64), found["feature"].to_numpy(np.int64)] = found["count"]
-    share = (counts + SMOOTHING) / (counts + SMOOTHING).sum(1, keepdims=True)  # each language counts alike, however common
+    found = storage.staged(counted.groupBy("lang", "feature").agg(F.sum("count").alias("count")), "grams")
+    totals = dict(found.groupBy("lang").agg(F.sum("count")).collect())
+    names = sorted(totals)
     code = codewords(len(names))
     table = np.zeros((FEATURES, code.shape[1]))
     if len(names) > 1:
-        for k in range(code.shape[1]):
-            table[:, k] = np.log(share[code[:, k] > 0].mean(0)) - np.log(share[code[:, k] < 0].mean(0))
+        # A language's share of a feature is (count + smoothing) / whole, so each language counts alike, however common.
+        whole = np.array([totals[name] for name in names]) + SMOOTHING * FEATURES
+        ones = code > 0
+        rest = np.stack([SMOOTHING * (side / whole[:, None]).sum(0) for side in (ones, ~ones)])
+        sides = np.stack([ones.sum(0), (~ones).sum(0)])
+        sent = spark.sparkContext.broadcast((names, whole, ones))
+        sums_of = found.repartition("feature").mapInArrow(_bit_sums(sent), "feature long, ones array<double>, zeros array<double>").toArrow()
+        at = sums_of["feature"].to_numpy()
+        for side, name in ((0, "ones"), (1, "zeros")):
+            added = np.zeros((FEATURES, code.shape[1]))
+            added[at] = sums_of[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(at), code.shape[1])
+            share = np.log((added + rest[side]) / sides[side])
+            table += share if side == 0 else -share
     weights = np.ones(code.shape)
     if len(names) > 1:
         every = max(1, -(-rows.count() // most))
-        sent = docs.sparkSession.sparkContext.broadcast((table, code))
+        sent = spark.sparkContext.broadcast((table, code))
         some = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text", "lang")
         measured = some.mapInArrow(_right(sent, names), "place long, seen double, right array<double>")
         per_bit = measured.select("place", "seen", F.posexplode("right").alias("bit", "right"))

@@ -10,6 +10,7 @@ that is one component costs a few comparisons per member, whatever its size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ SLACK = 5  # standard errors below the threshold at which a pair is still confir
 #: Classes of a side of a block that are compared at once, and shingles whose holders are counted at once.
 BLOCK, WIDTH = 512, 4096
 
-#: Bits of the filter that picks the texts to confirm; it never loses one, and lets others pass when it is full.
-FILTER_BITS = 1 << 25
+#: Ids up to which a filter of 16 bits an id picks the texts to confirm, 32 MB at most; more ids are joined with the texts' ids instead.
+FILTERED_IDS = 1 << 24
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,12 +180,18 @@ def _plausible(threshold: int, x: str, y: str) -> Column:
 
 
 def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id may be among the given ones: a filter of bounded size built by Spark, not a shuffle of the rows."""
-    places = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(s)), F.lit(FILTER_BITS)) for s in range(3)])).alias("at"))
+    """The rows whose id may be among the given ones: by a filter that Spark builds, whose size follows the ids, so the rows are not shuffled.
+    Beyond `FILTERED_IDS` they are, each text once: the filter would no longer be small enough to send."""
+    ids = ids.select("id").distinct()
+    n = ids.count()
+    if n > FILTERED_IDS:
+        return rows.join(ids, "id", "left_semi")
+    size = max(1 << 16, 1 << math.ceil(math.log2(16 * max(n, 1))))
+    places = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(s)), F.lit(size)) for s in range(3)])).alias("at"))
     words = places.groupBy((F.col("at") / 64).cast("long").alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits")
     ).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits = np.zeros(size // 64, np.uint64)
     bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     sent = rows.sparkSession.sparkContext.broadcast(bits)
 
@@ -196,7 +203,7 @@ def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
             out &= (sent.value[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1) == 1
         return pd.Series(out)
 
-    return rows.where(there(*[F.pmod(F.xxhash64("id", F.lit(s)), F.lit(FILTER_BITS)) for s in range(3)]))
+    return rows.where(there(*[F.pmod(F.xxhash64("id", F.lit(s)), F.lit(size)) for s in range(3)]))
 
 
 def _confirmed(texts: DataFrame, pairs: DataFrame, threshold: int, size: int) -> DataFrame:

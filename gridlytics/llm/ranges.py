@@ -9,8 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys of a sample, chosen by their hash, from which the cuts are taken. It bounds what reaches the driver.
-SAMPLE = 20_000
+#: Keys of a sample, chosen by their hash, from which the cuts are taken: so many for each shard, at least `LEAST` in all, and no more
+#: than `MOST` unless that leaves less than two a shard. A sampled key is 16 bytes on the driver, and a cut 8.
+PER_SHARD, LEAST, MOST = 16, 20_000, 2_000_000
+
+
+def sample_size(shards: int) -> int:
+    return max(LEAST, min(PER_SHARD * shards, MOST), 2 * shards)
 
 
 def cuts(rows: DataFrame, key: str, weight: Column, target: int) -> list[int]:
@@ -20,12 +25,15 @@ def cuts(rows: DataFrame, key: str, weight: Column, target: int) -> list[int]:
     if shards < 2:
         return []
     sample = rows.where(F.col(key).isNotNull())
-    if n > SAMPLE:
-        sample = sample.where(F.pmod(F.xxhash64(key), F.lit(n // SAMPLE + 1)) == 0)
-    found = sorted((r[0], r[1] or 0) for r in sample.groupBy(F.col(key).cast("long")).agg(F.sum(weight.cast("long"))).collect())
-    if not found:
+    size = sample_size(shards)
+    if n > size:
+        sample = sample.where(F.pmod(F.xxhash64(key), F.lit(n // size + 1)) == 0)
+    summed = F.coalesce(F.sum(weight.cast("long")), F.lit(0)).alias("weight")
+    found = sample.groupBy(F.col(key).cast("long").alias("key")).agg(summed).toArrow()
+    if not found.num_rows:
         return []
-    keys, weights = (np.array(x, np.int64) for x in zip(*found))
+    order = np.argsort(found["key"].to_numpy())
+    keys, weights = (found[name].to_numpy()[order] for name in ("key", "weight"))
     before = np.cumsum(weights) - weights
     at = np.searchsorted(before, np.arange(1, shards) * (int(weights.sum()) / shards))
     return sorted({int(keys[k]) for k in at if 0 < k < len(keys)})
