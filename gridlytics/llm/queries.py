@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from gridlytics.llm import boilerplate, conversations, decontam, importance, lan
 from gridlytics.llm import simple8b, storage, toxicity, warc
 
 #: Where the public tokenizer files are; a parameter of the operators that use one.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+TOKENIZERS = os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
