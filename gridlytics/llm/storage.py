@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; where that is unset, one beside the session's warehouse."""
+    """The folder named by `spark.checkpoint.dir`; where that is unset, one beside the session's warehouse, unless that is a folder of the
+    driver's machine and the executors run on others."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master) and re.match("(file:)?/", folder):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -47,15 +50,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def place(path: str) -> tuple[str | None, str]:
+    """Arrow's URI of a path in a store, or None and the path on this machine's file system: `s3a` is Arrow's `s3`, `dbfs` the folder where
+    it is mounted."""
+    scheme, _, rest = path.partition(":")
+    if not re.fullmatch("[A-Za-z][A-Za-z0-9+.-]+", scheme) or not rest:
+        return None, path
+    if scheme in ("file", "dbfs"):
+        return None, ("/" if scheme == "file" else "/dbfs/") + rest.lstrip("/")
+    return f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}", path
+
+
 def filesystem(path: str):
     """The Arrow file system of a path or URI, and the path on it."""
     from pyarrow import fs
 
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path)
+    uri, at = place(path)
+    return (fs.LocalFileSystem(), at) if uri is None else fs.FileSystem.from_uri(uri)
 
 
 def make_folder(path: str) -> None:
