@@ -35,23 +35,62 @@ LEAST_RATIO_LETTERS, LEAST_MEAN_LETTERS = 24.0, 1.2
 BACKING = 5.0
 
 
+#: Matches whose places are added up by one fold; a fold copies what it has so far at each step.
+FOLDED = 256
+
+
+def _bound(value: Column, use) -> Column:
+    """`use` of a value that is made once, however often a lambda mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(values: Column) -> Column:
+    last = F.greatest(F.ceil(F.size(values) / FOLDED).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * FOLDED + 1, F.lit(FOLDED)))
+
+
+def _running(values: Column, begin: Column, combine) -> Column:
+    """For each of some non-negative integers, what `combine` makes of `begin` and those before it. In blocks, so that the work follows the
+    number of values and not its square."""
+
+    def fold(some: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda done, v: F.struct(combine(done["at"], v).alias("at"), F.array_append(done["out"], done["at"]).alias("out"))
+        return F.aggregate(some, start, step, lambda done: done["out"])
+
+    def joined(blocks: Column) -> Column:
+        firsts = fold(F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), combine)), begin)
+        return F.flatten(F.zip_with(blocks, firsts, fold))
+
+    return _bound(values, lambda bound: _bound(_blocks(bound), joined))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _found(text: Column, pattern: str, kind: int, accept, group: int = 0, offset: Column | None = None) -> Column:
     """The spans of a pattern's matches, left to right without overlap, that `accept` (of the group's string) lets pass."""
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    before = F.transform(F.slice(pieces, F.lit(1), F.size(matches)), F.length)
-    sized = F.zip_with(before, matches, lambda p, m: F.struct(p.alias("p"), F.length(m).alias("m")))
+    sized = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m")))
     parts = F.zip_with(sized, values, lambda s, v: F.struct(s["p"].alias("p"), s["m"].alias("m"), v.alias("v")))
 
-    def step(done: Column, part: Column) -> Column:
-        start = done["at"] + part["p"]
-        end = start + part["m"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(accept(part["v"]), F.array_append(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
+    def spans(parts: Column) -> Column:
+        begin = F.lit(0) if offset is None else offset
+        # there is a piece more than matches: its place in the arrays is filled with nulls
+        some = F.filter(parts, lambda part: part["m"].isNotNull())
+        before = _running(F.transform(some, lambda part: part["p"] + part["m"]), begin, _sum)
+
+        def span(part: Column, at: Column) -> Column:
+            start = at + part["p"]
+            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + part["m"]).alias("end"), accept(part["v"]).alias("ok"))
+
+        kept = F.filter(F.zip_with(some, before, span), lambda x: x["ok"])
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-    begin = F.struct((F.lit(0) if offset is None else offset).alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.aggregate(parts, begin, step, lambda done: done["spans"])
+    return _bound(parts, spans).cast(SPAN)
 
 
 def _none() -> Column:
@@ -149,15 +188,13 @@ def _between(text: Column, pattern: str, find, offset: Column) -> Column:
     """The spans that `find` (of a piece and its place) gives in what lies between a pattern's matches."""
     pieces = F.split(text, pattern, -1)
     matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    parts = F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("piece"), (F.length(p) + F.coalesce(m, F.lit(0))).alias("long")))
 
-    def step(done: Column, part: Column) -> Column:
-        return F.struct(
-            (done["at"] + F.length(part["piece"]) + F.coalesce(part["match"], F.lit(0))).alias("at"),
-            F.concat(done["spans"], find(part["piece"], done["at"])).alias("spans"),
-        )
+    def spans(parts: Column) -> Column:
+        before = _running(F.transform(parts, lambda part: part["long"]), offset, _sum)
+        return F.flatten(F.zip_with(parts, before, lambda part, at: find(part["piece"], at)))
 
-    parts = F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    return F.aggregate(parts, F.struct(offset.alias("at"), _none().alias("spans")), step, lambda done: done["spans"])
+    return _bound(parts, spans)
 
 
 def random_spans(text: Column, table: list[float]) -> Column:
@@ -206,13 +243,26 @@ def redact(docs: DataFrame, table: list[float], text_col: str = "text", mark: st
     whole = F.coalesce(text, F.lit(""))
     spans = F.array_sort(F.concat(*rule_spans(whole), random_spans(whole, table)))
 
-    def step(done: Column, span: Column) -> Column:
-        apart = span["start"] >= done["at"]
-        gap = F.substring(whole, done["at"] + 1, F.greatest(span["start"] - done["at"], F.lit(0)))
-        parts = F.when(apart, F.array_append(F.array_append(done["parts"], gap), F.lit(mark))).otherwise(done["parts"])
-        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), parts.alias("parts"))
+    def masked(spans: Column) -> Column:
+        before = _running(F.transform(spans, lambda span: span["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+        placed = F.zip_with(spans, before, lambda span, at: F.struct(span["start"].alias("start"), span["end"].alias("end"), at.alias("at")))
+        done = F.aggregate(spans, F.lit(0), lambda a, span: F.greatest(a, span["end"]))
+
+        def cut(block: Column) -> Column:
+            # a block's stretch of the text is taken once: a place in a text is found by reading up to it
+            first = F.coalesce(F.get(block, F.lit(0))["at"], F.lit(0))
+            upto = F.aggregate(block, first, lambda a, x: F.greatest(a, x["end"]))
+
+            def joined(part: Column) -> Column:
+                gap = lambda x: F.substring(part["text"], x["at"] - part["first"] + 1, F.greatest(x["start"] - x["at"], F.lit(0)))
+                apart = F.filter(block, lambda x: x["start"] >= x["at"])
+                return F.array_join(F.transform(apart, lambda x: F.concat(gap(x), F.lit(mark))), "")
+
+            return _bound(F.struct(first.alias("first"), F.substring(whole, first + 1, upto - first).alias("text")), joined)
+
+        parts = _bound(placed, lambda bound: F.array_join(F.transform(_blocks(bound), cut), ""))
+        return F.concat(parts, F.substring(whole, done + 1, F.length(whole)))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    clean = F.aggregate(spans, begin, step, lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(whole, done["at"] + 1, F.length(whole))))
+    clean = _bound(spans, masked)
     columns = [F.when(text.isNotNull(), clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return docs.select(*columns)
