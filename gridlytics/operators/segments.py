@@ -202,6 +202,12 @@ def attach_names(df: DataFrame, named: DataFrame) -> DataFrame:
     return df.join(named.select("cluster", "name"), "cluster", "left")
 
 
+def segment_channel(scored: DataFrame, cols: Sequence[str], k: int, names: Sequence[str], seed: int = 0) -> DataFrame:
+    """The partners of a channel with their cluster and its name, given by the clusters' mean amount score."""
+    model, out = fit_segments(scored, cols, k, seed)
+    return attach_names(out, name_by_amount(centers(scored, model, cols), names=names))
+
+
 def assemble_customers(named: DataFrame, inactive: DataFrame, as_of, inactive_code: int = 4) -> DataFrame:
     """Segment table of customers: named active ones and the inactive."""
     cols = ["customer_id", "segment", "segment_name"]

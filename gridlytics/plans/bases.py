@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlytics.functions.columns import pick
@@ -274,11 +274,18 @@ class Tables:
 
     @cached_property
     def partner_base(self) -> DataFrame:
+        return self._partners(F.col("l_linestatus"))
+
+    @cached_property
+    def partner_channels(self) -> DataFrame:
+        """Partners by three channels: contractors 0, motorcycles 1, points of sale 2."""
+        return self._partners((F.col("l_linenumber") % 3).cast("int"))
+
+    def _partners(self, channel: Column) -> DataFrame:
         as_of = F.lit(dt.date.fromisoformat(SERIES_AS_OF))
         day = F.col("l_shipdate").cast("date")
         price = F.floor("l_extendedprice")
         half_year = F.when(day >= F.lit(dt.date(2001, 5, 5)), price).otherwise(0)
-        channel = F.col("l_linestatus")
         return self.lineitem.groupBy(F.col("l_suppkey").alias("partner_id"), channel.alias("channel")).agg(
             F.datediff(as_of, F.max(day)).alias("recency"), F.count("*").alias("sales"), F.sum(price).alias("monetary"),
             F.count_if(F.col("l_returnflag") == "R").alias("returns"), F.avg(price).alias("ticket"),
@@ -603,6 +610,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                avg(l_quantity) AS term,
                CAST(sum(CASE WHEN l_shipdate >= DATE '2001-05-05' THEN CAST(floor(l_extendedprice) AS BIGINT) ELSE 0 END) AS BIGINT) AS monetary_6m,
                avg(CASE WHEN l_tax > 0.04 THEN 1.0::DOUBLE ELSE 0.0 END) AS insured FROM lineitem GROUP BY 1, 2"""),
+    "partner_channels": ((), """
+        SELECT l_suppkey AS partner_id, CAST(l_linenumber % 3 AS INTEGER) AS channel,
+               CAST(datediff('day', CAST(max(l_shipdate) AS DATE), DATE '2001-11-05') AS INTEGER) AS recency,
+               count(*) AS sales, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS monetary,
+               count(*) FILTER (l_returnflag = 'R') AS returns, avg(CAST(floor(l_extendedprice) AS BIGINT)) AS ticket,
+               avg(l_quantity) AS term,
+               CAST(sum(CASE WHEN l_shipdate >= DATE '2001-05-05' THEN CAST(floor(l_extendedprice) AS BIGINT) ELSE 0 END) AS BIGINT) AS monetary_6m,
+               avg(CASE WHEN l_tax > 0.04 THEN 1.0::DOUBLE ELSE 0.0 END) AS insured FROM lineitem GROUP BY 1, 2"""),
     "rfm": (("rfm_base",), """
         SELECT a.*, 5 - CAST((recency > r[1]) AS INTEGER) - CAST((recency > r[2]) AS INTEGER) - CAST((recency > r[3]) AS INTEGER)
                  - CAST((recency > r[4]) AS INTEGER) AS r_score,

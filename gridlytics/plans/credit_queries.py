@@ -12,7 +12,7 @@ from gridlytics.operators import review as V
 from gridlytics.operators import stats as ST
 from gridlytics.plans.bases import CREDIT_AS_OF, Tables
 from gridlytics.plans.registry import query
-from gridlytics.plans.tails import chi2_tail
+from gridlytics.plans.tails import chi2_tail, erfc
 
 
 def _base(t: Tables):
@@ -370,7 +370,21 @@ def _(t):
     return ST.best_distribution(_consumption(t), "volume")
 
 
-@query("anderson_darling")
+def _log_tail(z: str) -> str:
+    """The logarithm of the normal law's lower tail."""
+    return f"ln(CASE WHEN {z} < 0 THEN 0.5 * {erfc(f'(-({z}) / sqrt(2))')} ELSE 1 - 0.5 * {erfc(f'(({z}) / sqrt(2))')} END)"
+
+
+@query("anderson_darling", f"""
+    SELECT category, CAST(n AS BIGINT) AS n, -n - total / n AS statistic, {", ".join(
+        f"round({c} / (1 + 4 / n - 25 / (n * n)), 3) AS critical_{str(level).replace('.', '_')}" for c, level in zip(ST.AD_CRITICAL, ST.AD_LEVELS))}
+    FROM (SELECT category, any_value(n) AS n, sum(((b + c) * (b + c) - b * b) * {_log_tail('z')}
+                 + ((n - b) * (n - b) - (n - b - c) * (n - b - c)) * {_log_tail('(-z)')}) AS total
+          FROM (SELECT category, (v - m) / s AS z, CAST(c AS DOUBLE) AS c, CAST(n AS DOUBLE) AS n,
+                       CAST(sum(c) OVER (PARTITION BY category ORDER BY v) - c AS DOUBLE) AS b
+                FROM (SELECT category, CAST(volume AS DOUBLE) AS v, count(*) AS c FROM consumption WHERE volume IS NOT NULL GROUP BY 1, 2)
+                JOIN (SELECT category, avg(volume) AS m, stddev_samp(volume) AS s, count(volume) AS n FROM consumption GROUP BY 1) USING (category) WHERE s > 0)
+          GROUP BY 1)""", ["consumption"], ["statistic"])
 def _(t):
     return ST.anderson_darling(_consumption(t), "category", "volume")
 

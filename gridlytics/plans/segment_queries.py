@@ -101,14 +101,20 @@ def _partners(t: Tables, channel: str, flag: bool):
     return G.partner_scores(live, flag)
 
 
-@query("partner_scores", _partner_sql("O", False), ["partner_base"])
+def _both_channels(t: Tables, flag: bool):
+    """Each channel is scored among its own partners."""
+    columns = ["partner_id", "channel", *[f"{c}_score" for c in _PARTNER_SCORES]]
+    return _partners(t, "O", flag).select(*columns).unionByName(_partners(t, "F", flag).select(*columns))
+
+
+@query("partner_scores", f"{_partner_sql('O', False)} UNION ALL {_partner_sql('F', False)}", ["partner_base"])
 def _(t):
-    return _partners(t, "O", False).select("partner_id", "channel", *[f"{c}_score" for c in _PARTNER_SCORES])
+    return _both_channels(t, False)
 
 
-@query("partner_scores_flag", _partner_sql("F", True), ["partner_base"])
+@query("partner_scores_flag", f"{_partner_sql('O', True)} UNION ALL {_partner_sql('F', True)}", ["partner_base"])
 def _(t):
-    return _partners(t, "F", True).select("partner_id", "channel", *[f"{c}_score" for c in _PARTNER_SCORES])
+    return _both_channels(t, True)
 
 
 @query("sample_per_code", """
@@ -209,10 +215,14 @@ _AMOUNT_NAMED = """
     FROM ({_AMOUNT_NAMED.format(kind=0, c='O')} UNION ALL {_AMOUNT_NAMED.format(kind=2, c='F')}) JOIN supplier ON s_suppkey = partner_id""",
        ["partner_base"])
 def _(t):
+    return _assembled(t, t.partner_base, {0: "O", 2: "F"})
+
+
+def _assembled(t: Tables, base, codes: dict):
     registered = t.supplier.select(F.col("s_suppkey").alias("partner_id"))
     channels = {}
-    for kind, code in ((0, "O"), (2, "F")):
-        live, small = G.split_partners(t.partner_base.filter(F.col("channel") == code))
+    for kind, code in codes.items():
+        live, small = G.split_partners(base.filter(F.col("channel") == code))
         scored = G.quantile_score(live, "monetary", drop_duplicates=True)
         name = pick(G.FIVE_TIERS, 5 - F.col("monetary_score"))
         channels[kind] = (scored.withColumns({"cluster": 5 - F.col("monetary_score"), "name": name}), small, registered)
@@ -237,12 +247,42 @@ def _(t):
     return G.attach_names(out, G.name_by_thresholds(G.centers(rows, model, G.SCORES))).select("customer_id", "cluster", "name")
 
 
+_PARTNER_FEATURES = ["recency_score", "insured", "monetary_score", "return_share_score", "ticket_score", "monetary_6m_score"]
+
+
 @query("kmeans_partners")
 def _(t):
-    cols = ["recency_score", "insured", "monetary_score", "return_share_score", "ticket_score", "monetary_6m_score"]
-    rows = _partners(t, "F", True)
-    model, out = G.fit_segments(rows, cols, 5)
-    return G.attach_names(out, G.name_by_amount(G.centers(rows, model, cols))).select("partner_id", "cluster", "name")
+    """Clusters of each channel, fitted to its own partners."""
+    out = None
+    for channel in ("O", "F"):
+        rows = G.segment_channel(_partners(t, channel, True), _PARTNER_FEATURES, 5, G.FIVE_TIERS)
+        rows = rows.select("partner_id", "channel", "cluster", "name")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+#: Clusters and names of the three channels.
+_CHANNELS = {0: (4, G.FOUR_TIERS), 1: (3, G.FOUR_TIERS[:3]), 2: (5, G.FIVE_TIERS)}
+
+
+@query("kmeans_channels")
+def _(t):
+    """Three channels, each with a number of clusters of its own; clusters are named by their amount."""
+    out = None
+    for kind, (k, names) in _CHANNELS.items():
+        live, _ = G.split_partners(t.partner_channels.filter(F.col("channel") == kind))
+        rows = G.segment_channel(G.partner_scores(live, True), _PARTNER_FEATURES, k, names).select("partner_id", "channel", "cluster", "name")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("assemble_channels", f"""
+    SELECT partner_id, segment, segment_name, partner_type, s_nationkey AS contractor_id, s_name AS point_of_sale, DATE '2001-08-01' AS predicted_on
+    FROM ({" UNION ALL ".join(_AMOUNT_NAMED.replace("partner_base", "partner_channels").format(kind=c, c=c) for c in (0, 1, 2))})
+    JOIN supplier ON s_suppkey = partner_id""", ["partner_channels"])
+def _(t):
+    """The segment table of three channels: tiers by amount, partners too small to have one, and the inactive."""
+    return _assembled(t, t.partner_channels, {0: 0, 1: 1, 2: 2})
 
 
 # Clusters are drawn; that each customer has one, and each cluster one name, is not.

@@ -652,7 +652,25 @@ def _(t):
 # Similarity -----------------------------------------------------------------------------------
 
 
-@query("dtw_to_station")
+# A diagonal of the warping tables a round, of which only the last is kept: entry i of `now` is cell (i - 1, diagonal - i + 1), with a
+# border in row and column 0.
+_TO_STATION = """
+    WITH RECURSIVE arrays AS MATERIALIZED (SELECT station, list(CAST(volume AS DOUBLE) ORDER BY date) AS v FROM daily GROUP BY 1),
+      pairs AS MATERIALIZED (
+        SELECT a.station AS a, b.station AS b, a.v AS x, b.v AS y
+        FROM arrays a JOIN arrays b ON b.station = (SELECT station FROM daily GROUP BY 1 ORDER BY sum(volume) DESC, station LIMIT 1)),
+      warped(a, diagonal, before, now) USING KEY (a) AS (
+        SELECT a, 1, list_concat([0::DOUBLE], list_transform(range(len(x)), lambda i: 'inf'::DOUBLE)), list_transform(range(len(x) + 1), lambda i: 'inf'::DOUBLE)
+        FROM pairs
+        UNION
+        SELECT a, diagonal + 1, now, list_concat(['inf'::DOUBLE], list_transform(range(1, len(x) + 1), lambda i:
+                 CASE WHEN diagonal + 1 - i BETWEEN 1 AND len(y)
+                      THEN power(x[i] - y[diagonal + 1 - i], 2) + least(now[i], now[i + 1], before[i]) ELSE 'inf'::DOUBLE END))
+        FROM warped JOIN pairs USING (a) WHERE diagonal < len(x) + len(y))
+    SELECT a, b, sqrt(now[len(x) + 1]) AS distance FROM warped JOIN pairs USING (a)"""
+
+
+@query("dtw_to_station", f"SELECT * FROM ({_TO_STATION})", ["daily"], ["distance"])
 def _(t):
     """Every station against the station with the largest total, as the report reads its distances."""
     reference = R.top_k(S.period_totals(t.daily, "station"), "volume", 1, ties=["station"]).select("station")
@@ -679,22 +697,21 @@ def _quarters(t: Tables):
     return t.daily.groupBy("station", quarter.alias("date")).agg(F.sum("volume").alias("volume"))
 
 
-# A diagonal of the warping table a round: entry i of `now` is cell (i - 1, diagonal - i + 1), with a border in row and column 0.
 @query("nearest_quarters", f"""
     SELECT query, station, distance, CAST(place AS INTEGER) AS place FROM (
       WITH RECURSIVE arrays AS MATERIALIZED ({_QUARTERS}),
-      table_of(query, station, x, y, diagonal, before, now) AS (
-        SELECT a.station, b.station, a.v, b.v, 1, list_concat([0::DOUBLE], list_transform(range(len(a.v)), lambda i: 'inf'::DOUBLE)),
-               list_transform(range(len(a.v) + 1), lambda i: 'inf'::DOUBLE)
-        FROM arrays a JOIN arrays b ON a.station <> b.station
-        UNION ALL
-        SELECT query, station, x, y, diagonal + 1, now, list_concat(['inf'::DOUBLE], list_transform(range(1, len(x) + 1), lambda i:
+      pairs AS MATERIALIZED (SELECT a.station AS query, b.station AS station, a.v AS x, b.v AS y FROM arrays a JOIN arrays b ON a.station <> b.station),
+      warped(query, station, diagonal, before, now) USING KEY (query, station) AS (
+        SELECT query, station, 1, list_concat([0::DOUBLE], list_transform(range(len(x)), lambda i: 'inf'::DOUBLE)),
+               list_transform(range(len(x) + 1), lambda i: 'inf'::DOUBLE) FROM pairs
+        UNION
+        SELECT query, station, diagonal + 1, now, list_concat(['inf'::DOUBLE], list_transform(range(1, len(x) + 1), lambda i:
                  CASE WHEN diagonal + 1 - i BETWEEN 1 AND len(y)
                       THEN power(x[i] - y[diagonal + 1 - i], 2) + least(now[i], now[i + 1], before[i]) ELSE 'inf'::DOUBLE END))
-        FROM table_of WHERE diagonal < len(x) + len(y))
+        FROM warped JOIN pairs USING (query, station) WHERE diagonal < len(x) + len(y))
       SELECT query, station, sqrt(now[len(x) + 1]) AS distance,
              row_number() OVER (PARTITION BY query ORDER BY round(sqrt(now[len(x) + 1]), 9), station) AS place
-      FROM table_of WHERE diagonal = len(x) + len(y))
+      FROM warped JOIN pairs USING (query, station))
     WHERE place <= 3""", ["daily"], ["distance"])
 def _(t):
     quarters = _quarters(t)

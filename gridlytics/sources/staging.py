@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``; where that is unset, one in the session's warehouse.
 
-    Both are shared by the driver and all executors, whatever the master.
+    A warehouse on the driver's own machine is no shared folder once the executors run on others, so it is refused there.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    folder = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master) and re.match("(file:)?/", folder):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
 
 
 def staged(df: DataFrame) -> DataFrame:
