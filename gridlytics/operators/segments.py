@@ -23,32 +23,35 @@ FIVE_TIERS = ("Diamante", "Platino", "Oro", "Plata", "Bronce")
 SCORES = ["r_score", "m_score", "f_score"]
 
 
-def quantile_edges(df: DataFrame, cols: Sequence[str], q: int = 5) -> Column:
+def quantile_edges(df: DataFrame, cols: Sequence[str], q: int = 5, by: str | None = None) -> Column:
     """Interpolated quantile edges of several columns as one map, a scalar subquery of a single pass.
 
-    The values are unpivoted and ranked per column name, so the frame is not read once per column.
+    The values are unpivoted and ranked per column name, so the frame is not read once per column. With ``by`` the edges of each group
+    are its own, and an entry's name is that of the group, a bar and the column.
     """
-    entries = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])
+    name = lambda c: F.lit(c) if by is None else F.concat(F.col(by).cast("string"), F.lit(f"|{c}"))
+    entries = F.array(*[F.struct(name(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])
     long = df.select(F.explode(entries).alias("e")).select("e.name", "e.v")
     edges = quantiles(long, "v", [i / q for i in range(q + 1)], ["name"])
-    # One entry per scored column.
-    return edges.agg(F.map_from_entries(F.collect_list(F.struct("name", "q")))).scalar()
+    # One entry per scored column, and group of a handful.
+    return edges.filter(F.col("name").isNotNull()).agg(F.map_from_entries(F.collect_list(F.struct("name", "q")))).scalar()
 
 
 def quantile_scores(
     df: DataFrame, cols: Sequence[str], q: int = 5, reverse: Sequence[str] = (), drop_duplicates: bool = False,
-    names: Mapping[str, str] | None = None,
+    names: Mapping[str, str] | None = None, by: str | None = None,
 ) -> DataFrame:
     """Scores 1..q by interpolated quantile edges; a value on an edge falls in the lower bin.
 
     Repeated edges raise unless ``drop_duplicates``; then the bins merge. A ``reverse`` column gives its lowest
-    bin score ``q``.
+    bin score ``q``. With ``by`` each group is scored by its own edges, all in the same pass.
     """
     names = names or {}
-    out = df.withColumn("_edges", quantile_edges(df, cols, q))
+    out = df.withColumn("_edges", quantile_edges(df, cols, q, by))
     scores = {}
     for c in cols:
-        value, edges = F.col(c).cast("double"), F.array_distinct(F.col("_edges")[c])
+        key = c if by is None else F.concat(F.col(by).cast("string"), F.lit(f"|{c}"))
+        value, edges = F.col(c).cast("double"), F.array_distinct(F.col("_edges")[key])
         if not drop_duplicates:
             clash = F.raise_error(F.lit(f"quantile edges of {c} are not unique"))
             edges = F.when(F.size(edges) < q + 1, clash).otherwise(edges)
@@ -65,10 +68,15 @@ def quantile_score(df: DataFrame, col: str, q: int = 5, reverse: bool = False, d
     return quantile_scores(df, [col], q, [col] if reverse else (), drop_duplicates, names)
 
 
-def width_score(df: DataFrame, col: str, q: int = 5, alias: str | None = None) -> DataFrame:
-    """Score q..1 by equal-width bins, right-closed; the minimum belongs to the first bin."""
-    limits = df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
-    lo, hi = limits.select("lo").scalar(), limits.select("hi").scalar()
+def width_score(df: DataFrame, col: str, q: int = 5, alias: str | None = None, by: str | None = None) -> DataFrame:
+    """Score q..1 by equal-width bins, right-closed; the minimum belongs to the first bin. With ``by`` each group has its own bins."""
+    ends = F.struct(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
+    if by is None:
+        limits = df.agg(ends.alias("ends")).scalar()
+    else:
+        groups = df.filter(F.col(by).isNotNull()).groupBy(F.col(by).cast("string").alias("name")).agg(ends.alias("ends"))
+        limits = groups.agg(F.map_from_entries(F.collect_list(F.struct("name", "ends")))).scalar()[F.col(by).cast("string")]
+    lo, hi = limits["lo"], limits["hi"]
     value = F.col(col).cast("double")
     above = sum((F.when(value > lo + (hi - lo) * i / q, 1).otherwise(0) for i in range(1, q)), F.lit(0))
     return df.withColumn(alias or f"{col}_score", F.when(value.isNotNull(), F.lit(q) - above))
@@ -111,14 +119,14 @@ def rfm_code() -> Column:
     return F.concat(*[F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")])
 
 
-def partner_scores(df: DataFrame, flag_returns: bool = False) -> DataFrame:
-    """Scores of a partner channel; the return share is scored by quantiles or as a flag. The base is staged once."""
+def partner_scores(df: DataFrame, flag_returns: bool = False, by: str | None = None) -> DataFrame:
+    """Scores of a partner channel, or with ``by`` of each; the return share is scored by quantiles or as a flag. The base is staged once."""
     share = F.try_divide(F.col("returns").cast("double"), F.col("sales").cast("double"))
     base = staged(df.withColumn("return_share", share))
     cols = ["monetary", "ticket", "term", "monetary_6m", "sales"]
     if not flag_returns:
         cols.append("return_share")
-    out = quantile_scores(width_score(base, "recency"), cols, drop_duplicates=True)
+    out = quantile_scores(width_score(base, "recency", by=by), cols, drop_duplicates=True, by=by)
     return out.withColumn("return_share_score", return_flag("returns", "sales")) if flag_returns else out
 
 

@@ -96,25 +96,23 @@ def _partner_sql(channel: str, flag: bool) -> str:
 _PARTNER_SCORES = ["recency", "monetary", "ticket", "term", "monetary_6m", "sales", "return_share"]
 
 
-def _partners(t: Tables, channel: str, flag: bool):
-    live, _ = G.split_partners(t.partner_base.filter(F.col("channel") == channel))
-    return G.partner_scores(live, flag)
+def _partners(t: Tables, flag: bool):
+    """The partners of both channels; each is scored among its own, in one pass."""
+    return G.partner_scores(G.split_partners(t.partner_base)[0], flag, by="channel")
 
 
-def _both_channels(t: Tables, flag: bool):
-    """Each channel is scored among its own partners."""
-    columns = ["partner_id", "channel", *[f"{c}_score" for c in _PARTNER_SCORES]]
-    return _partners(t, "O", flag).select(*columns).unionByName(_partners(t, "F", flag).select(*columns))
+def _scores(t: Tables, flag: bool):
+    return _partners(t, flag).select("partner_id", "channel", *[f"{c}_score" for c in _PARTNER_SCORES])
 
 
 @query("partner_scores", f"{_partner_sql('O', False)} UNION ALL {_partner_sql('F', False)}", ["partner_base"])
 def _(t):
-    return _both_channels(t, False)
+    return _scores(t, False)
 
 
 @query("partner_scores_flag", f"{_partner_sql('O', True)} UNION ALL {_partner_sql('F', True)}", ["partner_base"])
 def _(t):
-    return _both_channels(t, True)
+    return _scores(t, True)
 
 
 @query("sample_per_code", """
@@ -253,9 +251,9 @@ _PARTNER_FEATURES = ["recency_score", "insured", "monetary_score", "return_share
 @query("kmeans_partners")
 def _(t):
     """Clusters of each channel, fitted to its own partners."""
-    out = None
+    out, scored = None, _partners(t, True)
     for channel in ("O", "F"):
-        rows = G.segment_channel(_partners(t, channel, True), _PARTNER_FEATURES, 5, G.FIVE_TIERS)
+        rows = G.segment_channel(scored.filter(F.col("channel") == channel), _PARTNER_FEATURES, 5, G.FIVE_TIERS)
         rows = rows.select("partner_id", "channel", "cluster", "name")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -268,10 +266,9 @@ _CHANNELS = {0: (4, G.FOUR_TIERS), 1: (3, G.FOUR_TIERS[:3]), 2: (5, G.FIVE_TIERS
 @query("kmeans_channels")
 def _(t):
     """Three channels, each with a number of clusters of its own; clusters are named by their amount."""
-    out = None
+    out, scored = None, G.partner_scores(G.split_partners(t.partner_channels)[0], True, by="channel")
     for kind, (k, names) in _CHANNELS.items():
-        live, _ = G.split_partners(t.partner_channels.filter(F.col("channel") == kind))
-        rows = G.segment_channel(G.partner_scores(live, True), _PARTNER_FEATURES, k, names).select("partner_id", "channel", "cluster", "name")
+        rows = G.segment_channel(scored.filter(F.col("channel") == kind), _PARTNER_FEATURES, k, names).select("partner_id", "channel", "cluster", "name")
         out = rows if out is None else out.unionByName(rows)
     return out
 
