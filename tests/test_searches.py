@@ -418,3 +418,26 @@ def test_free_locations_equal_a_scan(spark):
     assert ST.fit_free_distributions(df.filter("v < 0"), "v").count() == 0
     one = {r.distribution: r for r in ST.fit_free_distributions(spark.createDataFrame([(5.0,), (5.0,)], "v double"), "v").collect()}
     assert set(one) == {"gamma", "lognorm", "expon"}
+
+
+# ---- partner channels ----
+
+
+def test_channels_are_scored_and_named_apart(spark):
+    from gridlytics.operators import segments as G
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for channel, scale in ((0, 1e6), (1, 1e7), (2, 1e8)):
+        for k in range(60):
+            rows.append((k, channel, int(rng.integers(0, 90)), int(scale * rng.random()) + 200_000, float(rng.integers(1, 9)), float(rng.integers(1, 36)),
+                         int(scale * rng.random()), int(rng.integers(5, 50)), int(rng.integers(0, 3)), float(rng.random())))
+    names = "partner_id int, channel int, recency int, monetary long, ticket double, term double, monetary_6m long, sales long, returns long, insured double"
+    df = spark.createDataFrame(rows, names)
+    together = {(r.partner_id, r.channel): r for r in G.partner_scores(df, by="channel").collect()}
+    for channel in range(3):
+        for r in G.partner_scores(df.filter(F.col("channel") == channel)).collect():
+            assert tuple(together[r.partner_id, channel]) == tuple(r)
+    one = G.segment_channel(G.partner_scores(df, by="channel").filter("channel = 1"), ["monetary_score"], 4, G.FOUR_TIERS).collect()
+    order = {name: np.mean([r.monetary_score for r in one if r.name == name]) for name in {r.name for r in one}}
+    assert list(order) and [n for n in G.FOUR_TIERS if n in order] == sorted(order, key=lambda n: -order[n])
