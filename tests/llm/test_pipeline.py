@@ -16,7 +16,7 @@ def test_stages_are_the_dealt_ones():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality_classifier", "near_duplicates", "decontamination", "secret_scan", "best_fit_packing",
     ]
-    assert {name.partition("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.partition("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_every_stage_against_brute_force(spark, sf_dir):
