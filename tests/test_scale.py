@@ -60,8 +60,8 @@ def test_a_tree_of_one_feature_is_that_of_all_rows():
     residual, cuts = rng.normal(0, 10, 500), B.cut_points(x, 256)
     codes, size = B.coded(x, cuts), len(cuts[0]) + 1
     whole = B.grow(codes, size, residual, 6, 0.3)
-    one, at_code = B.grow_one(np.bincount(codes[:, 0], weights=residual), np.bincount(codes[:, 0]), 6, 0.3)
-    assert np.allclose(whole.predict(codes), one.predict(codes)) and np.allclose(at_code[codes[:, 0]], one.predict(codes))
+    one, at_code = B.grow_one(codes[:, 0], np.bincount(codes[:, 0], minlength=size), residual, 6, 0.3)
+    assert (whole.predict(codes) == one.predict(codes)).all() and (at_code[codes[:, 0]] == one.predict(codes)).all()
 
 
 def test_flexibilities_share_one_elimination():
