@@ -331,7 +331,14 @@ def grouped_ols(
         F.array(*[F.covar_pop(f"x{i}", f"x{j}") for i, j in pairs]).alias("cov"),
     )
 
-    subset = [list(features).index(c) for c in (features if nested is None else nested)]
+    return ols_of_sums(sums, by, k, None if nested is None else [list(features).index(c) for c in nested])
+
+
+def ols_of_sums(sums: DataFrame, by: Sequence[str], k: int, nested: Sequence[int] | None = None) -> DataFrame:
+    """The fits of :func:`grouped_ols` from ``n``, ``means`` and ``cov`` (upper triangle, row by row) of k columns, the label last;
+    ``nested``: places of the features of the smaller fit."""
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    subset = list(range(k - 1)) if nested is None else list(nested)
 
     def least(spread: np.ndarray, cols: list[int]) -> tuple[np.ndarray, float]:
         inner, cross = spread[np.ix_(cols, cols)], spread[cols, -1]

@@ -92,3 +92,33 @@ def test_pooled_trees_are_fitted_to_cells(spark):
     few = GBTRegressor(weightCol="weight", **args).fit(rows.transform(cells)).transform(rows.transform(coded))
     for x, y in zip(whole.collect(), few.collect()):
         assert (x.a, x.b) == (y.a, y.b) and abs(x.prediction - y.prediction) < 1e-6
+
+
+# ---- pairs ----
+
+
+def test_days_of_pairs_are_not_dealt_by_date(spark):
+    from gridlytics.operators import similarity as SM
+
+    rng, lag = np.random.default_rng(7), 2
+    series = {s: {DAY + dt.timedelta(d): float(rng.normal()) for d in range(60) if s != 2 or d not in (20, 21, 40)} for s in (1, 2, 3)}
+    series[3][DAY + dt.timedelta(9)] = None
+    df = spark.createDataFrame([(s, d, v) for s, days in series.items() for d, v in days.items()], "station int, date date, volume double")
+    out = SM.granger_pairs(df, spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a int, b int"), lag=lag)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "hashpartitioning(effect" in line and "date" in line]
+    got = {(r.cause, r.effect): r for r in out.collect()}
+    assert set(got) == {(1, 2), (2, 1), (2, 3), (3, 2)}
+
+    def lags(s):
+        days = sorted(series[s])
+        return {d: [series[s][days[i - k]] for k in range(lag + 1)] for i, d in enumerate(days) if i >= lag and None not in [series[s][days[i - k]] for k in range(lag + 1)]}
+
+    for (cause, effect), row in got.items():
+        x, y = lags(cause), lags(effect)
+        days = sorted(set(x) & set(y))
+        label = np.array([y[d][0] for d in days])
+        own = np.array([[1, *y[d][1:]] for d in days])
+        full = np.array([[1, *y[d][1:], *x[d][1:]] for d in days])
+        left = [float(np.sum((label - m @ np.linalg.lstsq(m, label, rcond=None)[0]) ** 2)) for m in (own, full)]
+        assert row.n == len(days) and np.allclose([row.ssr_own, row.ssr_full], left)
