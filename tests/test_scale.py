@@ -122,3 +122,12 @@ def test_days_of_pairs_are_not_dealt_by_date(spark):
         full = np.array([[1, *y[d][1:], *x[d][1:]] for d in days])
         left = [float(np.sum((label - m @ np.linalg.lstsq(m, label, rcond=None)[0]) ** 2)) for m in (own, full)]
         assert row.n == len(days) and np.allclose([row.ssr_own, row.ssr_full], left)
+
+
+def test_series_of_a_search_are_made_once(spark, monkeypatch):
+    from gridlytics.operators import similarity as SM
+
+    calls = []
+    monkeypatch.setattr(SM, "staged", lambda df: calls.append(1) or df)
+    df = spark.createDataFrame([(s, DAY + dt.timedelta(d), float(s * d)) for s in range(4) for d in range(5)], "station int, date date, volume double")
+    assert SM.nearest_series(df, df.select("station"), 2).count() == 8 and calls == [1]
