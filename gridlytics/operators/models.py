@@ -10,10 +10,12 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT, Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlytics.functions.columns import draw
 from gridlytics.sources.staging import staged
@@ -63,6 +65,30 @@ def prep_pipeline(text: Sequence[str], codes: Sequence[str], numbers: Sequence[s
     ])
 
 
+def varying_features(prepared: PipelineModel) -> tuple[PipelineModel, list[int]]:
+    """The preparation without the columns that do not vary in the rows it was fitted on, and the places of those that are left.
+
+    Scaling writes 0 in such a column for every row, of the hold-out too, so no linear or layered model learns from it and no tree
+    splits on it. One-hot codes have a column for every number up to the largest one; most of these stand for no row.
+    """
+    spread = prepared.stages[-1].std.toArray()
+    left = [k for k, deviation in enumerate(spread) if deviation > 0]
+    if not left or len(left) == len(spread):
+        return prepared, list(range(len(spread)))
+    scaler = prepared.stages[-1].copy().setOutputCol("_scaled")
+    return PipelineModel([*prepared.stages[:-1], scaler, VectorSlicer(inputCol="_scaled", outputCol="features", indices=left)]), left
+
+
+#: Rows that one task of a fit should hold; a tree's bins take two kilobytes a row where codes are one-hot.
+ROWS_PER_TASK = 150_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows staged for a fit; many are dealt to tasks by their number, as adaptive execution goes by bytes that grow twentyfold in the fit."""
+    parts = math.ceil(df.count() / ROWS_PER_TASK)
+    return staged(df.repartition(parts) if parts > df.sparkSession.sparkContext.defaultParallelism else df)
+
+
 def oversample(df: DataFrame, keys: Sequence[str], label: str = "label", ratio: float = 1.0, seed: int = 0) -> DataFrame:
     """Repeat rows of the smaller class until it holds about ``ratio`` times the larger one.
 
@@ -84,6 +110,22 @@ def fit_classifier(kind: str, df: DataFrame, **params):
     return KINDS[kind](featuresCol="features", labelCol="label", **params).fit(df)
 
 
+def fit_perceptron(df: DataFrame, layers: Sequence[int], inputs: Sequence[int], **params):
+    """Fit a perceptron whose first layer has only the ``inputs`` (places) of ``layers[0]`` that vary.
+
+    It starts from the weights that the whole layer would start from. An input that is always 0 changes no output and its weights have no
+    gradient, so both take the same steps; the rows are dense matrices to this model, so its work and memory follow the width.
+    """
+    narrow = [len(inputs), *layers[1:]]
+    kind = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())])
+    one = df.sparkSession.createDataFrame([(float(k), Vectors.sparse(layers[0], [], [])) for k in range(layers[-1])], kind)
+    start = fit_classifier("perceptron", one, layers=list(layers), **params | {"maxIter": 0}).weights.toArray()
+    # A layer's weights stand input by input, then its offsets.
+    first = start[: layers[0] * layers[1]].reshape(layers[0], layers[1])
+    weights = Vectors.dense([*first[list(inputs)].ravel(), *start[layers[0] * layers[1] :]])
+    return fit_classifier("perceptron", df, layers=narrow, initialWeights=weights, **params)
+
+
 def grid_search(
     kind: str, df: DataFrame, grid: Mapping[str, Sequence], prepare: Pipeline, keys: Sequence[str], folds: int = 4, label: str = "label",
     parallelism: int = 4, seed: int = 0,
@@ -108,22 +150,49 @@ def fold_areas(
     from concurrent.futures import ThreadPoolExecutor
 
     folded, areas = stratified_folds(df, keys, label, folds, seed), [0.0] * len(points)
+    # Points that differ in their number of steps alone, fewest first.
+    alike: dict[tuple, list[int]] = {}
+    for k in sorted(range(len(points)), key=lambda k: points[k].get("maxIter", 0)):
+        alike.setdefault(tuple(sorted((name, repr(value)) for name, value in points[k].items() if name != "maxIter")), []).append(k)
     for fold in range(folds):
         inside = folded.filter(F.col("fold") != fold)
         prepared = prepare.fit(inside)
-        train = oversample(prepared.transform(inside), keys, label).cache()
-        held = prepared.transform(folded.filter(F.col("fold") == fold)).cache()
-
-        def area(params: dict) -> float:
-            return BinaryClassificationEvaluator().evaluate(fit_classifier(kind, train, **params).transform(held))
+        if hasattr(prepared.stages[-1], "std"):
+            prepared = varying_features(prepared)[0]
+        train = oversample(prepared.transform(inside), keys, label).select("features", label)
+        # A step of a fit sends something from every task, so tasks are as few as their rows allow.
+        train = train.coalesce(fit_tasks(train)).cache()
+        held = prepared.transform(folded.filter(F.col("fold") == fold)).select("features", label).cache()
+
+        def some_areas(those: list[int]) -> list[tuple[int, float]]:
+            out, settled = [], None
+            for k in those:
+                if settled is None:
+                    model = fit_classifier(kind, train, **points[k])
+                    area = BinaryClassificationEvaluator(labelCol=label).evaluate(model.transform(held))
+                    # A fit that has converged before its last step allowed ends at the same place with more steps.
+                    if kind == "logistic" and "maxIter" in points[k] and model.summary.totalIterations < points[k]["maxIter"]:
+                        settled = area
+                out.append((k, area))
+            return out
 
         with ThreadPoolExecutor(parallelism) as pool:
-            areas = [total + one / folds for total, one in zip(areas, pool.map(area, points))]
+            for k, area in (one for some in pool.map(some_areas, alike.values()) for one in some):
+                areas[k] += area / folds
         train.unpersist()
         held.unpersist()
     return areas
 
 
+#: Rows of a linear fit's task: sparse rows, one pass over them a step.
+ROWS_PER_LINEAR_TASK = 400_000
+
+
+def fit_tasks(df: DataFrame) -> int:
+    """As many tasks as the cores, or as the rows ask for."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / ROWS_PER_LINEAR_TASK))
+
+
 def halving_rungs(rows: int, points: int, factor: int = 3, least: int = 200) -> list[tuple[int, float]]:
     """(survivors, share of the rows) of each rung: every rung has a third of the points and three times the rows of the one before, the
     last one all rows. No rung has fewer than ``least`` rows, and the first that has all rows is the last."""

@@ -348,13 +348,23 @@ def _sides(t: Tables):
     return MD.relief_features(train, True), MD.relief_features(held, False).drop("contract_id")
 
 
-def _prepared(t: Tables):
-    """Both sides, encoded and scaled as the training rows alone say."""
-    train, held = _sides(t)
+def _prepared(t: Tables, train=None):
+    """Both sides, encoded and scaled as the training rows alone say; ``train``: the training rows, staged."""
+    rows, held = _sides(t)
+    train = MD.dealt(rows) if train is None else train
     prep = _prep().fit(train)
     return prep.transform(train), prep.transform(held)
 
 
+def _varying(t: Tables, train=None):
+    """Both sides without the columns that are 0 in all rows, the places of the others, and how many there were."""
+    rows, held = _sides(t)
+    train = MD.dealt(rows) if train is None else train
+    whole = _prep().fit(train)
+    prep, left = MD.varying_features(whole)
+    return prep.transform(train), prep.transform(held), left, len(whole.stages[-1].std)
+
+
 @query("encoded_features")
 def _(t):
     from pyspark.ml.functions import vector_to_array
@@ -386,8 +396,9 @@ def _(t):
     return MD.oversample(_labelled(t), ["order_id"], ratio=0.8).select("order_id", "label")
 
 
-def _scored(t: Tables, kind: str, **params):
-    train, held = _prepared(t)
+def _scored(t: Tables, kind: str, train=None, **params):
+    # A forest draws its features by their number, so it has them all.
+    train, held = _prepared(t, train) if kind == "forest" else _varying(t, train)[:2]
     model = MD.fit_classifier(kind, MD.oversample(train, ["order_id"]), **params)
     return model, held, MD.score(model, held, ["order_id", "label", "arrears_range"])
 
@@ -425,17 +436,17 @@ def _(t):
 
 @query("score_perceptron")
 def _(t):
-    train, held = _prepared(t)
-    width = train.schema["features"].metadata["ml_attr"]["num_attrs"]
-    model = MD.fit_classifier("perceptron", MD.oversample(train, ["order_id"]), layers=[width, 12, 2], maxIter=100, seed=7)
+    train, held, left, width = _varying(t)
+    model = MD.fit_perceptron(MD.oversample(train, ["order_id"]), [width, 12, 2], left, maxIter=100, seed=7)
     return MD.score(model, held, ["order_id", "label", "arrears_range"])
 
 
 @query("grid_search")
 def _(t):
     """The best point of the grid by folds of the training rows, fitted on all of them, scores the hold-out."""
-    best, area = MD.grid_search("logistic", _sides(t)[0], _grid(), _prep(), ["order_id"], folds=4)
-    scored = _scored(t, "logistic", **best)[2].drop("arrears_range")
+    train = MD.dealt(_sides(t)[0])
+    best, area = MD.grid_search("logistic", train, _grid(), _prep(), ["order_id"], folds=4)
+    scored = _scored(t, "logistic", train, **best)[2].drop("arrears_range")
     return scored.withColumns({name: F.lit(float(value)) for name, value in best.items()} | {"fold_area": F.lit(area)})
 
 
@@ -446,8 +457,9 @@ def _grid():
 @query("halving_search")
 def _(t):
     """The point that successive halving keeps of the same grid, fitted on all training rows, scores the hold-out."""
-    best, area, _ = MD.halving_search("logistic", _sides(t)[0], _grid(), _prep(), ["order_id"], folds=4)
-    scored = _scored(t, "logistic", **best)[2].drop("arrears_range")
+    train = MD.dealt(_sides(t)[0])
+    best, area, _ = MD.halving_search("logistic", train, _grid(), _prep(), ["order_id"], folds=4)
+    scored = _scored(t, "logistic", train, **best)[2].drop("arrears_range")
     return scored.withColumns({name: F.lit(float(value)) for name, value in best.items()} | {"fold_area": F.lit(area)})
 
 
@@ -477,7 +489,7 @@ def _(t):
 
 @query("score_adaptive")
 def _(t):
-    train, held = _prepared(t)
+    train, held = _varying(t)[:2]
     model = MD.fit_adaptive(MD.oversample(train, ["order_id"]).select("label", "features"), rounds=20)
     return model.transform(held).select("order_id", "label", "arrears_range", F.col("probability_1").alias("probability"))
 

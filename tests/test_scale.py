@@ -94,6 +94,62 @@ def test_pooled_trees_are_fitted_to_cells(spark):
         assert (x.a, x.b) == (y.a, y.b) and abs(x.prediction - y.prediction) < 1e-6
 
 
+# ---- fits ----
+
+
+def test_columns_that_do_not_vary_are_left_out_and_nothing_changes(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from gridlytics.operators import models as MD
+
+    rng = np.random.default_rng(5)
+    rows = [(k, float(rng.normal() + k % 2), int(rng.integers(0, 4) * 25), k % 2) for k in range(400)]
+    df = spark.createDataFrame(rows, "k int, x double, code int, label int")
+    stages = [OneHotEncoder(inputCols=["code"], outputCols=["c"], handleInvalid="keep"), VectorAssembler(inputCols=["x", "c"], outputCol="assembled"),
+              StandardScaler(inputCol="assembled", outputCol="features")]
+    whole = Pipeline(stages=stages).fit(df)
+    narrow, left = MD.varying_features(whole)
+    assert left == [0, 1, 26, 51, 76] and narrow.transform(df).first().features.size == 5
+    unseen = df.withColumn("code", F.col("code") + 1)  # what the training rows lack is 0 in both
+    for rows in (df, unseen):
+        wide = whole.transform(rows).orderBy("k").select(vector_to_array("features")).collect()
+        assert [[r[0][k] for k in left] for r in wide] == [r[0] for r in narrow.transform(rows).orderBy("k").select(vector_to_array("features")).collect()]
+        assert all(v == 0 for r in wide for k, v in enumerate(r[0]) if k not in left)
+    layers = [len(whole.stages[-1].std), 4, 2]
+    one = MD.score(MD.fit_classifier("perceptron", whole.transform(df), layers=layers, maxIter=10, seed=7), whole.transform(df), ["k"])
+    two = MD.score(MD.fit_perceptron(narrow.transform(df), layers, left, maxIter=10, seed=7), narrow.transform(df), ["k"])
+    assert np.allclose([r[1] for r in sorted(one.collect())], [r[1] for r in sorted(two.collect())], atol=1e-6)
+
+
+def test_a_fit_that_has_converged_stands_for_those_with_more_steps(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from gridlytics.operators import models as MD
+
+    rng = np.random.default_rng(6)
+    rows = [(k, float(rng.normal() + k % 2), k % 2) for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, x double, label int")
+    prepare = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features")])
+    seen, fit = [], MD.fit_classifier
+    monkeypatch.setattr(MD, "fit_classifier", lambda kind, train, **p: seen.append(p["maxIter"]) or fit(kind, train, **p))
+    points = [{"maxIter": n, "regParam": r} for n in (500, 1, 100) for r in (0.1,)]
+    areas = MD.fold_areas("logistic", df, points, prepare, ["k"], 2, "label", 2, 0)
+    assert sorted(seen) == [1, 1, 100, 100]  # one step does not converge, 100 do, 500 add nothing
+    assert areas[0] == areas[2]
+
+
+def test_rows_of_a_fit_are_dealt_by_their_number(spark, monkeypatch):
+    from gridlytics.operators import models as MD
+
+    monkeypatch.setattr(MD, "ROWS_PER_TASK", 50)
+    assert MD.dealt(spark.range(0, 1000, 1, 2)).rdd.getNumPartitions() == 20
+    few = MD.dealt(spark.range(0, 100, 1, 3))
+    assert few.rdd.getNumPartitions() == 3 and few.count() == 100
+
+
 # ---- pairs ----
 
 
