@@ -97,30 +97,35 @@ def correct_outliers_residual(df: DataFrame, k: float = 3.0, n: int = 4) -> Data
     return rows.withColumn("corrected", corrected).drop("_r")
 
 
+def _block_deviation(deviation: np.ndarray, size: int) -> np.ma.MaskedArray:
+    """Per row, the deviation of its block of ``size`` rows, the last row of all left out; masked where the block has no two rows."""
+    starts = np.arange(0, len(deviation), size)
+    rows = np.minimum(size, len(deviation) - starts)
+    counted = rows.copy()
+    counted[-1] -= 1
+    squares = deviation * deviation
+    squares[-1] = 0.0
+    out = np.sqrt(np.add.reduceat(squares, starts) / np.maximum(counted - 1, 1))
+    return np.ma.masked_array(np.repeat(out, rows), np.repeat(counted < 2, rows))
+
+
 def correct_outliers_trend(df: DataFrame, n1: int = 30, n2: int = 15, k: float = 1.5, changepoint_scale: float = 0.5) -> DataFrame:
     """Values outside the fit's interval and beyond ``k`` block deviations, for both block sizes, become the trend (at least 0).
 
     Blocks hold ``n`` consecutive rows; the last row of a series lies outside its block, and a block's
     deviation divides by its rows less one.
     """
-    order = Window.partitionBy("station").orderBy("date")
-    whole = Window.partitionBy("station")
-    rows = with_fit(df, changepoint_scale=changepoint_scale, use_holidays=True)
-    rows = rows.withColumns({
-        "deviation": F.col("volume") - F.col("trend"),
-        "_i": F.row_number().over(order) - 1,
-        "_n": F.count("*").over(whole),
-    })
-    counted = F.col("_i") < F.col("_n") - 1
-    for name, size in (("sd1", n1), ("sd2", n2)):
-        block = Window.partitionBy("station", F.floor(F.col("_i") / size))
-        square = F.when(counted, F.col("deviation") * F.col("deviation"))
-        rows = rows.withColumn(name, F.sqrt(F.try_divide(F.sum(square).over(block), F.count(square).over(block) - 1)))
+
+    def blocks(volume, fit):
+        deviation = volume - fit["trend"]
+        return {"deviation": deviation, "sd1": _block_deviation(deviation, n1), "sd2": _block_deviation(deviation, n2)}
+
+    rows = with_fit(df, changepoint_scale, True, blocks, ["deviation", "sd1", "sd2"])
     outside = (F.col("volume") > F.col("upper")) | (F.col("volume") < F.col("lower"))
     size = F.abs(F.col("deviation"))
     outlier = F.coalesce(outside & (k * F.col("sd1") < size) & (k * F.col("sd2") < size), F.lit(False))
     corrected = F.when(outlier, F.greatest(F.col("trend"), F.lit(0.0))).otherwise(F.col("volume"))
-    return rows.withColumns({"outlier": outlier, "corrected": corrected}).drop("_i", "_n")
+    return rows.withColumns({"outlier": outlier, "corrected": corrected})
 
 
 def impute_missing(df: DataFrame, n: int = 4) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from gridlytics.operators import boosting as B
 from gridlytics.operators import forecast as FC
+from gridlytics.operators import outliers as O
 from gridlytics.operators import series as S
+from gridlytics.plans import registry as RG
 
 DAY = dt.date(2024, 1, 1)
 
@@ -187,3 +189,54 @@ def test_series_of_a_search_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(SM, "staged", lambda df: calls.append(1) or df)
     df = spark.createDataFrame([(s, DAY + dt.timedelta(d), float(s * d)) for s in range(4) for d in range(5)], "station int, date date, volume double")
     assert SM.nearest_series(df, df.select("station"), 2).count() == 8 and calls == [1]
+
+
+def test_a_corrected_series_is_not_shuffled_after_its_fit(spark):
+    rows = [(k, DAY + dt.timedelta(days=i), float(i % 7), 0) for k in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "station int, date date, volume double, holiday int")
+    text = O.correct_outliers_trend(df)._jdf.queryExecution().executedPlan().toString()
+    above = text[: text.index("FlatMapGroupsInArrow")]
+    assert "Exchange" not in above and "Sort" not in above and "Window" not in above
+
+
+def test_block_deviations_follow_the_rows(spark):
+    """Against a loop over the fit's rows: short last blocks, single rows, a missing volume, rows out of order, a day given twice."""
+    rng = np.random.default_rng(8)
+    sizes = {1: 1, 2: 2, 3: 15, 4: 16, 5: 31, 6: 64, 7: 62}
+    rows = [(k, DAY + dt.timedelta(days=i - (k == 7 and i == 20)), float(rng.integers(0, 9)), 0) for k, n in sizes.items() for i in range(n)]
+    rows[80] = (*rows[80][:2], None, 0)
+    df = spark.createDataFrame(rows[::-1], "station int, date date, volume double, holiday int")
+    got = O.correct_outliers_trend(df).toPandas()
+    assert len(got) == len(rows) - 1 and list(got.columns[4:]) == ["trend", "yhat", "lower", "upper", "deviation", "sd1", "sd2", "outlier", "corrected"]
+    for _, part in got.groupby("station"):
+        part = part.sort_values("date", kind="stable").reset_index(drop=True)
+        assert np.allclose(part.deviation, part.volume - part.trend)
+        for name, size in (("sd1", 30), ("sd2", 15)):
+            for start in range(0, len(part), size):
+                inside = part.deviation[start : min(start + size, len(part) - 1)]
+                want = np.sqrt((inside**2).sum() / (len(inside) - 1)) if len(inside) > 1 else np.nan
+                assert np.allclose(part[name][start : start + size].astype(float), want, equal_nan=True)
+
+
+def test_shared_seasons_are_those_of_the_days():
+    seasons, rng = FC._Seasons(), np.random.default_rng(9)
+    cases = [np.arange(9000.0, 11500.0), np.arange(-600.0, 700.0), np.sort(rng.choice(40000, 1500)).astype(float), np.array([3.0, 3.0, 90000.0])]
+    for days in (*cases, *(np.arange(k * 5000.0, k * 5000.0 + 900) for k in range(40))):
+        holiday = (days % 30 == 0).astype(float)
+        basis = FC._Basis(days, True)
+        shared, lead = basis.columns(days, holiday, seasons)
+        assert np.allclose(shared, basis.columns(days, holiday)[0], rtol=0, atol=1e-12) and lead == 2 + len(basis.hinges)
+        assert len(seasons.blocks) <= FC.SEASON_BLOCKS
+    fewer = FC._Basis(np.arange(30.0), False).columns(np.arange(30.0), np.zeros(30), seasons)[0]
+    assert fewer.shape == (30, 2 + 23 + 6) and np.allclose(fewer[:, -6], np.sin(2 * np.pi * np.arange(30) / 7))
+
+
+def test_quick_rounding_is_that_of_spark(spark):
+    rng = np.random.default_rng(10)
+    values = [float("nan"), float("inf"), -float("inf"), 0.0, -0.0, 5e-7, -5e-7, 1e308, 5e-324, 9999999.9999995, 1e7, 0.0000015, 2.5e-6, None]
+    values += [float(v) for v in [*rng.normal(size=500), *(rng.integers(0, 10**9, 500) * 2 + 1) / 2e6, *rng.random(500) * 1e9, *rng.random(500) * 1e-5]]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    both = df.select("x", (F.round("x", 6) + F.lit(0.0)).alias("plain"), (RG._places(F.col("x")) + F.lit(0.0)).alias("quick"))
+    assert both.filter(~F.col("plain").eqNullSafe(F.col("quick"))).count() == 0
+    text = RG.rounded(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rint" in text.lower()
