@@ -240,3 +240,17 @@ def test_quick_rounding_is_that_of_spark(spark):
     assert both.filter(~F.col("plain").eqNullSafe(F.col("quick"))).count() == 0
     text = RG.rounded(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "rint" in text.lower()
+
+
+def test_rows_of_a_feed_are_dealt_by_key_before_they_are_added_up(spark, monkeypatch):
+    rows = [(f"s{k % 9}", None if k % 5 == 0 else f"d{k % 3}", "R0", DAY + dt.timedelta(days=k % 11) if k % 13 else None, float(k)) for k in range(400)]
+    df = spark.createDataFrame(rows, "station_name string, device string, user_type string, date date, volume double")
+    monkeypatch.setattr(S, "ROWS_PER_TASK", 20)
+    assert S.feed_parts(df) == 20 and S.feed_parts(df.limit(0)) == 1
+    dealt = S.merge_feeds(df, S.feed_totals(df, 20), {"s1": "D-99"}, 20)
+    text = dealt._jdf.queryExecution().executedPlan().toString()
+    assert text.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in text
+    plain = S.merge_feeds(df, S.feed_totals(df), {"s1": "D-99"})
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(dealt.collect(), key=key) == sorted(plain.collect(), key=key)
+    assert dealt.rdd.getNumPartitions() >= 20
