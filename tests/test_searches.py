@@ -108,6 +108,28 @@ def test_search_makes_no_pairs(spark):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def lines(spark, folder, table):
+    """The given tables from which `daily` is made: one line a station and day."""
+    rows = [(k, dt.datetime.combine(START + dt.timedelta(days=i), dt.time()), float(v)) for k, vs in table.items() for i, v in enumerate(vs)]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp, l_quantity double").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in table], "s_suppkey long").write.parquet(f"{folder}/supplier.parquet")
+    return str(folder)
+
+
+def test_nearest_days_are_searched_for_every_station(spark, tmp_path):
+    from gridlytics.plans.registry import QUERIES
+
+    rng = np.random.default_rng(8)
+    table = {k: rng.integers(1, 50, rng.integers(5, 12)) for k in (1, 2, 3, 49, 50, 51, 52, 100)}
+    got = {}
+    for r in QUERIES["nearest_days"](spark, lines(spark, tmp_path, table)).collect():
+        got.setdefault(r.query, []).append((r.place, r.station, r.distance))
+    assert set(got) == set(table)
+    for q, its in got.items():
+        want = sorted((slow_dtw(table[q], table[s]), s) for s in table if s != q)[:5]
+        assert [s for _, s, _ in sorted(its)] == [s for _, s in want] and np.allclose([d for _, _, d in sorted(its)], [d for d, _ in want], atol=1e-6)
+
+
 # ---- forecasts ----
 
 
