@@ -130,6 +130,59 @@ def test_nearest_days_are_searched_for_every_station(spark, tmp_path):
         assert [s for _, s, _ in sorted(its)] == [s for _, s in want] and np.allclose([d for _, _, d in sorted(its)], [d for d, _ in want], atol=1e-6)
 
 
+def batch(names, series):
+    return SM._Batch(names, np.concatenate(series), np.array([len(x) for x in series]))
+
+
+@pytest.mark.parametrize("case", range(12))
+def test_pairs_are_measured_once_and_exactly(monkeypatch, case):
+    """Against brute force: ties, equal series, single values, small steps at a high level, very small and large values; some or all asked for."""
+    rng = np.random.default_rng(case)
+    kind, n, k = case % 6, 24, 1 + case % 4
+    make = [
+        lambda m: rng.integers(0, 3, m).astype(float), lambda m: np.cumsum(rng.normal(size=m)), lambda m: rng.integers(1, 50, m).astype(float),
+        lambda m: np.full(m, float(rng.integers(0, 3))), lambda m: 1e9 + np.round(rng.normal(size=m), 3), lambda m: rng.normal(size=m) * 10.0 ** rng.integers(-25, 26),
+    ][kind]
+    series = [make(int(rng.integers(1, [5, 20, 80, 3, 40, 20][kind] + 1))) for _ in range(n)]
+    series += [series[j].copy() for j in range(0, n, 4)]
+    far_apart = np.array([[slow_dtw(x, y) for y in series] for x in series])
+    asked = [j for j in range(len(series)) if case < 6 or rng.random() < 0.6]
+    if case % 2:
+        for name, size in (("TARGETS_AT_ONCE", 3), ("STATIONS_AT_ONCE", 2), ("FIRST_ROUND", 2), ("SIDE_BY_SIDE", 100)):
+            monkeypatch.setattr(SM, name, size)
+    met, distances = [], SM._distances
+    monkeypatch.setattr(SM, "_distances", lambda near, far, a, b, *more: met.extend((near.names[x], far.names[y]) for x, y in zip(a, b)) or distances(near, far, a, b, *more))
+    near = batch(asked, [series[j] for j in asked])
+    limits, found = np.full(len(asked), np.inf), []
+    for part in np.array_split(rng.permutation(len(series)), 3):
+        far = batch(part.tolist(), [series[j] for j in part])
+        sides = SM._nearest_pairs(near, far, limits, np.array([np.inf if j in asked else -1.0 for j in part]), k)
+        for (owner, other, apart), one, two in zip(sides, (near, far), (far, near)):
+            found += [(one.names[x], d, two.names[y]) for x, y, d in zip(owner, other, apart)]
+    assert len({(*sorted(pair),) for pair in met}) == len(met)
+    for q in asked:
+        want = sorted((far_apart[q, s], s) for s in range(len(series)) if s != q)[:k]
+        assert sorted((d, s) for o, d, s in found if o == q)[:k] == want
+
+
+def test_equal_series_need_no_table(monkeypatch):
+    x = np.random.default_rng(6).normal(size=300)
+    monkeypatch.setattr(SM, "_dtw_together", lambda *_: pytest.fail("a table was filled"))
+    assert SM.dtw_distances([x, x], [x.copy(), x]).tolist() == [0.0, 0.0]
+
+
+def test_tiles_beyond_all_limits_are_not_looked_at(monkeypatch):
+    """Series of few levels within small limits: only those of a like level meet."""
+    rng = np.random.default_rng(7)
+    series = [100.0 * (k % 8) + rng.normal(size=20) for k in range(800)]
+    seen, bounds = [], SM._Batch.bounds
+    monkeypatch.setattr(SM._Batch, "bounds", lambda self, x, left, *more: seen.append(len(left)) or bounds(self, x, left, *more))
+    monkeypatch.setattr(SM, "STATIONS_AT_ONCE", 50)
+    whole = batch(list(range(800)), series)
+    SM._nearest_pairs(whole, whole, np.full(800, 900.0), np.full(800, 900.0), 3)
+    assert 0 < sum(seen) <= 8 * 100 * 99 / 2
+
+
 # ---- forecasts ----
 
 
