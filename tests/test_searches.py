@@ -183,6 +183,27 @@ def test_tiles_beyond_all_limits_are_not_looked_at(monkeypatch):
     assert 0 < sum(seen) <= 8 * 100 * 99 / 2
 
 
+def test_nearest_quarters_read_the_lines_once(spark, tmp_path, monkeypatch):
+    """Nothing but the staged series is read once they are there."""
+    import shutil
+
+    from gridlytics.plans.registry import QUERIES
+
+    rng = np.random.default_rng(9)
+    table = {k: rng.integers(1, 50, 400) for k in range(1, 6)}
+    folder, staged = lines(spark, tmp_path, table), SM.staged
+    monkeypatch.setattr(SM, "staged", lambda df: (staged(df), shutil.rmtree(f"{folder}/lineitem.parquet"))[0])
+    got = {}
+    for r in QUERIES["nearest_quarters"](spark, folder).collect():
+        got.setdefault(r.query, []).append((r.place, r.station, r.distance))
+    days = [START + dt.timedelta(days=i) for i in range(400)]
+    quarter = np.array([(d.year - 2022) * 4 + (d.month - 1) // 3 for d in days])
+    sums = {k: np.bincount(quarter, v) for k, v in table.items()}
+    for q in table:
+        want = sorted((slow_dtw(sums[q], sums[s]), s) for s in table if s != q)[:3]
+        assert [s for _, s, _ in sorted(got[q])] == [s for _, s in want] and np.allclose([d for _, _, d in sorted(got[q])], [d for d, _ in want], atol=1e-6)
+
+
 # ---- forecasts ----
 
 
