@@ -148,7 +148,7 @@ def test_pairs_are_measured_once_and_exactly(monkeypatch, case):
     far_apart = np.array([[slow_dtw(x, y) for y in series] for x in series])
     asked = [j for j in range(len(series)) if case < 6 or rng.random() < 0.6]
     if case % 2:
-        for name, size in (("TARGETS_AT_ONCE", 3), ("STATIONS_AT_ONCE", 2), ("FIRST_ROUND", 2), ("SIDE_BY_SIDE", 100)):
+        for name, size in (("PAIRS_AT_ONCE", 30), ("STATIONS_AT_ONCE", 2), ("FIRST_ROUND", 2), ("SIDE_BY_SIDE", 100)):
             monkeypatch.setattr(SM, name, size)
     met, distances = [], SM._distances
     monkeypatch.setattr(SM, "_distances", lambda near, far, a, b, *more: met.extend((near.names[x], far.names[y]) for x, y in zip(a, b)) or distances(near, far, a, b, *more))
@@ -174,7 +174,7 @@ def test_equal_series_need_no_table(monkeypatch):
 def test_tiles_beyond_all_limits_are_not_looked_at(monkeypatch):
     """Series of few levels within small limits: only those of a like level meet."""
     rng = np.random.default_rng(7)
-    series = [100.0 * (k % 8) + rng.normal(size=20) for k in range(800)]
+    series = [100.0 * (k % 8) + rng.normal(size=80) for k in range(800)]
     seen, bounds = [], SM._Batch.bounds
     monkeypatch.setattr(SM._Batch, "bounds", lambda self, x, left, *more: seen.append(len(left)) or bounds(self, x, left, *more))
     monkeypatch.setattr(SM, "STATIONS_AT_ONCE", 50)
